@@ -1,0 +1,47 @@
+"""Joining a large table to a small one whose size is checked, not assumed.
+
+The small side is materialised once with a reliable ``checkpoint()`` (written
+to the shared ``spark.checkpoint.dir``, so it survives executor loss and cuts
+its lineage), then counted. Within the row bound it is broadcast: the large
+side is never shuffled. Beyond it, both sides are shuffled on the key plus a
+salt, with the small side copied once per salt value, so a key holding a
+third of the large side is still spread over ``fan_out`` tasks.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..runtime import ensure_checkpoint_dir
+
+# Default bound for broadcasting: rows of the small side (one per group key).
+DEFAULT_MAX_BROADCAST_ROWS = 200_000
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint of ``df`` into the session's checkpoint folder."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def checked_broadcast_join(
+    large: DataFrame,
+    small: DataFrame,
+    on: Sequence[str],
+    how: str = "inner",
+    salt_by: Sequence[str] = ("tconst",),
+    max_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
+    fan_out: int | None = None,
+) -> DataFrame:
+    """``large.join(small, on, how)``, broadcasting ``small`` only if it has at most ``max_rows`` rows."""
+    small = materialize(small)
+    if small.count() <= max_rows:
+        return large.join(F.broadcast(small), list(on), how)
+    spark = large.sparkSession
+    salts = fan_out or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    salted_small = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted_large = large.withColumn("_salt", F.pmod(F.xxhash64(*salt_by), F.lit(salts)).cast("int"))
+    return salted_large.join(salted_small, [*on, "_salt"], how).drop("_salt")
