@@ -1,8 +1,10 @@
 """Title-rating joins.
 
-Both inputs are large at scale and ``tconst`` is unique on both sides, so the
-plan is a sort-merge join on ``tconst`` with no skew; AQE turns it into a
-broadcast join at run time when the rating side turns out to be small.
+Both inputs grow with the data and ``tconst`` is unique on both sides, so the
+join is pinned to a sort-merge join on ``tconst`` (``merge`` hint): it spills
+instead of failing, has no hot key, and never collects a data-sized table to
+the driver. (Auto-broadcast judges a text input by its file size, which for
+.gz/.bz2 input says little about the in-memory size.)
 """
 
 from __future__ import annotations
@@ -19,8 +21,8 @@ def join_titles_ratings(titles: DataFrame, ratings: DataFrame) -> DataFrame:
     Rating rows without a title vanish; titles without one get NULL rating and
     votes. Output columns follow the movie table's order.
     """
-    joined = titles.join(ratings.select("tconst", "rating", "votes"), on="tconst", how="left")
-    return joined.select(*MOVIES_COLUMNS)
+    rated = ratings.select("tconst", "rating", "votes").hint("merge")
+    return titles.join(rated, on="tconst", how="left").select(*MOVIES_COLUMNS)
 
 
 def join_movies_ratings(titles: DataFrame, ratings: DataFrame, kind: str = MOVIE) -> DataFrame:
@@ -29,4 +31,4 @@ def join_movies_ratings(titles: DataFrame, ratings: DataFrame, kind: str = MOVIE
     The type filter runs before the join, so only movies are shuffled.
     """
     movies = filter_movies(titles, kind).select("tconst", "originalTitle", "startYear", "genres")
-    return movies.join(ratings.select("tconst", "rating", "votes"), on="tconst", how="left")
+    return movies.join(ratings.select("tconst", "rating", "votes").hint("merge"), on="tconst", how="left")

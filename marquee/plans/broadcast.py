@@ -1,8 +1,8 @@
 """Joining a large table to a small one whose size is checked, not assumed.
 
-The small side is materialised once with a reliable ``checkpoint()`` (written
-to the shared ``spark.checkpoint.dir``, so it survives executor loss and cuts
-its lineage), then counted. Within the row bound it is broadcast: the large
+The small side is materialised once as a Parquet table written under the
+shared ``spark.checkpoint.dir`` (so it survives executor loss and cuts its
+lineage), then counted from the file metadata. Within the row bound it is broadcast: the large
 side is never shuffled. Beyond it, both sides are shuffled on the key plus a
 salt, with the small side copied once per salt value, so a key holding a
 third of the large side is still spread over ``fan_out`` tasks.
@@ -15,16 +15,22 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import ensure_checkpoint_dir
+from ..runtime import scratch_path
 
 # Default bound for broadcasting: rows of the small side (one per group key).
 DEFAULT_MAX_BROADCAST_ROWS = 200_000
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of ``df`` into the session's checkpoint folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def materialize(df: DataFrame, name: str = "materialized") -> DataFrame:
+    """Write ``df`` once to the shared checkpoint folder and read it back.
+
+    Unlike an eager ``checkpoint()`` of an uncached plan, the plan runs once;
+    the read-back table is a plain Parquet scan with exact size statistics.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def checked_broadcast_join(
@@ -37,7 +43,7 @@ def checked_broadcast_join(
     fan_out: int | None = None,
 ) -> DataFrame:
     """``large.join(small, on, how)``, broadcasting ``small`` only if it has at most ``max_rows`` rows."""
-    small = materialize(small)
+    small = materialize(small, "broadcast_side")
     if small.count() <= max_rows:
         return large.join(F.broadcast(small), list(on), how)
     spark = large.sparkSession

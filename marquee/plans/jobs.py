@@ -17,7 +17,7 @@ from ..operators.topn import top2_rated_per_genre, top10_rated_per_year
 from ..schemas import MOVIE
 from ..sinks.parquet import write_movies_parquet, write_summary_parquet
 from ..sinks.text import (
-    kv_lines,
+    keyed_lines,
     write_kv_text,
     write_lines,
     write_ranked_text,
@@ -31,7 +31,7 @@ from ..sources.tsv import read_ratings_tsv, read_titles_tsv
 def movies_text_lines(titles: DataFrame, ratings: DataFrame, kind: str = MOVIE) -> DataFrame:
     """Job 1 lines: ``tconst\\ttitle\\tstartYear\\tgenres\\trating\\tvotes`` for movies only."""
     joined = join_movies_ratings(titles, ratings, kind)
-    return kv_lines(
+    return keyed_lines(
         joined, "tconst", ["originalTitle", "startYear", join_genres("genres"), "rating", "votes"]
     )
 
@@ -39,7 +39,7 @@ def movies_text_lines(titles: DataFrame, ratings: DataFrame, kind: str = MOVIE)
 def titles_text_lines(titles: DataFrame, ratings: DataFrame) -> DataFrame:
     """Job 2 lines: every title with all its columns, ratings appended."""
     joined = join_titles_ratings(titles, ratings)
-    return kv_lines(
+    return keyed_lines(
         joined,
         "tconst",
         [

@@ -32,6 +32,17 @@ def kv_lines(df: DataFrame, key: str, values: list[str | Column]) -> DataFrame:
     return ordered.select(format_row(key, *values).alias("value"))
 
 
+def keyed_lines(df: DataFrame, key: str, values: list[str | Column]) -> DataFrame:
+    """``key\\tvalue...`` lines sorted by key within each output file.
+
+    For the join dumps, whose output grows with the input: like a reducer's
+    part file, each file is in key order, without a second, global shuffle.
+    After a sort-merge join on ``key`` the rows already arrive in that order and
+    Spark drops the sort.
+    """
+    return df.sortWithinPartitions(key).select(format_row(key, *values).alias("value"))
+
+
 def ranked_lines(df: DataFrame, group: str) -> DataFrame:
     """``group\\ttconst\\ttitle\\trating\\tvotes`` lines in group-then-rank order."""
     ordered = order_group_then_rank(df, group)
