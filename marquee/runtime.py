@@ -10,27 +10,38 @@ from __future__ import annotations
 import os
 import uuid
 
+from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
 
 def build_session(master: str | None = None, partitions: int | None = None, app: str = "marquee") -> SparkSession:
-    """Local session for tests, the bench and the command line."""
-    cpus = os.environ.get("BENCH_CPUS", "8")
+    """Session for tests, the bench and the command line.
+
+    Under ``spark-submit`` (a master is already configured) the cluster's own
+    settings are kept; only when no master is set does this start a local
+    session sized to ``BENCH_CPUS`` cores.
+    """
+    configured = SparkConf().get("spark.master", None)
+    builder = SparkSession.builder.appName(app)
+    if master or not configured:
+        cpus = os.environ.get("BENCH_CPUS", "8")
+        builder = (
+            builder.master(master or f"local[{cpus}]")
+            .config("spark.sql.shuffle.partitions", str(partitions or int(cpus)))
+            .config("spark.ui.enabled", "false")
+            .config("spark.driver.memory", "8g")
+            # Splits stay at 128 MB for large files; the smaller open cost only lets
+            # inputs of a few MB still spread over every core instead of one or two.
+            .config("spark.sql.files.openCostInBytes", str(1024 * 1024))
+        )
+    elif partitions:
+        builder = builder.config("spark.sql.shuffle.partitions", str(partitions))
     builder = (
-        SparkSession.builder.master(master or f"local[{cpus}]")
-        .appName(app)
-        .config("spark.sql.shuffle.partitions", str(partitions or int(cpus)))
-        .config("spark.sql.adaptive.enabled", "true")
+        builder.config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.ui.enabled", "false")
-        .config("spark.driver.memory", "8g")
         .config("spark.sql.ansi.enabled", "true")
-        # Splits stay at 128 MB for large files; the smaller open cost only lets
-        # inputs of a few MB still spread over every core instead of one or two.
-        .config("spark.sql.files.maxPartitionBytes", str(128 * 1024 * 1024))
-        .config("spark.sql.files.openCostInBytes", str(1024 * 1024))
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

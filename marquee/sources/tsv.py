@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import null_marker_to_null, parse_double, parse_int, split_genres
 from ..schemas import RAW_RATINGS, RAW_TITLES
 
-_TSV_OPTIONS = {
+TSV_OPTIONS = {
     "sep": "\t",
     "header": "true",
     "quote": "",
@@ -27,7 +27,7 @@ _TSV_OPTIONS = {
 
 
 def _read(spark: SparkSession, paths: str | list[str], schema, partitions: int | None) -> DataFrame:
-    df = spark.read.schema(schema).options(**_TSV_OPTIONS).csv(paths)
+    df = spark.read.schema(schema).options(**TSV_OPTIONS).csv(paths)
     if partitions:
         df = df.repartition(partitions)
     return df
@@ -40,7 +40,11 @@ def read_titles_tsv(spark: SparkSession, paths: str | list[str], partitions: int
     identifying and text columns keep their text as is, and an empty text field
     stays the empty string.
     """
-    raw = _read(spark, paths, RAW_TITLES, partitions)
+    return type_titles(_read(spark, paths, RAW_TITLES, partitions))
+
+
+def type_titles(raw: DataFrame) -> DataFrame:
+    """All-string title rows (``RAW_TITLES``) to typed titles; batch or streaming."""
     text = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
     return raw.select(
         text("tconst"),

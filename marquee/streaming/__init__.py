@@ -1 +1,5 @@
-"""Incremental (Structured Streaming) form of the ingest job."""
+"""Incremental (Structured Streaming) form of the build job."""
+
+from .ingest import start_title_ingest
+
+__all__ = ["start_title_ingest"]

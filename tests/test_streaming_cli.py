@@ -1,0 +1,38 @@
+"""The streaming build job and the command line against the batch jobs."""
+
+import os
+
+from marquee.__main__ import main as cli
+from marquee.operators import join_titles_ratings
+from marquee.sources import read_ratings_tsv, read_titles_tsv
+from marquee.streaming import start_title_ingest
+
+from .fixture_rows import HEADER_TITLES, TITLE_LINES, write_inputs
+
+
+def test_stream_ingest_equals_batch_join(spark, tmp_path):
+    titles, ratings = write_inputs(str(tmp_path / "in"))
+    landing = tmp_path / "landing"
+    landing.mkdir()
+    # two files arrive, each with its own header line
+    for i, chunk in enumerate((TITLE_LINES[:6], TITLE_LINES[6:])):
+        (landing / f"titles_{i}.tsv").write_text("\n".join([HEADER_TITLES, *chunk]) + "\n", encoding="utf-8")
+    out = str(tmp_path / "movies")
+    q = start_title_ingest(spark, str(landing), ratings, out, str(tmp_path / "cp"))
+    q.awaitTermination(120)
+    streamed = sorted(map(tuple, spark.read.parquet(out).collect()), key=repr)
+    batch = join_titles_ratings(read_titles_tsv(spark, titles), read_ratings_tsv(spark, ratings))
+    assert streamed == sorted(map(tuple, batch.collect()), key=repr)
+    assert len(streamed) == 12
+
+
+def test_cli_runs_the_jobs(spark, tmp_path):
+    titles, ratings = write_inputs(str(tmp_path / "in"))
+    movies = str(tmp_path / "movies")
+    cli(["build-movies", "--titles", titles, "--ratings", ratings, "--out", movies])
+    cli(["queries", "--movies", movies, "--out", str(tmp_path / "res")])
+    cli(["genres", "--movies", movies, "--out", str(tmp_path / "res")])
+    assert sorted(os.listdir(tmp_path / "res")) == [
+        "most_voted_per_year", "movies_per_year", "recommend_by_genre", "top10_rated_per_year", "top2_rated_per_genre",
+    ]
+    assert spark.range(1).count() == 1  # the session is still usable
