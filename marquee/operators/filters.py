@@ -35,6 +35,16 @@ def exclude_self(candidates: Column, tconst: Column) -> Column:
     return F.filter(candidates, lambda c: c["tconst"] != tconst)
 
 
+def first_other(candidates: list[Column], tconst: Column) -> Column:
+    """The first candidate, in the given order, that is not the title itself (or NULL).
+
+    Plain CASE expressions, no lambda: it stays in generated code, and a filter on
+    it is safe to place anywhere (a lambda over an outer column inside a join
+    condition can be misplaced by the optimizer).
+    """
+    return F.coalesce(*[F.when(c["tconst"] != tconst, c) for c in candidates])
+
+
 def skip_header() -> dict[str, str]:
     """The reader option that drops the first line of every input file."""
     return {"header": "true"}

@@ -5,7 +5,7 @@ its second best when the best is the movie itself; a genre with no rated movie
 gives no row. Unrated movies are recommended to as well.
 
 Plan: the two best per genre (cut before the shuffle, see ``topn``) are folded
-into one candidate list per genre, a table with one small row per genre. It is
+into one row per genre holding its first and second candidate. It is
 joined to the movies through ``checked_broadcast_join``: broadcast when its
 row count is within bound, otherwise a salted shuffle join.
 """
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..plans.broadcast import DEFAULT_MAX_BROADCAST_ROWS, checked_broadcast_join
 from ..schemas import MOVIE
 from .aggregates import ordered_top_list
-from .filters import exclude_self, filter_has_genre, filter_movies, with_genre
+from .filters import filter_has_genre, filter_movies, first_other, with_genre
 from .topn import top2_rated_per_genre
 
 
@@ -37,9 +37,10 @@ def recommend_by_genre(
     targets = filter_has_genre(with_genre(filter_movies(movies, kind))).select(
         "tconst", F.col("originalTitle").alias("title"), "genre", "rating", "votes"
     )
-    cands = genre_candidates(movies, kind)
+    lists = genre_candidates(movies, kind)
+    cands = lists.select("genre", F.get("cands", 0).alias("c1"), F.get("cands", 1).alias("c2"))
     joined = checked_broadcast_join(targets, cands, ["genre"], max_rows=max_broadcast_rows)
-    rec = F.get(exclude_self(F.col("cands"), F.col("tconst")), 0)
+    rec = first_other([F.col("c1"), F.col("c2")], F.col("tconst"))
     return (
         joined.select("tconst", "title", "genre", "rating", "votes", rec.alias("rec"))
         .where(F.col("rec").isNotNull())
