@@ -1,7 +1,8 @@
 """Raw tab-separated title and rating files (plain, .gz or .bz2).
 
 The reader splits on tabs only: quoting is switched off, so a ``"`` or a
-backslash inside a title is an ordinary character. The first line of every
+backslash inside a title is an ordinary character (NUL is the one character
+a field cannot hold: with quoting off the CSV parser uses it as the quote). The first line of every
 file is its header and is skipped. Short lines give NULL for the missing
 fields instead of failing the task. The codec follows the file extension;
 gzip files do not split, so callers reading one big .gz file should
@@ -110,6 +111,9 @@ def _write_lines(lines: DataFrame, path: str, header: str, compression: str | No
         .option("escape", "")
         .option("escapeQuotes", "false")
         .option("emptyValue", "")
+        # the writer trims blanks by default; lines must pass untouched
+        .option("ignoreLeadingWhiteSpace", "false")
+        .option("ignoreTrailingWhiteSpace", "false")
     )
     if compression:
         writer = writer.option("compression", compression)
