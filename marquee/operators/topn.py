@@ -33,11 +33,25 @@ def top_n_per_group(
     order: Sequence[Column],
     n: int,
     rank_col: str = "rank",
+    salt_by: Sequence[str] = ("tconst",),
 ) -> DataFrame:
     """The first ``n`` rows of each ``keys`` group under ``order``, numbered 1..n in ``rank_col``.
 
     A group with fewer rows keeps them all; NULL keys form a group of their own.
+    Spark inserts the partial (pre-shuffle) limit only for ``n`` up to
+    ``spark.sql.optimizer.windowGroupLimitThreshold``; above it, the rows are
+    first cut within (group, salt) buckets, salt = hash of ``salt_by`` (the
+    rows of one group spread over every bucket), so the final ranking sees at
+    most n rows per bucket of a group. Both ways give the same, exact result.
     """
+    spark = df.sparkSession
+    threshold = int(spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+    if n > threshold:
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        salt = F.pmod(F.xxhash64(*salt_by), F.lit(buckets))
+        w1 = Window.partitionBy(*keys, F.col("_bucket")).orderBy(*order)
+        df = df.withColumn("_bucket", salt).withColumn("_r", F.row_number().over(w1)).where(F.col("_r") <= n)
+        df = df.drop("_bucket", "_r")
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= n)
 

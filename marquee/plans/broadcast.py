@@ -17,8 +17,15 @@ from pyspark.sql import functions as F
 
 from ..runtime import scratch_path
 
-# Default bound for broadcasting: rows of the small side (one per group key).
+# Default bounds for broadcasting: rows of the small side (one per group key),
+# and its size as stored (Parquet), well under the executors' memory.
 DEFAULT_MAX_BROADCAST_ROWS = 200_000
+DEFAULT_MAX_BROADCAST_BYTES = 64 * 1024 * 1024
+
+
+def stored_size(df: DataFrame) -> int:
+    """Size statistic of a file-backed DataFrame (bytes on storage)."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def materialize(df: DataFrame, name: str = "materialized") -> DataFrame:
@@ -41,10 +48,11 @@ def checked_broadcast_join(
     salt_by: Sequence[str] = ("tconst",),
     max_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
     fan_out: int | None = None,
+    max_bytes: int = DEFAULT_MAX_BROADCAST_BYTES,
 ) -> DataFrame:
-    """``large.join(small, on, how)``, broadcasting ``small`` only if it has at most ``max_rows`` rows."""
+    """``large.join(small, on, how)``, broadcasting ``small`` only within ``max_rows`` and ``max_bytes``."""
     small = materialize(small, "broadcast_side")
-    if small.count() <= max_rows:
+    if small.count() <= max_rows and stored_size(small) <= max_bytes:
         return large.join(F.broadcast(small), list(on), how)
     spark = large.sparkSession
     salts = fan_out or int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -30,7 +30,7 @@ from ..sinks.parquet import write_movies_parquet, write_summary_parquet
 from ..sinks.text import write_kv_text, write_ranked_text, write_recommendation_text
 from ..sources import driver as D
 from ..sources.parquet import read_lookup, read_movies_parquet, read_summary_parquet
-from ..sources.tsv import read_ratings_tsv, read_titles_tsv, write_ratings_tsv, write_titles_tsv
+from ..sources.tsv import TSV_OPTIONS, read_ratings_tsv, read_titles_tsv, write_ratings_tsv, write_titles_tsv
 
 F_TYPE = D.ORDER_MOVIE_TYPE
 P_TYPE = D.PART_MOVIE_TYPE
@@ -50,7 +50,7 @@ def _ratings_tsv(spark: SparkSession, sf: str, compression: str | None = None) -
 
 
 def _raw(spark: SparkSession, path: str, schema) -> DataFrame:
-    return spark.read.schema(schema).options(sep="\t", header="true", quote="", escape="").csv(path)
+    return spark.read.schema(schema).options(**TSV_OPTIONS).csv(path)
 
 
 def _genres_as_text(df: DataFrame) -> DataFrame:

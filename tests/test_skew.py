@@ -90,3 +90,21 @@ def test_hot_group_results_match_brute_force(skewed):
         .limit(10)
     )
     assert top == {r.tconst for r in brute.collect()}
+
+
+def test_large_n_falls_back_to_bucketed_cut(spark, skewed):
+    # n above the partial-limit threshold: the salted two-round cut must give
+    # exactly the plain window result.
+    from marquee.operators.topn import best_rated_order, top_n_per_group
+
+    before = spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")
+    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "5")
+    try:
+        cut = top_n_per_group(skewed.where("rating IS NOT NULL"), ["startYear"], best_rated_order(), 10)
+        got = sorted((r.startYear, r["rank"], r.tconst) for r in cut.collect())
+        assert "_bucket" in cut._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", before)
+    plain = top_n_per_group(skewed.where("rating IS NOT NULL"), ["startYear"], best_rated_order(), 10)
+    assert got == sorted((r.startYear, r["rank"], r.tconst) for r in plain.collect())
+    assert len(got) == 10 * (GROUPS + 1)
