@@ -27,15 +27,18 @@ def _walk(node):
         yield from _walk(children.apply(i))
 
 
-def shuffled_records(df) -> int:
+def shuffled_records(df, expect_shuffle: bool = True) -> int:
     """Records written by every shuffle of the executed (adaptive) plan."""
-    df.write.format("noop").mode("overwrite").save()
-    jplan = df._jdf.queryExecution().executedPlan()
+    qe = df._jdf.queryExecution()
+    qe.toRdd().count()  # run this very plan (AQE finalises it and fills its metrics)
+    jplan = qe.executedPlan()
     final = jplan.executedPlan() if jplan.nodeName().startswith("AdaptiveSparkPlan") else jplan
-    total = 0
+    total, seen = 0, False
     for node in _walk(final):
         if "QueryStage" in node.nodeName() and node.plan().nodeName() == "Exchange":
             total += node.plan().metrics().get("shuffleRecordsWritten").get().value()
+            seen = True
+    assert seen or not expect_shuffle, "no shuffle found: the plan was not measured"
     return total
 
 
@@ -60,7 +63,8 @@ def skewed(spark):
 
 def test_top10_shuffle_is_bounded(skewed):
     bound = 10 * MAPS * (GROUPS + 1)
-    assert shuffled_records(top10_rated_per_year(skewed)) <= bound
+    records = shuffled_records(top10_rated_per_year(skewed))
+    assert 0 < records <= bound  # vs 300,000 rows in, 100,000 of them in one year
 
 
 def test_aggregates_combine_map_side(skewed):
@@ -78,7 +82,7 @@ def test_summary_shuffle_is_bounded(skewed):
 
 def test_recommendation_does_not_shuffle_the_movies(skewed):
     recs = recommend_by_genre(skewed)
-    assert shuffled_records(recs) == 0  # broadcast join of the checked candidate table
+    assert shuffled_records(recs, expect_shuffle=False) == 0  # broadcast join of the checked candidate table
     assert recs.where(F.col("genre") == "Hot").count() == ROWS // 3  # every hot movie gets one
 
 
