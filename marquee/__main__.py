@@ -31,6 +31,8 @@ def main(argv: list[str] | None = None, stop: bool = False) -> None:
         if tsv:
             s.add_argument("--titles", required=True)
             s.add_argument("--ratings", required=True)
+            s.add_argument("--partitions", type=int, default=None,
+                           help="repartition right after reading (for unsplittable .gz input)")
         if movies:
             s.add_argument("--movies", required=True)
         if summary:
@@ -52,11 +54,11 @@ def main(argv: list[str] | None = None, stop: bool = False) -> None:
     start = time.perf_counter()
     out = a.out
     if a.cmd == "movies-text":
-        jobs.run_movies_text(spark, a.titles, a.ratings, out, a.kind)
+        jobs.run_movies_text(spark, a.titles, a.ratings, out, a.kind, a.partitions)
     elif a.cmd == "titles-text":
-        jobs.run_titles_text(spark, a.titles, a.ratings, out)
+        jobs.run_titles_text(spark, a.titles, a.ratings, out, a.partitions)
     elif a.cmd == "build-movies":
-        jobs.run_build_movies(spark, a.titles, a.ratings, out)
+        jobs.run_build_movies(spark, a.titles, a.ratings, out, a.partitions)
     elif a.cmd == "movies-per-year":
         jobs.run_movies_per_year(spark, a.movies, out, a.kind)
     elif a.cmd == "most-voted-per-year":

@@ -57,21 +57,30 @@ def titles_text_lines(titles: DataFrame, ratings: DataFrame) -> DataFrame:
     )
 
 
-def run_movies_text(spark: SparkSession, titles_path: str, ratings_path: str, out: str, kind: str = MOVIE) -> str:
+def _inputs(spark: SparkSession, titles_path: str, ratings_path: str, partitions: int | None):
+    # ``partitions`` spreads unsplittable (.gz) input over that many tasks right after the scan.
+    return read_titles_tsv(spark, titles_path, partitions), read_ratings_tsv(spark, ratings_path, partitions)
+
+
+def run_movies_text(
+    spark: SparkSession, titles_path: str, ratings_path: str, out: str, kind: str = MOVIE, partitions: int | None = None
+) -> str:
     """Job 1: join, movies only, narrow columns, text output."""
-    lines = movies_text_lines(read_titles_tsv(spark, titles_path), read_ratings_tsv(spark, ratings_path), kind)
-    return write_lines(lines, out)
+    return write_lines(movies_text_lines(*_inputs(spark, titles_path, ratings_path, partitions), kind), out)
 
 
-def run_titles_text(spark: SparkSession, titles_path: str, ratings_path: str, out: str) -> str:
+def run_titles_text(
+    spark: SparkSession, titles_path: str, ratings_path: str, out: str, partitions: int | None = None
+) -> str:
     """Job 2: join, all titles, all columns, text output."""
-    lines = titles_text_lines(read_titles_tsv(spark, titles_path), read_ratings_tsv(spark, ratings_path))
-    return write_lines(lines, out)
+    return write_lines(titles_text_lines(*_inputs(spark, titles_path, ratings_path, partitions)), out)
 
 
-def run_build_movies(spark: SparkSession, titles_path: str, ratings_path: str, out: str) -> str:
+def run_build_movies(
+    spark: SparkSession, titles_path: str, ratings_path: str, out: str, partitions: int | None = None
+) -> str:
     """Job 3: join, all titles, Parquet output (feeds every query)."""
-    movies = join_titles_ratings(read_titles_tsv(spark, titles_path), read_ratings_tsv(spark, ratings_path))
+    movies = join_titles_ratings(*_inputs(spark, titles_path, ratings_path, partitions))
     return write_movies_parquet(movies, out)
 
 

@@ -196,3 +196,20 @@ def test_ties_are_stable_across_partitionings(spark, movies):
         results.append(sorted(map(tuple, most_voted_per_year(movies).collect()), key=repr))
     spark.conf.set("spark.sql.shuffle.partitions", before)
     assert results[0] == results[2] and results[1] == results[3]
+
+
+def test_extra_fields_and_blank_lines(spark, tmp_path):
+    # more fields than the layout: the extra ones are ignored; blank lines are skipped
+    path = tmp_path / "extra.tsv"
+    path.write_text(
+        "h1\th2\th3\th4\th5\th6\th7\th8\th9\n"
+        "tt1\tmovie\tA\tA\t0\t1999\t\\N\t80\tDrama\textra\tmore\n"
+        "\n"
+        "tt2\tmovie\tB\tB\t0\t2001\t\\N\t\\N\t\\N,Comedy\r\n",
+        encoding="utf-8",
+    )
+    rows = {r.tconst: r for r in read_titles_tsv(spark, str(path)).collect()}
+    assert set(rows) == {"tt1", "tt2"}
+    assert rows["tt1"].genres == ["Drama"] and rows["tt1"].time == 80
+    assert rows["tt2"].genres == [None, "Comedy"]  # a missing element stays in place as NULL
+    assert rows["tt2"].startYear == 2001
