@@ -18,11 +18,16 @@ Part catalogue (genre queries): one title per part.
 Ratings (both): lineitem grouped by the key;
   rating = round(max(l_discount) * 100, 1) (0.0 to 10.0, one decimal),
   votes = int(sum(l_quantity)). A title without lines has no rating row.
+Line catalogue (bench scale-up of the join jobs): one title per lineitem row,
+  tconst = '<l_orderkey>-<l_linenumber>', type = l_returnflag (``R`` plays
+  ``movie``), title = 'part <l_partkey>', startYear = year(l_shipdate),
+  genres = [l_linestatus]; its ratings are the line's own discount and
+  quantity, for lines with a non-zero discount only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.joins import join_titles_ratings
@@ -30,6 +35,7 @@ from ..operators.joins import join_titles_ratings
 # Fixed values of the stand-in mapping above.
 ORDER_MOVIE_TYPE = "F"
 PART_MOVIE_TYPE = "ECONOMY"
+LINE_MOVIE_TYPE = "R"
 UNKNOWN_YEAR_PRIORITY = "4-NOT SPECIFIED"
 
 
@@ -68,6 +74,35 @@ def part_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _line_id() -> Column:
+    return F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
+
+
+def line_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    title = F.concat(F.lit("part "), F.col("l_partkey").cast("string"))
+    return li.select(
+        _line_id().alias("tconst"),
+        F.col("l_returnflag").alias("type"),
+        title.alias("primaryTitle"),
+        title.alias("originalTitle"),
+        F.lit("0").alias("isAdult"),
+        F.year("l_shipdate").alias("startYear"),
+        F.lit(None).cast("int").alias("endYear"),
+        F.lit(None).cast("int").alias("time"),
+        F.array("l_linestatus").alias("genres"),
+    )
+
+
+def line_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    return li.where(F.col("l_discount") > 0).select(
+        _line_id().alias("tconst"),
+        F.round(F.col("l_discount") * 100, 1).alias("rating"),
+        F.col("l_quantity").cast("int").alias("votes"),
+    )
+
+
 def lineitem_ratings(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
     """(tconst, rating, votes) per ``key`` of lineitem; partial aggregation map-side."""
     li = table(spark, sf_dir, "lineitem")
