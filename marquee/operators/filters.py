@@ -31,7 +31,12 @@ def with_genre(df: DataFrame, genres: str = "genres") -> DataFrame:
 
 
 def exclude_self(candidates: Column, tconst: Column) -> Column:
-    """Candidates of an array of structs whose ``tconst`` differs from this title's."""
+    """Candidates of an array of structs whose ``tconst`` differs from this title's.
+
+    For projections. Do not filter on it right after a join: the optimizer can
+    move a predicate holding a lambda over an outer column to the wrong join
+    side. ``first_other`` is the form to filter on.
+    """
     return F.filter(candidates, lambda c: c["tconst"] != tconst)
 
 

@@ -74,15 +74,15 @@ def _flat_summary(summary: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- sources
 
 
-def q_read_titles_tsv(spark, sf):
+def q_read_titles_tsv(spark: SparkSession, sf: str) -> DataFrame:
     return _genres_as_text(read_titles_tsv(spark, _titles_tsv(spark, sf)))
 
 
-def q_read_ratings_tsv(spark, sf):
+def q_read_ratings_tsv(spark: SparkSession, sf: str) -> DataFrame:
     return read_ratings_tsv(spark, _ratings_tsv(spark, sf))
 
 
-def q_read_compressed_tsv(spark, sf):
+def q_read_compressed_tsv(spark: SparkSession, sf: str) -> DataFrame:
     parts = []
     for codec in ("gzip", "bzip2"):
         titles = read_titles_tsv(spark, _titles_tsv(spark, sf, codec), partitions=None)
@@ -90,12 +90,12 @@ def q_read_compressed_tsv(spark, sf):
     return parts[0].unionByName(parts[1])
 
 
-def q_read_movies_parquet(spark, sf):
+def q_read_movies_parquet(spark: SparkSession, sf: str) -> DataFrame:
     path = write_movies_parquet(D.order_movies(spark, sf), scratch_path(spark, "movies"))
     return read_movies_parquet(spark, path, ["tconst", "type", "originalTitle", "startYear", "rating", "votes"])
 
 
-def q_read_summary_parquet(spark, sf):
+def q_read_summary_parquet(spark: SparkSession, sf: str) -> DataFrame:
     path = write_summary_parquet(yearly_summary(D.order_movies(spark, sf), F_TYPE), scratch_path(spark, "summary"))
     summary = read_summary_parquet(spark, path)
     return summary.select("year", F.posexplode("top10").alias("pos", "e")).select(
@@ -108,7 +108,7 @@ def q_read_summary_parquet(spark, sf):
     )
 
 
-def q_read_lookup(spark, sf):
+def q_read_lookup(spark: SparkSession, sf: str) -> DataFrame:
     top = top2_rated_per_genre(D.part_movies(spark, sf), P_TYPE)
     path = write_ranked_text(top, scratch_path(spark, "top2_text"), "genre")
     return read_lookup(spark, path, key_type="bigint")
@@ -117,27 +117,27 @@ def q_read_lookup(spark, sf):
 # ---------------------------------------------------------------- sinks
 
 
-def q_write_movies_parquet(spark, sf):
+def q_write_movies_parquet(spark: SparkSession, sf: str) -> DataFrame:
     path = write_movies_parquet(D.order_movies(spark, sf), scratch_path(spark, "movies"))
     return _genres_as_text(spark.read.parquet(path))
 
 
-def q_write_summary_parquet(spark, sf):
+def q_write_summary_parquet(spark: SparkSession, sf: str) -> DataFrame:
     path = write_summary_parquet(yearly_summary(D.order_movies(spark, sf), F_TYPE), scratch_path(spark, "summary"))
     return _flat_summary(spark.read.parquet(path))
 
 
-def q_write_kv_text(spark, sf):
+def q_write_kv_text(spark: SparkSession, sf: str) -> DataFrame:
     counts = movies_per_year(D.order_movies(spark, sf), F_TYPE)
     return spark.read.text(write_kv_text(counts, scratch_path(spark, "kv_text"), "year", ["count"]))
 
 
-def q_write_ranked_text(spark, sf):
+def q_write_ranked_text(spark: SparkSession, sf: str) -> DataFrame:
     top = top10_rated_per_year(D.order_movies(spark, sf), F_TYPE)
     return spark.read.text(write_ranked_text(top, scratch_path(spark, "ranked_text"), "year"))
 
 
-def q_write_recommendation_text(spark, sf):
+def q_write_recommendation_text(spark: SparkSession, sf: str) -> DataFrame:
     recs = recommend_by_genre(D.part_movies(spark, sf), P_TYPE)
     return spark.read.text(write_recommendation_text(recs, scratch_path(spark, "rec_text")))
 
@@ -145,11 +145,11 @@ def q_write_recommendation_text(spark, sf):
 # ---------------------------------------------------------------- projections and scalar functions
 
 
-def q_project_columns(spark, sf):
+def q_project_columns(spark: SparkSession, sf: str) -> DataFrame:
     return C.project_columns(D.order_movies(spark, sf), ["type", "startYear", "endYear"])
 
 
-def q_null_marker_to_null(spark, sf):
+def q_null_marker_to_null(spark: SparkSession, sf: str) -> DataFrame:
     raw = _raw(spark, _titles_tsv(spark, sf), RAW_TITLES)
     return raw.select(
         "tconst",
@@ -160,7 +160,7 @@ def q_null_marker_to_null(spark, sf):
     )
 
 
-def q_split_genres(spark, sf):
+def q_split_genres(spark: SparkSession, sf: str) -> DataFrame:
     titles = D.part_titles(spark, sf)
     genres = C.split_genres(F.array_join("genres", ","))
     return titles.select(
@@ -171,19 +171,19 @@ def q_split_genres(spark, sf):
     )
 
 
-def q_join_genres(spark, sf):
+def q_join_genres(spark: SparkSession, sf: str) -> DataFrame:
     return D.part_titles(spark, sf).select("tconst", C.join_genres("genres").alias("genres"))
 
 
-def q_primary_genre(spark, sf):
+def q_primary_genre(spark: SparkSession, sf: str) -> DataFrame:
     return D.part_titles(spark, sf).select("tconst", C.primary_genre("genres").alias("genre"))
 
 
-def q_effective_year(spark, sf):
+def q_effective_year(spark: SparkSession, sf: str) -> DataFrame:
     return D.order_titles(spark, sf).select("tconst", "startYear", "endYear", C.effective_year().alias("year"))
 
 
-def q_parse_numbers(spark, sf):
+def q_parse_numbers(spark: SparkSession, sf: str) -> DataFrame:
     raw = _raw(spark, _ratings_tsv(spark, sf), RAW_RATINGS)
     return raw.select(
         "tconst",
@@ -194,12 +194,12 @@ def q_parse_numbers(spark, sf):
     )
 
 
-def q_default_minus_one(spark, sf):
+def q_default_minus_one(spark: SparkSession, sf: str) -> DataFrame:
     m = D.order_movies(spark, sf)
     return m.select("tconst", C.default_minus_one("rating").alias("rating"), C.default_minus_one("votes").alias("votes"))
 
 
-def q_null_to_text(spark, sf):
+def q_null_to_text(spark: SparkSession, sf: str) -> DataFrame:
     m = D.order_movies(spark, sf)
     return m.select(
         "tconst",
@@ -209,75 +209,75 @@ def q_null_to_text(spark, sf):
     )
 
 
-def q_format_row(spark, sf):
+def q_format_row(spark: SparkSession, sf: str) -> DataFrame:
     m = D.order_movies(spark, sf)
     cols = ["tconst", "type", "primaryTitle", "originalTitle", "isAdult", "startYear", "endYear", "time"]
     return m.select("tconst", C.format_row(*cols, C.join_genres("genres"), "rating", "votes").alias("value"))
 
 
-def q_year_report(spark, sf):
+def q_year_report(spark: SparkSession, sf: str) -> DataFrame:
     return C.year_report(yearly_summary(D.order_movies(spark, sf), F_TYPE))
 
 
 # ---------------------------------------------------------------- filters
 
 
-def q_filter_movies(spark, sf):
+def q_filter_movies(spark: SparkSession, sf: str) -> DataFrame:
     return filter_movies(D.order_movies(spark, sf), F_TYPE).select("tconst", "type", "startYear")
 
 
-def q_filter_rated(spark, sf):
+def q_filter_rated(spark: SparkSession, sf: str) -> DataFrame:
     return filter_rated(D.order_movies(spark, sf)).select("tconst", "rating", "votes")
 
 
-def q_filter_has_genre(spark, sf):
+def q_filter_has_genre(spark: SparkSession, sf: str) -> DataFrame:
     m = with_genre(filter_movies(D.part_movies(spark, sf), P_TYPE))
     return filter_has_genre(m).select("tconst", "genre")
 
 
-def q_exclude_self(spark, sf):
+def q_exclude_self(spark: SparkSession, sf: str) -> DataFrame:
     movies = D.part_movies(spark, sf)
     targets = filter_has_genre(with_genre(filter_movies(movies, P_TYPE))).select("tconst", "genre")
     joined = checked_broadcast_join(targets, genre_candidates(movies, P_TYPE), ["genre"])
     return joined.select("tconst", F.size(exclude_self(F.col("cands"), F.col("tconst"))).alias("n_candidates"))
 
 
-def q_skip_header(spark, sf):
+def q_skip_header(spark: SparkSession, sf: str) -> DataFrame:
     return read_titles_tsv(spark, _titles_tsv(spark, sf)).select("tconst")
 
 
 # ---------------------------------------------------------------- joins
 
 
-def q_join_titles_ratings(spark, sf):
+def q_join_titles_ratings(spark: SparkSession, sf: str) -> DataFrame:
     return _genres_as_text(join_titles_ratings(D.order_titles(spark, sf), D.order_ratings(spark, sf)))
 
 
-def q_join_movies_ratings(spark, sf):
+def q_join_movies_ratings(spark: SparkSession, sf: str) -> DataFrame:
     joined = join_movies_ratings(D.order_titles(spark, sf), D.order_ratings(spark, sf), F_TYPE)
     return _genres_as_text(joined)
 
 
-def q_recommend_by_genre(spark, sf):
+def q_recommend_by_genre(spark: SparkSession, sf: str) -> DataFrame:
     return recommend_by_genre(D.part_movies(spark, sf), P_TYPE)
 
 
 # ---------------------------------------------------------------- aggregates
 
 
-def q_movies_per_year(spark, sf):
+def q_movies_per_year(spark: SparkSession, sf: str) -> DataFrame:
     return movies_per_year(D.order_movies(spark, sf), F_TYPE)
 
 
-def q_most_voted_per_year(spark, sf):
+def q_most_voted_per_year(spark: SparkSession, sf: str) -> DataFrame:
     return most_voted_per_year(D.order_movies(spark, sf), F_TYPE)
 
 
-def q_yearly_summary(spark, sf):
+def q_yearly_summary(spark: SparkSession, sf: str) -> DataFrame:
     return _flat_summary(yearly_summary(D.order_movies(spark, sf), F_TYPE))
 
 
-def q_ordered_top_list(spark, sf):
+def q_ordered_top_list(spark: SparkSession, sf: str) -> DataFrame:
     top = top2_rated_per_genre(D.part_movies(spark, sf), P_TYPE)
     lists = ordered_top_list(top, ["genre"], ["tconst"], name="cands")
     return lists.select("genre", F.array_join(F.transform("cands", lambda e: e["tconst"].cast("string")), ",").alias("cands"))
@@ -286,44 +286,44 @@ def q_ordered_top_list(spark, sf):
 # ---------------------------------------------------------------- top-n per group
 
 
-def q_top10_rated_per_year(spark, sf):
+def q_top10_rated_per_year(spark: SparkSession, sf: str) -> DataFrame:
     return top10_rated_per_year(D.order_movies(spark, sf), F_TYPE)
 
 
-def q_top2_rated_per_genre(spark, sf):
+def q_top2_rated_per_genre(spark: SparkSession, sf: str) -> DataFrame:
     return top2_rated_per_genre(D.part_movies(spark, sf), P_TYPE)
 
 
 # ---------------------------------------------------------------- sorts
 
 
-def q_order_by_group_key(spark, sf):
+def q_order_by_group_key(spark: SparkSession, sf: str) -> DataFrame:
     return order_by_group_key(movies_per_year(D.order_movies(spark, sf), F_TYPE), "year")
 
 
-def q_order_group_then_rank(spark, sf):
+def q_order_group_then_rank(spark: SparkSession, sf: str) -> DataFrame:
     top = top10_rated_per_year(D.order_movies(spark, sf), F_TYPE)
     return order_group_then_rank(top, "year").select("year", "tconst", "title", "rating", "votes")
 
 
-def q_order_recommendations(spark, sf):
+def q_order_recommendations(spark: SparkSession, sf: str) -> DataFrame:
     return order_recommendations(recommend_by_genre(D.part_movies(spark, sf), P_TYPE))
 
 
 # ---------------------------------------------------------------- end-to-end jobs (TSV in)
 
 
-def q_movies_text(spark, sf):
+def q_movies_text(spark: SparkSession, sf: str) -> DataFrame:
     out = jobs.run_movies_text(spark, _titles_tsv(spark, sf), _ratings_tsv(spark, sf), scratch_path(spark, "job1"), F_TYPE)
     return spark.read.text(out)
 
 
-def q_titles_text(spark, sf):
+def q_titles_text(spark: SparkSession, sf: str) -> DataFrame:
     out = jobs.run_titles_text(spark, _titles_tsv(spark, sf), _ratings_tsv(spark, sf), scratch_path(spark, "job2"))
     return spark.read.text(out)
 
 
-def q_build_movies(spark, sf):
+def q_build_movies(spark: SparkSession, sf: str) -> DataFrame:
     out = jobs.run_build_movies(spark, _titles_tsv(spark, sf), _ratings_tsv(spark, sf), scratch_path(spark, "job3"))
     return _genres_as_text(spark.read.parquet(out))
 
