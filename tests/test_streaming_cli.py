@@ -35,4 +35,16 @@ def test_cli_runs_the_jobs(spark, tmp_path):
     assert sorted(os.listdir(tmp_path / "res")) == [
         "most_voted_per_year", "movies_per_year", "recommend_by_genre", "top10_rated_per_year", "top2_rated_per_genre",
     ]
+    cli(["yearly-summary", "--movies", movies, "--out", str(tmp_path / "summary")])
+    cli(["year-report", "--summary", str(tmp_path / "summary"), "--out", str(tmp_path / "report")])
+    report = "".join(
+        open(os.path.join(tmp_path / "report", f), encoding="utf-8").read()
+        for f in sorted(os.listdir(tmp_path / "report"))
+        if f.startswith("part-")
+    )
+    assert report.startswith("2000\t5\ttt02\t")
+    cli(["movies-text", "--titles", titles, "--ratings", ratings, "--out", str(tmp_path / "j1"), "--partitions", "3"])
+    cli(["titles-text", "--titles", titles, "--ratings", ratings, "--out", str(tmp_path / "j2")])
+    assert spark.read.text(str(tmp_path / "j1")).count() == 11
+    assert spark.read.text(str(tmp_path / "j2")).count() == 12
     assert spark.range(1).count() == 1  # the session is still usable
