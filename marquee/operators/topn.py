@@ -27,6 +27,12 @@ def best_rated_order(rating: str = "rating", votes: str = "votes", tconst: str =
     return [F.col(rating).desc(), default_minus_one(votes).desc(), F.col(tconst).asc()]
 
 
+# Buckets of the first round when Spark plans no partial limit (large n): a
+# hot group is spread over this many tasks, and the final ranking of a group
+# sees at most n rows per bucket.
+DEFAULT_BUCKETS = 64
+
+
 def top_n_per_group(
     df: DataFrame,
     keys: Sequence[str],
@@ -34,6 +40,7 @@ def top_n_per_group(
     n: int,
     rank_col: str = "rank",
     salt_by: Sequence[str] = ("tconst",),
+    buckets: int = DEFAULT_BUCKETS,
 ) -> DataFrame:
     """The first ``n`` rows of each ``keys`` group under ``order``, numbered 1..n in ``rank_col``.
 
@@ -47,8 +54,7 @@ def top_n_per_group(
     spark = df.sparkSession
     threshold = int(spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
     if n > threshold:
-        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        salt = F.pmod(F.xxhash64(*salt_by), F.lit(buckets))
+        salt = F.pmod(F.xxhash64(*salt_by), F.lit(max(1, buckets)))
         w1 = Window.partitionBy(*keys, F.col("_bucket")).orderBy(*order)
         df = df.withColumn("_bucket", salt).withColumn("_r", F.row_number().over(w1)).where(F.col("_r") <= n)
         df = df.drop("_bucket", "_r")

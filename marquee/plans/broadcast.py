@@ -2,10 +2,13 @@
 
 The small side is materialised once as a Parquet table written under the
 shared ``spark.checkpoint.dir`` (so it survives executor loss and cuts its
-lineage), then counted from the file metadata. Within the row bound it is broadcast: the large
-side is never shuffled. Beyond it, both sides are shuffled on the key plus a
-salt, with the small side copied once per salt value, so a key holding a
-third of the large side is still spread over ``fan_out`` tasks.
+lineage), then counted. Within the row and byte bounds it is broadcast: the
+large side is never shuffled. Beyond them, both sides are shuffled on the key
+plus a salt, with the small side copied once per salt value, so a key holding
+a third of the large side is spread over ``fan_out`` tasks at once; AQE's
+skew-join splitting divides whatever imbalance is left. ``fan_out`` is a
+fixed number, not the shuffle partition count: the copies of the small side
+grow with it.
 """
 
 from __future__ import annotations
@@ -21,6 +24,8 @@ from ..runtime import scratch_path
 # and its size as stored (Parquet), well under the executors' memory.
 DEFAULT_MAX_BROADCAST_ROWS = 200_000
 DEFAULT_MAX_BROADCAST_BYTES = 64 * 1024 * 1024
+# Salt values of the shuffle fallback (copies of the small side).
+DEFAULT_FAN_OUT = 32
 
 
 def stored_size(df: DataFrame) -> int:
@@ -51,15 +56,14 @@ def checked_broadcast_join(
     how: str = "inner",
     salt_by: Sequence[str] = ("tconst",),
     max_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
-    fan_out: int | None = None,
+    fan_out: int = DEFAULT_FAN_OUT,
     max_bytes: int = DEFAULT_MAX_BROADCAST_BYTES,
 ) -> DataFrame:
     """``large.join(small, on, how)``, broadcasting ``small`` only within ``max_rows`` and ``max_bytes``."""
     small = materialize(small, "broadcast_side")
     if small.count() <= max_rows and stored_size(small) <= max_bytes:
         return large.join(F.broadcast(small), list(on), how)
-    spark = large.sparkSession
-    salts = fan_out or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    salts = max(1, fan_out)
     salted_small = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted_large = large.withColumn("_salt", F.pmod(F.xxhash64(*salt_by), F.lit(salts)).cast("int"))
     return salted_large.join(salted_small, [*on, "_salt"], how).drop("_salt")
