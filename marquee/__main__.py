@@ -85,5 +85,10 @@ def main(argv: list[str] | None = None, stop: bool = False) -> None:
         spark.stop()
 
 
-if __name__ == "__main__":
+def cli() -> None:
+    """Console entry point."""
     main(stop=True)
+
+
+if __name__ == "__main__":
+    cli()
