@@ -33,9 +33,16 @@ def null_marker_to_null(c: str | Column, marker: str = NULL_MARKER) -> Column:
 
 
 def split_genres(c: str | Column, marker: str = NULL_MARKER) -> Column:
-    """Comma text to a list; a missing field is a NULL list, a missing element a NULL element."""
-    raw = null_marker_to_null(c, marker)
-    return F.transform(F.split(raw, GENRE_SEP), lambda g: F.nullif(g, F.lit(marker)))
+    """Comma text to a list; a missing field is a NULL list, a missing element a NULL element.
+
+    The per-element lambda (not code-generated) runs only for the rare fields
+    that hold the marker at all; every other field takes the plain split.
+    """
+    text = _col(c)
+    marked = F.transform(
+        F.split(null_marker_to_null(text, marker), GENRE_SEP), lambda g: F.nullif(g, F.lit(marker))
+    )
+    return F.when(text.contains(marker), marked).otherwise(F.split(text, GENRE_SEP))
 
 
 def join_genres(c: str | Column) -> Column:
