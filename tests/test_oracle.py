@@ -47,3 +47,27 @@ def test_entry_smoke(spark):
     df = entry(spark)
     assert df.count() > 0
     assert df.columns == ["year", "number_of_movies", "tconst_most_votes", "title_most_votes", "number_of_votes", "top10"]
+
+
+@pytest.mark.parametrize(
+    "conf",
+    [{"spark.sql.adaptive.enabled": "false"}, {"spark.sql.ansi.enabled": "false"}, {"spark.sql.shuffle.partitions": "200"}],
+    ids=["no-aqe", "no-ansi", "200-partitions"],
+)
+def test_core_queries_under_other_session_settings(spark, duck, conf):
+    keys = ["build_movies", "yearly_summary", "top2_rated_per_genre", "recommend_by_genre", "year_report"]
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        for key in keys:
+            df = queries()[key](spark, SF_SMALL)
+            rel = duck.execute(oracle_sql()[key])
+            names = [d[0] for d in rel.description]
+            idx = [names.index(c) for c in df.columns]
+            got = sorted((tuple(_norm(v) for v in r) for r in df.collect()), key=repr)
+            want = sorted((tuple(_norm(r[i]) for i in idx) for r in rel.fetchall()), key=repr)
+            assert got == want, key
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
