@@ -212,3 +212,22 @@ def test_extra_fields_and_blank_lines(spark, tmp_path):
     assert rows["tt1"].genres == ["Drama"] and rows["tt1"].time == 80
     assert rows["tt2"].genres == [None, "Comedy"]  # a missing element stays in place as NULL
     assert rows["tt2"].startYear == 2001
+
+
+def test_unparsable_numbers_become_null(spark, tmp_path):
+    titles = tmp_path / "t.tsv"
+    titles.write_text(
+        "h\th\th\th\th\th\th\th\th\n"
+        "tt1\tmovie\tA\tA\t0\tabc\t\\N\t9x\tDrama\n"
+        "tt2\tmovie\tB\tB\t0\t2001\t\\N\t90\tDrama\n",
+        encoding="utf-8",
+    )
+    ratings = tmp_path / "r.tsv"
+    ratings.write_text("h\th\th\ntt1\tx\t5\ntt2\t7.5\tmany\n", encoding="utf-8")
+    movies = join_titles_ratings(read_titles_tsv(spark, str(titles)), read_ratings_tsv(spark, str(ratings)))
+    rows = {r.tconst: r for r in movies.collect()}
+    assert rows["tt1"].startYear is None and rows["tt1"].time is None and rows["tt1"].rating is None
+    assert rows["tt1"].votes == 5
+    assert rows["tt2"].rating == 7.5 and rows["tt2"].votes is None
+    # a rated movie with unparsable votes ranks and prints with -1
+    assert [(r.tconst, r.votes) for r in top10_rated_per_year(movies).collect()] == [("tt2", -1)]
