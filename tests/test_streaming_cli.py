@@ -18,12 +18,17 @@ def test_stream_ingest_equals_batch_join(spark, tmp_path):
     for i, chunk in enumerate((TITLE_LINES[:6], TITLE_LINES[6:])):
         (landing / f"titles_{i}.tsv").write_text("\n".join([HEADER_TITLES, *chunk]) + "\n", encoding="utf-8")
     out = str(tmp_path / "movies")
-    q = start_title_ingest(spark, str(landing), ratings, out, str(tmp_path / "cp"))
-    q.awaitTermination(120)
-    streamed = sorted(map(tuple, spark.read.parquet(out).collect()), key=repr)
+    q = start_title_ingest(spark, str(landing), ratings, out, str(tmp_path / "cp"), max_files_per_trigger=1)
+    q.awaitTermination(180)
+    table = spark.read.parquet(out)
+    assert sorted(r.batch for r in table.select("batch").distinct().collect()) == [0, 1]
+    streamed = sorted(map(tuple, table.drop("batch").collect()), key=repr)
     batch = join_titles_ratings(read_titles_tsv(spark, titles), read_ratings_tsv(spark, ratings))
     assert streamed == sorted(map(tuple, batch.collect()), key=repr)
     assert len(streamed) == 12
+    # a restart with nothing new appends nothing (progress is in the checkpoint)
+    start_title_ingest(spark, str(landing), ratings, out, str(tmp_path / "cp")).awaitTermination(120)
+    assert spark.read.parquet(out).count() == 12
 
 
 def test_cli_runs_the_jobs(spark, tmp_path):
