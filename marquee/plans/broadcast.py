@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..runtime import scratch_path
@@ -37,16 +37,19 @@ def stored_size(df: DataFrame) -> int:
         return 0
 
 
-def materialize(df: DataFrame, name: str = "materialized") -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder and read it back.
+def materialize(df: DataFrame, name: str = "materialized") -> tuple[DataFrame, int]:
+    """Write ``df`` once to the shared checkpoint folder; return it read back, and its row count.
 
-    Unlike an eager ``checkpoint()`` of an uncached plan, the plan runs once;
-    the read-back table is a plain Parquet scan with exact size statistics.
+    Unlike an eager ``checkpoint()`` of an uncached plan, the plan runs once.
+    The rows are counted while they are written (an observed metric, no second
+    job), and the table is read back with its known schema (no footer scan);
+    it is a plain Parquet scan with exact size statistics.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    rows = Observation(f"{name}_rows")
+    df.observe(rows, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path), int(rows.get["rows"])
 
 
 def checked_broadcast_join(
@@ -60,8 +63,8 @@ def checked_broadcast_join(
     max_bytes: int = DEFAULT_MAX_BROADCAST_BYTES,
 ) -> DataFrame:
     """``large.join(small, on, how)``, broadcasting ``small`` only within ``max_rows`` and ``max_bytes``."""
-    small = materialize(small, "broadcast_side")
-    if small.count() <= max_rows and stored_size(small) <= max_bytes:
+    small, rows = materialize(small, "broadcast_side")
+    if rows <= max_rows and stored_size(small) <= max_bytes:
         return large.join(F.broadcast(small), list(on), how)
     salts = max(1, fan_out)
     salted_small = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
