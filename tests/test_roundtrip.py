@@ -44,7 +44,7 @@ def title_rows(draw):
     return rows
 
 
-@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=12, deadline=None, derandomize=True, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(rows=title_rows())
 def test_titles_round_trip(spark, rows):
     df = spark.createDataFrame(rows, TITLES)
@@ -52,7 +52,7 @@ def test_titles_round_trip(spark, rows):
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
 
 
-@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=8, deadline=None, derandomize=True, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(
     rows=st.lists(
         st.tuples(
