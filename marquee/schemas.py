@@ -23,6 +23,13 @@ TITLE_FIELDS = [
 ]
 RATING_FIELDS = ["tconst", "rating", "votes"]
 
+# Header lines the TSV writer puts at the top of each file (the reader skips
+# the first line of a file whatever it says).
+TITLES_HEADER = "\t".join(
+    ["tconst", "titleType", "primaryTitle", "originalTitle", "isAdult", "startYear", "endYear", "runtimeMinutes", "genres"]
+)
+RATINGS_HEADER = "\t".join(["tconst", "averageRating", "numVotes"])
+
 # Fixed value: the missing-value marker of the raw files.
 NULL_MARKER = "\\N"
 # Fixed value: the title type the queries keep.

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import null_marker_to_null, parse_double, parse_int, split_genres
-from ..schemas import RAW_RATINGS, RAW_TITLES
+from ..schemas import NULL_MARKER, RAW_RATINGS, RAW_TITLES, RATINGS_HEADER, TITLE_FIELDS, TITLES_HEADER
 
 TSV_OPTIONS = {
     "sep": "\t",
@@ -72,27 +72,21 @@ def read_ratings_tsv(spark: SparkSession, paths: str | list[str], partitions: in
 
 def write_titles_tsv(titles: DataFrame, path: str, compression: str | None = None) -> str:
     """Write typed titles in the raw layout (header line, ``\\N`` for missing values)."""
-    marker = F.lit("\\N")
-    cell = lambda c: F.coalesce(F.col(c).cast("string"), marker)
-    genres = F.array_join("genres", ",", "\\N")
-    line = F.concat_ws(
-        "\t",
-        *[cell(c) for c in ("tconst", "type", "primaryTitle", "originalTitle", "isAdult", "startYear", "endYear", "time")],
-        F.coalesce(genres, marker),
-    )
-    _write_lines(titles.select(line.alias("value")), path, "\t".join(
-        ["tconst", "titleType", "primaryTitle", "originalTitle", "isAdult", "startYear", "endYear", "runtimeMinutes", "genres"]
-    ), compression)
+    marker = F.lit(NULL_MARKER)
+    cells = [F.coalesce(F.col(c).cast("string"), marker) for c in TITLE_FIELDS[:-1]]
+    genres = F.coalesce(F.array_join("genres", ",", NULL_MARKER), marker)
+    line = F.concat_ws("\t", *cells, genres)
+    _write_lines(titles.select(line.alias("value")), path, TITLES_HEADER, compression)
     return path
 
 
 def write_ratings_tsv(ratings: DataFrame, path: str, compression: str | None = None) -> str:
     """Write ratings in the raw layout (header line, ``\\N`` for missing values)."""
-    marker = F.lit("\\N")
+    marker = F.lit(NULL_MARKER)
     line = F.concat_ws(
         "\t", *[F.coalesce(F.col(c).cast("string"), marker) for c in ("tconst", "rating", "votes")]
     )
-    _write_lines(ratings.select(line.alias("value")), path, "tconst\taverageRating\tnumVotes", compression)
+    _write_lines(ratings.select(line.alias("value")), path, RATINGS_HEADER, compression)
     return path
 
 
