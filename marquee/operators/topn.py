@@ -41,6 +41,7 @@ def top_n_per_group(
     rank_col: str = "rank",
     salt_by: Sequence[str] = ("tconst",),
     buckets: int = DEFAULT_BUCKETS,
+    fan_in: int | None = None,
 ) -> DataFrame:
     """The first ``n`` rows of each ``keys`` group under ``order``, numbered 1..n in ``rank_col``.
 
@@ -50,8 +51,19 @@ def top_n_per_group(
     first cut within (group, salt) buckets, salt = hash of ``salt_by`` (the
     rows of one group spread over every bucket), so the final ranking sees at
     most n rows per bucket of a group. Both ways give the same, exact result.
+
+    ``fan_in`` (optional, e.g. the square root of the input partition count)
+    adds a first round ranked within (group, input partition mod ``fan_in``):
+    each input partition falls in one bucket, so a task of that round hears
+    from only 1/``fan_in`` of the map tasks, and the final ranking of a group
+    sees at most n x ``fan_in`` rows, instead of n x (map partitions).
     """
     spark = df.sparkSession
+    if fan_in:
+        part = F.pmod(F.spark_partition_id(), F.lit(fan_in))
+        w0 = Window.partitionBy(*keys, F.col("_part")).orderBy(*order)
+        df = df.withColumn("_part", part).withColumn("_r0", F.row_number().over(w0)).where(F.col("_r0") <= n)
+        df = df.drop("_part", "_r0")
     threshold = int(spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
     if n > threshold:
         salt = F.pmod(F.xxhash64(*salt_by), F.lit(max(1, buckets)))

@@ -112,3 +112,23 @@ def test_large_n_falls_back_to_bucketed_cut(spark, skewed):
     plain = top_n_per_group(skewed.where("rating IS NOT NULL"), ["startYear"], best_rated_order(), 10)
     assert got == sorted((r.startYear, r["rank"], r.tconst) for r in plain.collect())
     assert len(got) == 10 * (GROUPS + 1)
+
+
+def test_fan_in_round_bounds_the_final_task(spark, skewed):
+    from marquee.operators.topn import best_rated_order, top_n_per_group
+
+    rated = skewed.where("rating IS NOT NULL")
+    plain = top_n_per_group(rated, ["startYear"], best_rated_order(), 10)
+    tiered = top_n_per_group(rated, ["startYear"], best_rated_order(), 10, fan_in=4)
+    assert sorted(map(tuple, tiered.collect())) == sorted(map(tuple, plain.collect()))
+    # the last exchange (into the final ranking) carries at most n x fan_in rows per group
+    qe = tiered._jdf.queryExecution()
+    qe.toRdd().count()
+    final = qe.executedPlan().executedPlan()
+    exchanges = [
+        int(node.plan().metrics().get("shuffleRecordsWritten").get().value())
+        for node in _walk(final)
+        if "QueryStage" in node.nodeName() and node.plan().nodeName() == "Exchange"
+    ]
+    assert len(exchanges) == 2
+    assert min(exchanges) <= 10 * 4 * (GROUPS + 1)
