@@ -11,11 +11,14 @@ from pyspark.sql import functions as F
 from ..schemas import NULL_MARKER
 
 # The text a missing value prints as, the value a missing rating
-# or vote count ranks and prints as, and the separators of the text formats.
+# or vote count ranks and prints as, the separators of the text formats, and
+# the report's list heading and entry mark.
 NULL_TEXT = "null"
 MISSING_NUMBER = -1
 FIELD_SEP = "\t"
 GENRE_SEP = ","
+REPORT_LIST_HEADING = "Top 10:"
+REPORT_ENTRY_MARK = "- "
 
 
 def _col(c: str | Column) -> Column:
@@ -89,7 +92,7 @@ def report_entry(entry: Column, position: Column) -> Column:
     """One numbered line of a top list: ``<pos>- tconst\\ttitle\\trating\\tvotes``."""
     return F.concat(
         (position + 1).cast("string"),
-        F.lit("- "),
+        F.lit(REPORT_ENTRY_MARK),
         format_row(entry["tconst"], entry["originalTitle"], entry["rating"], entry["votes"]),
         F.lit("\n"),
     )
@@ -106,5 +109,5 @@ def year_report(summary: DataFrame) -> DataFrame:
     lines = F.array_join(F.transform("top10", lambda e, i: report_entry(e, i)), "")
     return summary.select(
         "year",
-        F.concat(header, F.lit("\nTop 10:\n"), lines).alias("report"),
+        F.concat(header, F.lit(f"\n{REPORT_LIST_HEADING}\n"), lines).alias("report"),
     )
