@@ -70,7 +70,7 @@ def ordered_top_list(
     )
 
 
-def yearly_summary(movies: DataFrame, kind: str = MOVIE, n: int = 10) -> DataFrame:
+def yearly_summary(movies: DataFrame, kind: str = MOVIE, n: int = 10, fan_in: int | None = None) -> DataFrame:
     """One row per startYear: movie count, most-voted movie, ordered top-n list.
 
     (year, number_of_movies, tconst_most_votes, title_most_votes,
@@ -79,14 +79,14 @@ def yearly_summary(movies: DataFrame, kind: str = MOVIE, n: int = 10) -> DataFra
     Two branches over the same scan: the count and arg-max aggregate map-side;
     the top list is cut to n before its shuffle. They meet in a null-safe join
     of one row per year on each side (years without a rated movie get an empty
-    list).
+    list). ``fan_in`` is passed to the top-n cut (see ``top_n_per_group``).
     """
     m = filter_movies(movies, kind)
     stats = m.groupBy(F.col("startYear").alias("year")).agg(
         F.count(F.lit(1)).alias("number_of_movies"),
         _most_voted(F.col("votes"), F.col("tconst"), F.col("originalTitle")).alias("best"),
     )
-    top = top10_rated_per_year(movies, kind, n).withColumnRenamed("title", "originalTitle")
+    top = top10_rated_per_year(movies, kind, n, fan_in).withColumnRenamed("title", "originalTitle")
     lists = ordered_top_list(top, ["year"], ["tconst", "originalTitle", "rating", "votes"], name="top10")
     lists = lists.withColumnRenamed("year", "list_year")
     joined = stats.join(lists, stats["year"].eqNullSafe(lists["list_year"]), "left")

@@ -74,7 +74,7 @@ def top_n_per_group(
     return df.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= n)
 
 
-def top10_rated_per_year(movies: DataFrame, kind: str = MOVIE, n: int = 10) -> DataFrame:
+def top10_rated_per_year(movies: DataFrame, kind: str = MOVIE, n: int = 10, fan_in: int | None = None) -> DataFrame:
     """Ten best-rated movies of each startYear: (year, rank, tconst, title, rating, votes).
 
     Unrated movies are left out; a year with none disappears. Votes print as -1
@@ -87,12 +87,12 @@ def top10_rated_per_year(movies: DataFrame, kind: str = MOVIE, n: int = 10) -> D
         "rating",
         default_minus_one("votes").alias("votes"),
     )
-    return top_n_per_group(rated, ["year"], best_rated_order(), n).select(
+    return top_n_per_group(rated, ["year"], best_rated_order(), n, fan_in=fan_in).select(
         "year", "rank", "tconst", "title", "rating", "votes"
     )
 
 
-def top2_rated_per_genre(movies: DataFrame, kind: str = MOVIE, n: int = 2) -> DataFrame:
+def top2_rated_per_genre(movies: DataFrame, kind: str = MOVIE, n: int = 2, fan_in: int | None = None) -> DataFrame:
     """Two best-rated movies of each first genre: (genre, rank, tconst, title, rating, votes)."""
     rated = filter_rated(filter_has_genre(with_genre(filter_movies(movies, kind)))).select(
         "genre",
@@ -101,6 +101,6 @@ def top2_rated_per_genre(movies: DataFrame, kind: str = MOVIE, n: int = 2) -> Da
         "rating",
         default_minus_one("votes").alias("votes"),
     )
-    return top_n_per_group(rated, ["genre"], best_rated_order(), n).select(
+    return top_n_per_group(rated, ["genre"], best_rated_order(), n, fan_in=fan_in).select(
         "genre", "rank", "tconst", "title", "rating", "votes"
     )

@@ -132,3 +132,9 @@ def test_fan_in_round_bounds_the_final_task(spark, skewed):
     ]
     assert len(exchanges) == 2
     assert min(exchanges) <= 10 * 4 * (GROUPS + 1)
+
+
+def test_summary_with_fan_in_matches(skewed):
+    a = sorted(map(repr, yearly_summary(skewed).collect()))
+    b = sorted(map(repr, yearly_summary(skewed, fan_in=4).collect()))
+    assert a == b
