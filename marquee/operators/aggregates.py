@@ -76,8 +76,8 @@ def yearly_summary(movies: DataFrame, kind: str = MOVIE, n: int = 10, fan_in: in
     (year, number_of_movies, tconst_most_votes, title_most_votes,
     number_of_votes, top10 array<struct<tconst, originalTitle, rating, votes>>)
 
-    Two branches over the same scan: the count and arg-max aggregate map-side;
-    the top list is cut to n before its shuffle. They meet in a null-safe join
+    Two branches, each with its own pruned scan: the count and arg-max
+    aggregate map-side; the top list is cut to n before its shuffle. They meet in a null-safe join
     of one row per year on each side (years without a rated movie get an empty
     list). ``fan_in`` is passed to the top-n cut (see ``top_n_per_group``).
     """
