@@ -37,8 +37,8 @@ def stored_size(df: DataFrame) -> int:
         return 0
 
 
-def materialize(df: DataFrame, name: str = "materialized") -> tuple[DataFrame, int]:
-    """Write ``df`` once to the shared checkpoint folder; return it read back, and its row count.
+def materialize(df: DataFrame, name: str = "materialized") -> tuple[DataFrame, int, str]:
+    """Write ``df`` once to the shared checkpoint folder; return it read back, its row count and path.
 
     Unlike an eager ``checkpoint()`` of an uncached plan, the plan runs once.
     The rows are counted while they are written (an observed metric, no second
@@ -49,7 +49,7 @@ def materialize(df: DataFrame, name: str = "materialized") -> tuple[DataFrame, i
     path = scratch_path(spark, name)
     rows = Observation(f"{name}_rows")
     df.observe(rows, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path), int(rows.get["rows"])
+    return spark.read.schema(df.schema).parquet(path), int(rows.get["rows"]), path
 
 
 def checked_broadcast_join(
@@ -61,9 +61,16 @@ def checked_broadcast_join(
     max_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
     fan_out: int = DEFAULT_FAN_OUT,
     max_bytes: int = DEFAULT_MAX_BROADCAST_BYTES,
+    scratch: list[str] | None = None,
 ) -> DataFrame:
-    """``large.join(small, on, how)``, broadcasting ``small`` only within ``max_rows`` and ``max_bytes``."""
-    small, rows = materialize(small, "broadcast_side")
+    """``large.join(small, on, how)``, broadcasting ``small`` only within ``max_rows`` and ``max_bytes``.
+
+    The materialised small side stays under the checkpoint folder; pass a list
+    as ``scratch`` to receive its path and remove it once the result is written.
+    """
+    small, rows, path = materialize(small, "broadcast_side")
+    if scratch is not None:
+        scratch.append(path)
     if rows <= max_rows and stored_size(small) <= max_bytes:
         return large.join(F.broadcast(small), list(on), how)
     salts = max(1, fan_out)

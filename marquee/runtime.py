@@ -1,8 +1,9 @@
 """Session and shared-storage helpers.
 
 Intermediate results that must outlive a task (checkpoints, round-trip files)
-go under the folder the cluster names in ``spark.checkpoint.dir``; a local
-fallback is set only when the session has none, as in tests.
+go under the folder the cluster names in ``spark.checkpoint.dir``; a fallback
+is set only when the session has none, and only where it is safe: a local
+session, or a warehouse folder on shared storage.
 """
 
 from __future__ import annotations
@@ -10,10 +11,16 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark import SparkConf
+from pyspark import SparkContext
 from pyspark.sql import SparkSession
 
 
+def _launched_with_master() -> bool:
+    """True under ``spark-submit``/``pyspark`` (the JVM, and its master, came first)
+    or when a SparkContext already runs in this process."""
+    return SparkContext._active_spark_context is not None or bool(os.environ.get("PYSPARK_GATEWAY_PORT"))
+
+
 def build_session(master: str | None = None, partitions: int | None = None, app: str = "marquee") -> SparkSession:
     """Session for tests, the bench and the command line.
 
@@ -21,9 +28,8 @@ def build_session(master: str | None = None, partitions: int | None = None, app:
     settings are kept; only when no master is set does this start a local
     session sized to ``BENCH_CPUS`` cores.
     """
-    configured = SparkConf().get("spark.master", None)
     builder = SparkSession.builder.appName(app)
-    if master or not configured:
+    if master or not _launched_with_master():
         cpus = os.environ.get("BENCH_CPUS", "8")
         builder = (
             builder.master(master or f"local[{cpus}]")
@@ -49,6 +55,24 @@ def build_session(master: str | None = None, partitions: int | None = None, app:
     return spark
 
 
+def _is_local_master(spark: SparkSession, sc) -> bool:
+    master = sc.master if sc is not None else spark.conf.get("spark.master", "")
+    return str(master).startswith("local")
+
+
+def _fallback_dir(spark: SparkSession, sc) -> str:
+    """The warehouse's ``_checkpoints`` folder, where every task and the driver see
+    the same files: always in a local session, else only on shared storage."""
+    warehouse = spark.conf.get("spark.sql.warehouse.dir", "spark-warehouse").rstrip("/")
+    shared = "://" in warehouse and not warehouse.startswith("file:")
+    if not (shared or _is_local_master(spark, sc)):
+        raise RuntimeError(
+            "spark.checkpoint.dir is not set and the warehouse folder is not on shared storage; "
+            "set spark.checkpoint.dir to a folder every executor can read (HDFS, S3, ...)"
+        )
+    return warehouse + "/_checkpoints"
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint folder, setting one only if none is configured."""
     try:
@@ -62,8 +86,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             return current
         configured = configured or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
-        warehouse = spark.conf.get("spark.sql.warehouse.dir", "spark-warehouse")
-        configured = warehouse.rstrip("/") + "/_checkpoints"
+        configured = _fallback_dir(spark, sc)
     if sc is None:
         return configured
     sc.setCheckpointDir(configured)
@@ -74,3 +97,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint directory for a written table."""
     base = ensure_checkpoint_dir(spark)
     return f"{base.rstrip('/')}/tables/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def remove_path(spark: SparkSession, path: str) -> bool:
+    """Delete a scratch folder through the cluster's file system (no-op without a JVM)."""
+    try:
+        jvm = spark.sparkContext._jvm
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+    except Exception:  # Spark Connect: leave it to the checkpoint folder's cleanup
+        return False
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(conf).delete(p, True))

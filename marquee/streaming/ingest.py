@@ -2,8 +2,10 @@
 to the rating table and appended to the movie table.
 
 Structured Streaming's file source picks up each new file once and records
-its progress in the checkpoint (under the shared ``spark.checkpoint.dir``
-unless given). Each micro-batch is handled as a plain DataFrame:
+its progress in the checkpoint (by default ``<out>/_ingest_checkpoint``, the
+same folder on every start, so a restart resumes where the last run stopped;
+readers skip folders starting with ``_``). Each micro-batch is handled as a
+plain DataFrame:
 
 * the batch's title ids, a set bounded by the batch size, go through the
   size-checked broadcast join to pick out the matching ratings map-side, so
@@ -11,7 +13,8 @@ unless given). Each micro-batch is handled as a plain DataFrame:
   to broadcast takes the salted shuffle join instead);
 * the batch's titles are left-joined to those ratings;
 * the result is written to ``<out>/batch=<id>``, replacing that folder, so a
-  retried batch rewrites the same files and every batch lands exactly once.
+  retried batch rewrites the same files and every batch lands exactly once;
+* the batch's scratch table (the materialised ids) is then removed.
 
 Readers see the movie table plus a ``batch`` column (the micro-batch that
 appended the row).
@@ -24,7 +27,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.joins import join_titles_ratings
 from ..plans.broadcast import checked_broadcast_join
-from ..runtime import scratch_path
+from ..runtime import remove_path
 from ..schemas import RAW_TITLES
 from ..sinks.parquet import write_movies_parquet
 from ..sources.tsv import TSV_OPTIONS, read_ratings_tsv, type_titles
@@ -33,9 +36,12 @@ from ..sources.tsv import TSV_OPTIONS, read_ratings_tsv, type_titles
 def append_batch(titles: DataFrame, ratings: DataFrame, out_path: str, batch_id: int) -> None:
     """Join one micro-batch of typed titles to the ratings and write it as batch ``batch_id``."""
     ids = titles.select("tconst")
-    matched = checked_broadcast_join(ratings, ids, ["tconst"], how="left_semi")
+    scratch: list[str] = []
+    matched = checked_broadcast_join(ratings, ids, ["tconst"], how="left_semi", scratch=scratch)
     movies = join_titles_ratings(titles, matched)
     write_movies_parquet(movies, f"{out_path.rstrip('/')}/batch={batch_id}")
+    for path in scratch:
+        remove_path(titles.sparkSession, path)
 
 
 def start_title_ingest(
@@ -59,7 +65,7 @@ def start_title_ingest(
 
     writer = (
         titles.writeStream.foreachBatch(handle)
-        .option("checkpointLocation", checkpoint_location or scratch_path(spark, "ingest_checkpoint"))
+        .option("checkpointLocation", checkpoint_location or f"{out_path.rstrip('/')}/_ingest_checkpoint")
     )
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
     return writer.start()

@@ -31,6 +31,32 @@ def test_stream_ingest_equals_batch_join(spark, tmp_path):
     assert spark.read.parquet(out).count() == 12
 
 
+def test_stream_restart_resumes_without_duplicates(spark, tmp_path):
+    from marquee.runtime import ensure_checkpoint_dir
+
+    titles, ratings = write_inputs(str(tmp_path / "in"))
+    landing = tmp_path / "landing"
+    landing.mkdir()
+    chunks = (TITLE_LINES[:4], TITLE_LINES[4:8], TITLE_LINES[8:])
+    for i, chunk in enumerate(chunks[:2]):
+        (landing / f"titles_{i}.tsv").write_text("\n".join([HEADER_TITLES, *chunk]) + "\n", encoding="utf-8")
+    tables = os.path.join(ensure_checkpoint_dir(spark).replace("file:", ""), "tables")
+    scratch_before = {d for d in os.listdir(tables) if d.startswith("broadcast_side-")} if os.path.isdir(tables) else set()
+    out = str(tmp_path / "movies")
+    # first run: default checkpoint (next to the output), one file per batch
+    start_title_ingest(spark, str(landing), ratings, out, max_files_per_trigger=1).awaitTermination(180)
+    assert spark.read.parquet(out).count() == 8
+    # a third file arrives; the restart resumes after the first two
+    (landing / "titles_2.tsv").write_text("\n".join([HEADER_TITLES, *chunks[2]]) + "\n", encoding="utf-8")
+    start_title_ingest(spark, str(landing), ratings, out).awaitTermination(180)
+    table = spark.read.parquet(out)
+    assert table.count() == 12 and table.select("tconst").distinct().count() == 12
+    assert sorted(r.batch for r in table.select("batch").distinct().collect()) == [0, 1, 2]
+    # each batch's scratch table was removed after its write
+    scratch_after = {d for d in os.listdir(tables) if d.startswith("broadcast_side-")}
+    assert scratch_after == scratch_before
+
+
 def test_cli_runs_the_jobs(spark, tmp_path):
     titles, ratings = write_inputs(str(tmp_path / "in"))
     movies = str(tmp_path / "movies")
