@@ -26,7 +26,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from marquee.plans import jobs  # noqa: E402
-from marquee.runtime import build_session, scratch_path  # noqa: E402
+from marquee.runtime import build_session, ensure_checkpoint_dir, remove_path, scratch_path  # noqa: E402
 from marquee.sinks.parquet import write_movies_parquet  # noqa: E402
 from marquee.sources import driver as D  # noqa: E402
 from marquee.sources.tsv import write_ratings_tsv, write_titles_tsv  # noqa: E402
@@ -154,6 +154,8 @@ def main() -> None:
         },
     }
     print(json.dumps(result))
+    # the inputs and outputs written by this run are scratch: remove them
+    remove_path(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables")
     spark.stop()
 
 

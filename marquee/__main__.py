@@ -26,7 +26,7 @@ def main(argv: list[str] | None = None, stop: bool = False) -> None:
     p = argparse.ArgumentParser(prog="marquee")
     sub = p.add_subparsers(dest="cmd", required=True)
 
-    def add(name, *, tsv=False, movies=False, summary=False):
+    def add(name, *, tsv=False, movies=False, summary=False, kind=True):
         s = sub.add_parser(name)
         if tsv:
             s.add_argument("--titles", required=True)
@@ -38,16 +38,17 @@ def main(argv: list[str] | None = None, stop: bool = False) -> None:
         if summary:
             s.add_argument("--summary", required=True)
         s.add_argument("--out", required=True)
-        s.add_argument("--kind", default=MOVIE)
+        if kind:
+            s.add_argument("--kind", default=MOVIE, help="the title type counted as a movie")
         return s
 
     add("movies-text", tsv=True)
-    add("titles-text", tsv=True)
-    add("build-movies", tsv=True)
+    add("titles-text", tsv=True, kind=False)
+    add("build-movies", tsv=True, kind=False)
     for name in ("movies-per-year", "most-voted-per-year", "top10-rated-per-year", "yearly-summary",
                  "top2-rated-per-genre", "recommend-by-genre", "queries", "genres"):
         add(name, movies=True)
-    add("year-report", summary=True)
+    add("year-report", summary=True, kind=False)
     a = p.parse_args(argv)
 
     spark = build_session()

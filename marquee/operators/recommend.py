@@ -32,14 +32,19 @@ def recommend_by_genre(
     movies: DataFrame,
     kind: str = MOVIE,
     max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
+    scratch: list[str] | None = None,
 ) -> DataFrame:
-    """(tconst, title, genre, rating, votes, rec_tconst, rec_title, rec_rating, rec_votes)."""
+    """(tconst, title, genre, rating, votes, rec_tconst, rec_title, rec_rating, rec_votes).
+
+    ``scratch`` receives the path of the materialised candidate table, for the
+    caller to remove once the result has been written.
+    """
     targets = filter_has_genre(with_genre(filter_movies(movies, kind))).select(
         "tconst", F.col("originalTitle").alias("title"), "genre", "rating", "votes"
     )
     lists = genre_candidates(movies, kind)
     cands = lists.select("genre", F.get("cands", 0).alias("c1"), F.get("cands", 1).alias("c2"))
-    joined = checked_broadcast_join(targets, cands, ["genre"], max_rows=max_broadcast_rows)
+    joined = checked_broadcast_join(targets, cands, ["genre"], max_rows=max_broadcast_rows, scratch=scratch)
     rec = first_other([F.col("c1"), F.col("c2")], F.col("tconst"))
     return (
         joined.select("tconst", "title", "genre", "rating", "votes", rec.alias("rec"))

@@ -2,7 +2,8 @@
 
 The small side is materialised once as a Parquet table written under the
 shared ``spark.checkpoint.dir`` (so it survives executor loss and cuts its
-lineage), then counted. Within the row and byte bounds it is broadcast: the
+lineage); its rows and their serialised bytes are counted while it is
+written. Within the row and byte bounds it is broadcast: the
 large side is never shuffled. Beyond them, both sides are shuffled on the key
 plus a salt, with the small side copied once per salt value, so a key holding
 a third of the large side is spread over ``fan_out`` tasks at once; AQE's
@@ -21,35 +22,30 @@ from pyspark.sql import functions as F
 from ..runtime import scratch_path
 
 # Default bounds for broadcasting: rows of the small side (one per group key),
-# and its size as stored (Parquet), well under the executors' memory.
+# and their uncompressed size (each row serialised as JSON, so close to its
+# in-memory size, not the compressed Parquet size), well under executor memory.
 DEFAULT_MAX_BROADCAST_ROWS = 200_000
 DEFAULT_MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 # Salt values of the shuffle fallback (copies of the small side).
 DEFAULT_FAN_OUT = 32
 
 
-def stored_size(df: DataFrame) -> int:
-    """Size statistic of a file-backed DataFrame (bytes on storage); 0 if unavailable
-    (a Spark Connect session exposes no plan statistics; the row bound still holds)."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:
-        return 0
-
-
-def materialize(df: DataFrame, name: str = "materialized") -> tuple[DataFrame, int, str]:
-    """Write ``df`` once to the shared checkpoint folder; return it read back, its row count and path.
+def materialize(df: DataFrame, name: str = "materialized") -> tuple[DataFrame, int, int, str]:
+    """Write ``df`` once to the shared checkpoint folder.
 
+    Returns it read back, its row count, its uncompressed byte count and its path.
     Unlike an eager ``checkpoint()`` of an uncached plan, the plan runs once.
-    The rows are counted while they are written (an observed metric, no second
-    job), and the table is read back with its known schema (no footer scan);
-    it is a plain Parquet scan with exact size statistics.
+    Rows and bytes are counted while they are written (observed metrics, no
+    second job), and the table is read back with its known schema (no footer
+    scan).
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    rows = Observation(f"{name}_rows")
-    df.observe(rows, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path), int(rows.get["rows"]), path
+    seen = Observation(f"{name}_size")
+    size = F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*df.columns)))), F.lit(0))
+    df.observe(seen, F.count(F.lit(1)).alias("rows"), size.alias("bytes")).write.mode("overwrite").parquet(path)
+    metrics = seen.get
+    return spark.read.schema(df.schema).parquet(path), int(metrics["rows"]), int(metrics["bytes"]), path
 
 
 def checked_broadcast_join(
@@ -68,10 +64,10 @@ def checked_broadcast_join(
     The materialised small side stays under the checkpoint folder; pass a list
     as ``scratch`` to receive its path and remove it once the result is written.
     """
-    small, rows, path = materialize(small, "broadcast_side")
+    small, rows, size, path = materialize(small, "broadcast_side")
     if scratch is not None:
         scratch.append(path)
-    if rows <= max_rows and stored_size(small) <= max_bytes:
+    if rows <= max_rows and size <= max_bytes:
         return large.join(F.broadcast(small), list(on), how)
     salts = max(1, fan_out)
     salted_small = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

@@ -14,6 +14,7 @@ from ..operators.aggregates import most_voted_per_year, movies_per_year, yearly_
 from ..operators.joins import join_movies_ratings, join_titles_ratings
 from ..operators.recommend import recommend_by_genre
 from ..operators.topn import top2_rated_per_genre, top10_rated_per_year
+from ..runtime import remove_path
 from ..schemas import MOVIE
 from ..sinks.parquet import write_movies_parquet, write_summary_parquet
 from ..sinks.text import (
@@ -121,6 +122,11 @@ def run_top2_rated_per_genre(spark: SparkSession, movies_path: str, out: str, ki
 
 def run_recommend_by_genre(spark: SparkSession, movies_path: str, out: str, kind: str = MOVIE) -> str:
     """Job 10: one recommendation line per movie with a genre, by tconst."""
-    recs = recommend_by_genre(read_movies_parquet(spark, movies_path, "by_genre"), kind)
-    return write_recommendation_text(recs, out)
+    scratch: list[str] = []
+    try:
+        recs = recommend_by_genre(read_movies_parquet(spark, movies_path, "by_genre"), kind, scratch=scratch)
+        return write_recommendation_text(recs, out)
+    finally:
+        for path in scratch:
+            remove_path(spark, path)
 

@@ -9,6 +9,7 @@ session, or a warehouse folder on shared storage.
 from __future__ import annotations
 
 import os
+import re
 import uuid
 
 from pyspark import SparkContext
@@ -16,9 +17,14 @@ from pyspark.sql import SparkSession
 
 
 def _launched_with_master() -> bool:
-    """True under ``spark-submit``/``pyspark`` (the JVM, and its master, came first)
-    or when a SparkContext already runs in this process."""
-    return SparkContext._active_spark_context is not None or bool(os.environ.get("PYSPARK_GATEWAY_PORT"))
+    """True under ``spark-submit``/``pyspark`` (the JVM, and its master, came first),
+    when a SparkContext already runs in this process, or for a Spark Connect
+    session (``SPARK_REMOTE``), which takes no master."""
+    return (
+        SparkContext._active_spark_context is not None
+        or bool(os.environ.get("PYSPARK_GATEWAY_PORT"))
+        or bool(os.environ.get("SPARK_REMOTE"))
+    )
 
 
 def build_session(master: str | None = None, partitions: int | None = None, app: str = "marquee") -> SparkSession:
@@ -50,7 +56,10 @@ def build_session(master: str | None = None, partitions: int | None = None, app:
         .config("spark.sql.ansi.enabled", "true")
     )
     spark = builder.getOrCreate()
-    spark.sparkContext.setLogLevel("ERROR")
+    try:
+        spark.sparkContext.setLogLevel("ERROR")
+    except Exception:  # Spark Connect: no SparkContext
+        pass
     ensure_checkpoint_dir(spark)
     return spark
 
@@ -64,7 +73,8 @@ def _fallback_dir(spark: SparkSession, sc) -> str:
     """The warehouse's ``_checkpoints`` folder, where every task and the driver see
     the same files: always in a local session, else only on shared storage."""
     warehouse = spark.conf.get("spark.sql.warehouse.dir", "spark-warehouse").rstrip("/")
-    shared = "://" in warehouse and not warehouse.startswith("file:")
+    scheme = re.match(r"^([A-Za-z][A-Za-z0-9+.-]+):", warehouse)
+    shared = scheme is not None and scheme.group(1).lower() != "file"
     if not (shared or _is_local_master(spark, sc)):
         raise RuntimeError(
             "spark.checkpoint.dir is not set and the warehouse folder is not on shared storage; "

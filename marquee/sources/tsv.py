@@ -71,10 +71,16 @@ def read_ratings_tsv(spark: SparkSession, paths: str | list[str], partitions: in
 
 
 def write_titles_tsv(titles: DataFrame, path: str, compression: str | None = None) -> str:
-    """Write typed titles in the raw layout (header line, ``\\N`` for missing values)."""
+    """Write typed titles in the raw layout (header line, ``\\N`` for missing values).
+
+    The format has no way to tell a missing genre list from an empty one or
+    from a list holding one missing element: all three are written as ``\\N``
+    and read back as a missing list.
+    """
     marker = F.lit(NULL_MARKER)
     cells = [F.coalesce(F.col(c).cast("string"), marker) for c in TITLE_FIELDS[:-1]]
-    genres = F.coalesce(F.array_join("genres", ",", NULL_MARKER), marker)
+    listed = F.when(F.size("genres") > 0, F.array_join("genres", ",", NULL_MARKER))
+    genres = F.coalesce(listed, marker)
     line = F.concat_ws("\t", *cells, genres)
     _write_lines(titles.select(line.alias("value")), path, TITLES_HEADER, compression)
     return path

@@ -16,6 +16,10 @@ plain DataFrame:
   retried batch rewrites the same files and every batch lands exactly once;
 * the batch's scratch table (the materialised ids) is then removed.
 
+Each batch still scans the whole rating table (without shuffling it); for a
+very large rating table and small, frequent batches, keep the ratings as
+Parquet (column-pruned, splittable) and use larger triggers.
+
 Readers see the movie table plus a ``batch`` column (the micro-batch that
 appended the row).
 """
@@ -34,14 +38,22 @@ from ..sources.tsv import TSV_OPTIONS, read_ratings_tsv, type_titles
 
 
 def append_batch(titles: DataFrame, ratings: DataFrame, out_path: str, batch_id: int) -> None:
-    """Join one micro-batch of typed titles to the ratings and write it as batch ``batch_id``."""
-    ids = titles.select("tconst")
+    """Join one micro-batch of typed titles to the ratings and write it as batch ``batch_id``.
+
+    The batch is used twice (its ids, then the join), so it is persisted for
+    the duration; its scratch table is removed whether the write succeeds or not.
+    """
+    titles = titles.persist()
     scratch: list[str] = []
-    matched = checked_broadcast_join(ratings, ids, ["tconst"], how="left_semi", scratch=scratch)
-    movies = join_titles_ratings(titles, matched)
-    write_movies_parquet(movies, f"{out_path.rstrip('/')}/batch={batch_id}")
-    for path in scratch:
-        remove_path(titles.sparkSession, path)
+    try:
+        ids = titles.select("tconst")
+        matched = checked_broadcast_join(ratings, ids, ["tconst"], how="left_semi", scratch=scratch)
+        movies = join_titles_ratings(titles, matched)
+        write_movies_parquet(movies, f"{out_path.rstrip('/')}/batch={batch_id}")
+    finally:
+        for path in scratch:
+            remove_path(titles.sparkSession, path)
+        titles.unpersist()
 
 
 def start_title_ingest(
@@ -58,10 +70,11 @@ def start_title_ingest(
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     titles = type_titles(reader.csv(titles_dir))
-    ratings = read_ratings_tsv(spark, ratings_path)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        append_batch(batch, ratings, out_path, batch_id)
+        # the rating files are listed again for every batch, so new or replaced
+        # rating files are seen by the batches that follow
+        append_batch(batch, read_ratings_tsv(spark, ratings_path), out_path, batch_id)
 
     writer = (
         titles.writeStream.foreachBatch(handle)

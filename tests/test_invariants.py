@@ -74,3 +74,23 @@ def test_salted_fallback_equals_broadcast(pm):
     a = sorted(map(tuple, recommend_by_genre(pm, PT).collect()))
     b = sorted(map(tuple, recommend_by_genre(pm, PT, max_broadcast_rows=0).collect()))
     assert a == b and len(a) > 0
+
+
+def test_byte_bound_alone_forces_the_salted_join(pm):
+    from marquee.plans.broadcast import checked_broadcast_join, materialize
+    from marquee.operators.recommend import genre_candidates
+
+    cands = genre_candidates(pm, PT)
+    _, rows, size, _ = materialize(cands, "probe")
+    assert rows > 0 and size > rows * 10  # serialised bytes, not a row count
+    targets = with_genre_targets(pm)
+    broadcast = checked_broadcast_join(targets, cands, ["genre"])
+    salted = checked_broadcast_join(targets, cands, ["genre"], max_bytes=size - 1)
+    assert "_salt" in salted._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(repr, broadcast.collect())) == sorted(map(repr, salted.collect()))
+
+
+def with_genre_targets(pm):
+    from marquee.operators import filter_has_genre, with_genre
+
+    return filter_has_genre(with_genre(filter_movies(pm, PT))).select("tconst", "genre")

@@ -89,3 +89,15 @@ def test_lookup_round_trip(spark):
         ("Drama", "tt2", "B", 9.5, 12),
         ("Drama", "tt1", "A", 9.0, -1),
     ]
+
+
+def test_unrepresentable_genre_lists_read_back_missing(spark):
+    rows = [
+        ("tt1", "movie", "a", "a", "0", 2000, None, None, []),
+        ("tt2", "movie", "b", "b", "0", 2000, None, None, [None]),
+        ("tt3", "movie", "c", "c", "0", 2000, None, None, None),
+        ("tt4", "movie", "d", "d", "0", 2000, None, None, [None, "Drama"]),
+    ]
+    back = read_titles_tsv(spark, write_titles_tsv(spark.createDataFrame(rows, TITLES), scratch_path(spark, "rt_g")))
+    got = {r.tconst: r.genres for r in back.collect()}
+    assert got == {"tt1": None, "tt2": None, "tt3": None, "tt4": [None, "Drama"]}

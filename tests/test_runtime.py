@@ -59,3 +59,8 @@ def test_cluster_without_shared_folder_fails_fast():
     assert ensure_checkpoint_dir(yarn_shared_wh) == "hdfs://nn/wh/_checkpoints"
     local_session = _NoContextSession({"spark.master": "local[4]", "spark.sql.warehouse.dir": "file:/tmp/wh"})
     assert ensure_checkpoint_dir(local_session) == "file:/tmp/wh/_checkpoints"
+
+
+def test_single_slash_schemes_are_shared():
+    s = _NoContextSession({"spark.master": "yarn", "spark.sql.warehouse.dir": "dbfs:/user/hive/warehouse"})
+    assert ensure_checkpoint_dir(s) == "dbfs:/user/hive/warehouse/_checkpoints"
