@@ -110,11 +110,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def remove_path(spark: SparkSession, path: str) -> bool:
-    """Delete a scratch folder through the cluster's file system (no-op without a JVM)."""
+    """Delete a scratch folder through the cluster's file system, best effort.
+
+    Returns False instead of raising (no JVM under Spark Connect, a refused or
+    timed-out delete): cleanup must never turn a finished job into a failed one.
+    """
     try:
         jvm = spark.sparkContext._jvm
         conf = spark.sparkContext._jsc.hadoopConfiguration()
-    except Exception:  # Spark Connect: leave it to the checkpoint folder's cleanup
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        return bool(p.getFileSystem(conf).delete(p, True))
+    except Exception:
         return False
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return bool(p.getFileSystem(conf).delete(p, True))

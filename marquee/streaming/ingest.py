@@ -51,9 +51,11 @@ def append_batch(titles: DataFrame, ratings: DataFrame, out_path: str, batch_id:
         movies = join_titles_ratings(titles, matched)
         write_movies_parquet(movies, f"{out_path.rstrip('/')}/batch={batch_id}")
     finally:
-        for path in scratch:
-            remove_path(titles.sparkSession, path)
-        titles.unpersist()
+        try:
+            for path in scratch:
+                remove_path(titles.sparkSession, path)  # best effort, never raises
+        finally:
+            titles.unpersist()
 
 
 def start_title_ingest(
