@@ -187,16 +187,27 @@ def test_file_jobs_end_to_end(spark, inputs, tmp_path):
 
 
 def test_ties_are_stable_across_partitionings(spark, movies):
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    results = []
+    # Every row in its own input partition (so the tied tt08/tt09 start apart),
+    # AQE coalescing off (so 1 and 8 shuffle partitions really differ).
+    from pyspark.sql import functions as F
+
+    keys = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    before = {k: spark.conf.get(k) for k in keys}
     ops = (top10_rated_per_year, most_voted_per_year, top2_rated_per_genre, recommend_by_genre, yearly_summary)
-    for n in ("1", "8"):
-        spark.conf.set("spark.sql.shuffle.partitions", n)
-        results.append([sorted(map(repr, op(movies).collect())) for op in ops])
-    spark.conf.set("spark.sql.shuffle.partitions", before)
+    results = []
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spread = movies.repartitionByRange(12, "tconst")
+        where = {r.tconst: r.p for r in spread.select("tconst", F.spark_partition_id().alias("p")).collect()}
+        assert where["tt08"] != where["tt09"]
+        for n in ("1", "8"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            results.append([sorted(map(repr, op(spread).collect())) for op in ops])
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
     assert results[0] == results[1]
 
-
 def test_extra_fields_and_blank_lines(spark, tmp_path):
     # more fields than the layout: the extra ones are ignored; blank lines are skipped
     path = tmp_path / "extra.tsv"

@@ -1,6 +1,7 @@
 """Write titles and ratings in the raw TSV layout with Spark, read them back
 through the sources: the typed rows must come back unchanged."""
 
+import os
 import string
 
 from hypothesis import HealthCheck, given, settings
@@ -74,8 +75,11 @@ def test_ratings_round_trip(spark, rows):
 def test_compressed_round_trip(spark):
     rows = [("tt1", "movie", "a", '"b\\', "0", 2000, None, 90, ["Drama", "Comedy"])]
     df = spark.createDataFrame(rows, TITLES)
-    for codec in ("gzip", "bzip2"):
-        back = read_titles_tsv(spark, write_titles_tsv(df, scratch_path(spark, "rt_c"), codec))
+    for codec, ext in (("gzip", ".gz"), ("bzip2", ".bz2")):
+        path = write_titles_tsv(df, scratch_path(spark, "rt_c"), codec)
+        parts = [f for f in os.listdir(path.replace("file:", "")) if f.startswith("part-")]
+        assert parts and all(f.endswith(ext) for f in parts)  # really compressed
+        back = read_titles_tsv(spark, path)
         assert [tuple(r) for r in back.collect()] == rows
 
 
