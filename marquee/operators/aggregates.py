@@ -32,7 +32,7 @@ def _most_voted(votes: Column, tconst: Column, title: Column) -> Column:
     v = default_minus_one(votes)
     return F.min_by(
         F.struct(tconst.alias("tconst"), title.alias("title"), v.alias("votes")),
-        F.struct((-v).alias("neg_votes"), tconst.alias("tconst")),
+        F.struct((-v.cast("long")).alias("neg_votes"), tconst.alias("tconst")),
     )
 
 

@@ -10,6 +10,7 @@ the driver. (Auto-broadcast judges a text input by its file size, which for
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..schemas import MOVIE, MOVIES_COLUMNS
 from .filters import filter_movies
@@ -21,8 +22,7 @@ def join_titles_ratings(titles: DataFrame, ratings: DataFrame) -> DataFrame:
     Rating rows without a title vanish; titles without one get NULL rating and
     votes. Output columns follow the movie table's order.
     """
-    rated = ratings.select("tconst", "rating", "votes").hint("merge")
-    return titles.join(rated, on="tconst", how="left").select(*MOVIES_COLUMNS)
+    return titles.join(_keyed(ratings), on="tconst", how="left").select(*MOVIES_COLUMNS)
 
 
 def join_movies_ratings(titles: DataFrame, ratings: DataFrame, kind: str = MOVIE) -> DataFrame:
@@ -31,4 +31,13 @@ def join_movies_ratings(titles: DataFrame, ratings: DataFrame, kind: str = MOVIE
     The type filter runs before the join, so only movies are shuffled.
     """
     movies = filter_movies(titles, kind).select("tconst", "originalTitle", "startYear", "genres")
-    return movies.join(ratings.select("tconst", "rating", "votes").hint("merge"), on="tconst", how="left")
+    return movies.join(_keyed(ratings), on="tconst", how="left")
+
+
+def _keyed(ratings: DataFrame) -> DataFrame:
+    """Rating rows that carry an id. A line whose id is missing or empty belongs
+    to no title; kept, it would pair with every id-less title on one task."""
+    rated = ratings.select("tconst", "rating", "votes")
+    if rated.schema["tconst"].dataType.simpleString() == "string":
+        rated = rated.where(F.col("tconst") != "")
+    return rated.where(F.col("tconst").isNotNull()).hint("merge")

@@ -37,7 +37,7 @@ def read_lookup(spark: SparkSession, path: str, key_type: str = "string") -> Dat
     parts = F.split(F.col("value"), "\t")
     return spark.read.text(path).select(
         F.get(parts, 0).alias("genre"),
-        F.get(parts, 1).cast(key_type).alias("tconst"),
+        F.get(parts, 1).try_cast(key_type).alias("tconst"),
         F.get(parts, 2).alias("originalTitle"),
         parse_double(F.get(parts, 3)).alias("rating"),
         parse_int(F.get(parts, 4)).alias("votes"),

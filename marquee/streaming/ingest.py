@@ -12,20 +12,24 @@ plain DataFrame:
   the rating table is scanned but never shuffled per batch (a batch too large
   to broadcast takes the salted shuffle join instead);
 * the batch's titles are left-joined to those ratings;
-* the result is written to ``<out>/batch=<id>``, replacing that folder, so a
-  retried batch rewrites the same files and every batch lands exactly once;
+* the result is written to ``<out>/run=<r>/batch=<id>`` (``r`` derived from
+  the checkpoint location, so a new checkpoint never overwrites an earlier
+  run's batches), replacing that folder, so a retried batch rewrites the same
+  files and every batch lands exactly once;
 * the batch's scratch table (the materialised ids) is then removed.
 
 Each batch still scans the whole rating table (without shuffling it); for a
 very large rating table and small, frequent batches, keep the ratings as
 Parquet (column-pruned, splittable) and use larger triggers.
 
-Readers see the movie table plus a ``batch`` column (the micro-batch that
-appended the row).
+Readers see the movie table plus ``run`` and ``batch`` columns (which
+stream and micro-batch appended the row).
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -37,7 +41,7 @@ from ..sinks.parquet import write_movies_parquet
 from ..sources.tsv import TSV_OPTIONS, read_ratings_tsv, type_titles
 
 
-def append_batch(titles: DataFrame, ratings: DataFrame, out_path: str, batch_id: int) -> None:
+def append_batch(titles: DataFrame, ratings: DataFrame, out_path: str, batch_id: int, run: str = "0") -> None:
     """Join one micro-batch of typed titles to the ratings and write it as batch ``batch_id``.
 
     The batch is used twice (its ids, then the join), so it is persisted for
@@ -49,7 +53,7 @@ def append_batch(titles: DataFrame, ratings: DataFrame, out_path: str, batch_id:
         ids = titles.select("tconst")
         matched = checked_broadcast_join(ratings, ids, ["tconst"], how="left_semi", scratch=scratch)
         movies = join_titles_ratings(titles, matched)
-        write_movies_parquet(movies, f"{out_path.rstrip('/')}/batch={batch_id}")
+        write_movies_parquet(movies, f"{out_path.rstrip('/')}/run={run}/batch={batch_id}")
     finally:
         try:
             for path in scratch:
@@ -72,15 +76,16 @@ def start_title_ingest(
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     titles = type_titles(reader.csv(titles_dir))
+    checkpoint = checkpoint_location or f"{out_path.rstrip('/')}/_ingest_checkpoint"
+    # batch ids restart with a new checkpoint: key the folders by the checkpoint too
+    run = hashlib.sha1(checkpoint.encode("utf-8")).hexdigest()[:10]
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        # the rating files are listed again for every batch, so new or replaced
-        # rating files are seen by the batches that follow
-        append_batch(batch, read_ratings_tsv(spark, ratings_path), out_path, batch_id)
+        # the rating files are listed again for every batch (new or replaced rating
+        # files are seen), through the batch's own session
+        ratings = read_ratings_tsv(batch.sparkSession, ratings_path)
+        append_batch(batch, ratings, out_path, batch_id, run)
 
-    writer = (
-        titles.writeStream.foreachBatch(handle)
-        .option("checkpointLocation", checkpoint_location or f"{out_path.rstrip('/')}/_ingest_checkpoint")
-    )
+    writer = titles.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
     return writer.start()

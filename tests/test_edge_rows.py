@@ -4,6 +4,8 @@ import os
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from marquee.functions.columns import year_report
 from marquee.operators import (
     join_movies_ratings,
@@ -242,3 +244,33 @@ def test_unparsable_numbers_become_null(spark, tmp_path):
     assert rows["tt2"].rating == 7.5 and rows["tt2"].votes is None
     # a rated movie with unparsable votes ranks and prints with -1
     assert [(r.tconst, r.votes) for r in top10_rated_per_year(movies).collect()] == [("tt2", -1)]
+
+
+def test_extreme_votes_and_id_less_ratings(spark, tmp_path):
+    titles = tmp_path / "t.tsv"
+    titles.write_text(
+        "h\th\th\th\th\th\th\th\th\n"
+        "tt1\tmovie\tA\tA\t0\t2000\t\\N\t\\N\tDrama\n"
+        "\tmovie\tB\tB\t0\t2000\t\\N\t\\N\tDrama\n"
+        "\tmovie\tC\tC\t0\t2000\t\\N\t\\N\tDrama\n",
+        encoding="utf-8",
+    )
+    ratings = tmp_path / "r.tsv"
+    ratings.write_text("h\th\th\ntt1\t5.0\t-2147483648\n\t9.0\t10\n\t8.0\t11\n", encoding="utf-8")
+    movies = join_titles_ratings(read_titles_tsv(spark, str(titles)), read_ratings_tsv(spark, str(ratings)))
+    rows = movies.collect()
+    assert len(rows) == 3  # id-less ratings never pair with id-less titles
+    assert all(r.rating is None for r in rows if r.tconst == "")
+    best = most_voted_per_year(movies).collect()  # negating the lowest int must not overflow
+    assert [(r.year, r.votes) for r in best] == [(2000, -1)]
+
+
+def test_salted_fallback_refuses_inexact_join_types(spark):
+    import pytest
+
+    from marquee.plans.broadcast import checked_broadcast_join
+
+    big = spark.range(10).withColumnRenamed("id", "k").withColumn("tconst", F.col("k").cast("string"))
+    small = spark.range(5).withColumnRenamed("id", "k")
+    with pytest.raises(ValueError):
+        checked_broadcast_join(big, small, ["k"], how="right", max_rows=0)

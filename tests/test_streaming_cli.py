@@ -22,7 +22,7 @@ def test_stream_ingest_equals_batch_join(spark, tmp_path):
     q.awaitTermination(180)
     table = spark.read.parquet(out)
     assert sorted(r.batch for r in table.select("batch").distinct().collect()) == [0, 1]
-    streamed = sorted(map(tuple, table.drop("batch").collect()), key=repr)
+    streamed = sorted(map(tuple, table.drop("run", "batch").collect()), key=repr)
     batch = join_titles_ratings(read_titles_tsv(spark, titles), read_ratings_tsv(spark, ratings))
     assert streamed == sorted(map(tuple, batch.collect()), key=repr)
     assert len(streamed) == 12
