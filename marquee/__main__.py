@@ -79,8 +79,7 @@ def main(argv: list[str] | None = None, stop: bool = False) -> None:
         jobs.run_most_voted_per_year(spark, a.movies, os.path.join(out, "most_voted_per_year"), a.kind)
         jobs.run_top10_rated_per_year(spark, a.movies, os.path.join(out, "top10_rated_per_year"), a.kind)
     elif a.cmd == "genres":
-        jobs.run_top2_rated_per_genre(spark, a.movies, os.path.join(out, "top2_rated_per_genre"), a.kind)
-        jobs.run_recommend_by_genre(spark, a.movies, os.path.join(out, "recommend_by_genre"), a.kind)
+        jobs.run_genres(spark, a.movies, out, a.kind)
     print(f"{a.cmd}: {(time.perf_counter() - start) * 1000:.0f} ms")
     if stop:
         spark.stop()

@@ -14,6 +14,7 @@ from ..operators.aggregates import most_voted_per_year, movies_per_year, yearly_
 from ..operators.joins import join_movies_ratings, join_titles_ratings
 from ..operators.recommend import recommend_by_genre
 from ..operators.topn import top2_rated_per_genre, top10_rated_per_year
+from ..plans.broadcast import materialize
 from ..runtime import remove_path
 from ..schemas import MOVIE
 from ..sinks.parquet import write_movies_parquet, write_summary_parquet
@@ -130,3 +131,19 @@ def run_recommend_by_genre(spark: SparkSession, movies_path: str, out: str, kind
         for path in scratch:
             remove_path(spark, path)
 
+
+def run_genres(spark: SparkSession, movies_path: str, out_dir: str, kind: str = MOVIE) -> tuple[str, str]:
+    """Jobs 9 and 10 together: the top 2 per genre is ranked once, written once
+    as a table, then both written as job 9's lines and fed to job 10's join."""
+    movies = read_movies_parquet(spark, movies_path, "by_genre")
+    scratch: list[str] = []
+    try:
+        top, _, _, path = materialize(top2_rated_per_genre(movies, kind), "top2_per_genre")
+        scratch.append(path)
+        top2_out = write_ranked_text(top, f"{out_dir.rstrip('/')}/top2_rated_per_genre", "genre")
+        recs = recommend_by_genre(movies, kind, scratch=scratch, top=top)
+        recs_out = write_recommendation_text(recs, f"{out_dir.rstrip('/')}/recommend_by_genre")
+        return top2_out, recs_out
+    finally:
+        for p in scratch:
+            remove_path(spark, p)

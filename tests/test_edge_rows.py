@@ -274,3 +274,11 @@ def test_salted_fallback_refuses_inexact_join_types(spark):
     small = spark.range(5).withColumnRenamed("id", "k")
     with pytest.raises(ValueError):
         checked_broadcast_join(big, small, ["k"], how="right", max_rows=0)
+
+
+def test_genres_job_ranks_once_and_matches_separate_jobs(spark, inputs, tmp_path):
+    titles, ratings = inputs
+    movies_path = jobs.run_build_movies(spark, titles, ratings, str(tmp_path / "movies"))
+    top_out, recs_out = jobs.run_genres(spark, movies_path, str(tmp_path / "g"))
+    assert _lines(top_out) == _lines(jobs.run_top2_rated_per_genre(spark, movies_path, str(tmp_path / "g9")))
+    assert _lines(recs_out) == _lines(jobs.run_recommend_by_genre(spark, movies_path, str(tmp_path / "g10")))
