@@ -28,8 +28,9 @@ DEFAULT_MAX_BROADCAST_ROWS = 200_000
 DEFAULT_MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 # Salt values of the shuffle fallback (copies of the small side).
 DEFAULT_FAN_OUT = 32
-# Join types whose result the copies of the small side leave unchanged.
-SALTABLE_JOINS = ("inner", "left", "left_outer", "left_semi", "semi", "left_anti", "anti")
+# Join types whose result the copies of the small side leave unchanged
+# (Spark's spellings, compared without case or underscores).
+SALTABLE_JOINS = ("inner", "left", "leftouter", "leftsemi", "semi", "leftanti", "anti")
 
 
 def materialize(df: DataFrame, name: str = "materialized") -> tuple[DataFrame, int, int, str]:
@@ -71,7 +72,7 @@ def checked_broadcast_join(
         scratch.append(path)
     if rows <= max_rows and size <= max_bytes:
         return large.join(F.broadcast(small), list(on), how)
-    if how not in SALTABLE_JOINS:
+    if how.lower().replace("_", "") not in SALTABLE_JOINS:
         raise ValueError(f"small side over the broadcast bound and a {how!r} join cannot be salted exactly")
     salts = max(1, fan_out)
     salted_small = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

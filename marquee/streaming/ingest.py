@@ -12,8 +12,8 @@ plain DataFrame:
   the rating table is scanned but never shuffled per batch (a batch too large
   to broadcast takes the salted shuffle join instead);
 * the batch's titles are left-joined to those ratings;
-* the result is written to ``<out>/run=<r>/batch=<id>`` (``r`` derived from
-  the checkpoint location, so a new checkpoint never overwrites an earlier
+* the result is written to ``<out>/run=<r>/batch=<id>`` (``r`` is kept in the
+  checkpoint, so a new or recreated checkpoint never overwrites an earlier
   run's batches), replacing that folder, so a retried batch rewrites the same
   files and every batch lands exactly once;
 * the batch's scratch table (the materialised ids) is then removed.
@@ -29,6 +29,7 @@ stream and micro-batch appended the row).
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
@@ -62,6 +63,36 @@ def append_batch(titles: DataFrame, ratings: DataFrame, out_path: str, batch_id:
             titles.unpersist()
 
 
+def run_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id of the run a checkpoint belongs to, kept in a file inside it.
+
+    A restart from the same checkpoint finds the same id; a new or recreated
+    checkpoint gets a new one, so its batch ids (restarting at 0) land in new
+    folders. The letter prefix keeps partition discovery from reading it as a
+    number. Without a JVM (Spark Connect) the id is derived from the path.
+    """
+    marker = f"{checkpoint.rstrip('/')}/_run_id"
+    try:
+        jvm = spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(marker)
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    except Exception:
+        return "r" + hashlib.sha1(checkpoint.encode("utf-8")).hexdigest()[:10]
+    if fs.exists(path):
+        stream = fs.open(path)
+        try:
+            return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").strip()
+        finally:
+            stream.close()
+    value = "r" + uuid.uuid4().hex[:10]
+    out = fs.create(path, False)
+    try:
+        out.write(bytearray(value.encode("utf-8")))
+    finally:
+        out.close()
+    return value
+
+
 def start_title_ingest(
     spark: SparkSession,
     titles_dir: str,
@@ -77,8 +108,8 @@ def start_title_ingest(
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     titles = type_titles(reader.csv(titles_dir))
     checkpoint = checkpoint_location or f"{out_path.rstrip('/')}/_ingest_checkpoint"
-    # batch ids restart with a new checkpoint: key the folders by the checkpoint too
-    run = hashlib.sha1(checkpoint.encode("utf-8")).hexdigest()[:10]
+    # batch ids restart with a new checkpoint: key the folders by the checkpoint's run
+    run = run_id(spark, checkpoint)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         # the rating files are listed again for every batch (new or replaced rating

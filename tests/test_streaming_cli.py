@@ -79,3 +79,12 @@ def test_cli_runs_the_jobs(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "j1")).count() == 11
     assert spark.read.text(str(tmp_path / "j2")).count() == 12
     assert spark.range(1).count() == 1  # the session is still usable
+
+
+def test_recreated_checkpoint_starts_a_new_run(spark, tmp_path):
+    from marquee.streaming.ingest import run_id
+
+    cp = str(tmp_path / "cp")
+    first = run_id(spark, cp)
+    assert first.startswith("r") and run_id(spark, cp) == first  # a restart finds it
+    assert run_id(spark, str(tmp_path / "cp2")) != first  # another checkpoint, another run
