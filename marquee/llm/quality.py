@@ -38,7 +38,7 @@ RULES = (
     ("short_words", "word_chars", "<", "n_words", 2, 1),
     ("symbols", "n_symbols", ">", "n_words", 1, 10),
     ("few_stop_words", "n_stop_words", "<", "n_words", 1, 50),
-    ("repeated_lines", "n_dup_lines", ">", "n_lines", 3, 10),
+    ("repeated_lines", "n_dup_lines", ">", "n_lines", 1, 2),
     ("ellipsis_lines", "n_ellipsis_lines", ">", "n_lines", 3, 10),
     ("bullet_lines", "n_bullet_lines", ">", "n_lines", 9, 10),
     ("shouting", "n_upper", ">", "word_chars", 3, 10),
