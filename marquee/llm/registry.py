@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from marquee.llm import quality
+from marquee.llm import pieces, quality
 
 QUERIES = {
+    "op9_pieces": pieces.op9_pieces,
     "op10_quality_rules": quality.op10_quality_rules,
 }
 
