@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marquee.llm.common import table
+from marquee.llm.common import ship, table
 
 SPACE = "▁"
 MODEL = "piece_bpe_32k.model"
@@ -268,6 +268,7 @@ def encode(df: DataFrame, text: str = "text", model_file: str | None = None) ->
 
     ``model_file`` must exist on every executor, as an installed package does.
     """
+    ship(df.sparkSession)
     model_file = model_file or default_model()
 
     @F.pandas_udf(_RESULT)
@@ -284,6 +285,7 @@ def encode(df: DataFrame, text: str = "text", model_file: str | None = None) ->
 
 
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model_file = default_model()
 
