@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from marquee.llm import neardup, pieces, quality
+from marquee.llm import leaks, neardup, pieces, quality
 
 QUERIES = {
+    "op1_benchmark_leaks": leaks.op1_benchmark_leaks,
     "op8_near_duplicates": neardup.op8_near_duplicates,
     "op9_pieces": pieces.op9_pieces,
     "op10_quality_rules": quality.op10_quality_rules,
