@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from marquee.llm import leaks, neardup, pieces, quality
+from marquee.llm import leaks, neardup, pieces, quality, secretscan
 
 QUERIES = {
+    "op3_secrets": secretscan.op3_secrets,
     "op1_benchmark_leaks": leaks.op1_benchmark_leaks,
     "op8_near_duplicates": neardup.op8_near_duplicates,
     "op9_pieces": pieces.op9_pieces,
