@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from marquee.llm import chat, leaks, neardup, pieces, quality, secretscan
+from marquee.llm import chat, leaks, neardup, pieces, quality, secretscan, toxicity
 
 QUERIES = {
+    "op4_toxicity": toxicity.op4_toxicity,
     "op2_chat_format": chat.op2_chat_format,
     "op3_secrets": secretscan.op3_secrets,
     "op1_benchmark_leaks": leaks.op1_benchmark_leaks,
