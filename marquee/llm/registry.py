@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from marquee.llm import chat, leaks, neardup, pieces, quality, secretscan, toxicity
+from marquee.llm import chat, leaks, neardup, pieces, quality, repeats, secretscan, toxicity
 
 QUERIES = {
+    "op5_repeated_bytes": repeats.op5_repeated_bytes,
     "op4_toxicity": toxicity.op4_toxicity,
     "op2_chat_format": chat.op2_chat_format,
     "op3_secrets": secretscan.op3_secrets,
