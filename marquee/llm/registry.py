@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from marquee.llm import chat, leaks, neardup, pieces, quality, repeats, secretscan, toxicity
+from marquee.llm import chat, leaks, neardup, pieces, quality, repeats, secretscan, sharding, toxicity
 
 QUERIES = {
+    "op6_shards": sharding.op6_shards,
     "op5_repeated_bytes": repeats.op5_repeated_bytes,
     "op4_toxicity": toxicity.op4_toxicity,
     "op2_chat_format": chat.op2_chat_format,
