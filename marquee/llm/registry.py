@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from marquee.llm import chat, leaks, neardup, pieces, quality, repeats, secretscan, sharding, toxicity
+from marquee.llm import chat, leaks, licenses, neardup, pieces, quality, repeats, secretscan, sharding, toxicity
 
 QUERIES = {
+    "op7_licenses": licenses.op7_licenses,
     "op6_shards": sharding.op6_shards,
     "op5_repeated_bytes": repeats.op5_repeated_bytes,
     "op4_toxicity": toxicity.op4_toxicity,
