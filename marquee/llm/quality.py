@@ -134,7 +134,11 @@ def score(df: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
 
 def keep_good(df: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
     """The rows of ``df``, columns unchanged, that pass the base rules and every threshold."""
-    return measure(df, text).filter(kept(F.col(f"{_P}m"), rules)).select(*(df[c] for c in df.columns))
+    keep = f"{_P}keep"
+    # The id is never negative; a column that depends on it is computed once, where a
+    # plain condition would be pushed below and repeat the measuring for every term.
+    verdict = kept(F.col(f"{_P}m"), rules) & (F.monotonically_increasing_id() >= 0)
+    return measure(df, text).withColumn(keep, verdict).filter(keep).select(*(df[c] for c in df.columns))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
