@@ -68,6 +68,11 @@ def parse_int(c: str | Column) -> Column:
     return _col(c).try_cast("int")
 
 
+def parse_long(c: str | Column) -> Column:
+    """Text to bigint (vote counts may pass the int range); unparsable text gives NULL."""
+    return _col(c).try_cast("bigint")
+
+
 def parse_double(c: str | Column) -> Column:
     """Text to double; unparsable text gives NULL instead of failing the task."""
     return _col(c).try_cast("double")

@@ -1,15 +1,15 @@
 """Per-year aggregates: count, most-voted movie, ordered top list, yearly summary.
 
-Count and arg-max are ordinary aggregates, so Spark combines them map-side
-(partial aggregation) and only one row per year and map partition crosses the
-shuffle, however many movies a year holds.
+Count and the highest vote are hash aggregates, combined map-side: one row per
+year and map partition crosses the shuffle, however many movies a year holds.
+Only the movies that reach their year's highest vote are compared by id.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import default_minus_one, effective_year
@@ -27,28 +27,39 @@ def movies_per_year(movies: DataFrame, kind: str = MOVIE) -> DataFrame:
     )
 
 
-def _most_voted(votes: Column, tconst: Column, title: Column) -> Column:
-    """Arg-max over votes (missing as -1), ties to the smallest id."""
-    v = default_minus_one(votes)
-    return F.min_by(
-        F.struct(tconst.alias("tconst"), title.alias("title"), v.alias("votes")),
-        F.struct((-v.cast("long")).alias("neg_votes"), tconst.alias("tconst")),
+def _year_stats(movies: DataFrame) -> DataFrame:
+    """(year, number_of_movies, most) per startYear: numbers only, so a hash aggregate."""
+    votes = default_minus_one("votes").cast("bigint")
+    return movies.groupBy(F.col("startYear").alias("year")).agg(
+        F.count(F.lit(1)).alias("number_of_movies"), F.max(votes).alias("most")
     )
 
 
+def _with_winner(stats: DataFrame, movies: DataFrame) -> DataFrame:
+    """``stats`` with each year's most-voted movie, ties to the smallest id.
+
+    An arg-max over text cannot live in a hash aggregate's buffer: it would sort
+    all movies of every map task. So the maximum is found on numbers, and only
+    the movies that reach it are compared by id. ``stats`` has one row per year
+    and is joined by Spark's choice, null-safely.
+    """
+    votes = default_minus_one("votes").cast("bigint")
+    m = movies.select(F.col("startYear").alias("_year"), "tconst", F.col("originalTitle").alias("title"), votes.alias("_votes"))
+    reach = m.join(stats.select("year", "most"), m["_year"].eqNullSafe(stats["year"]) & (m["_votes"] == stats["most"]))
+    first = F.min(F.struct("tconst", "title"))
+    best = reach.groupBy("_year").agg(first.alias("best"))
+    return stats.join(best, stats["year"].eqNullSafe(best["_year"])).select("year", "number_of_movies", "best", "most")
+
+
 def most_voted_per_year(movies: DataFrame, kind: str = MOVIE) -> DataFrame:
     """Most-voted movie of each startYear: (year, tconst, title, votes).
 
     Every movie takes part, rated or not, so a year whose movies have no votes
     still returns one, with votes -1.
     """
-    best = _most_voted(F.col("votes"), F.col("tconst"), F.col("originalTitle"))
-    return (
-        filter_movies(movies, kind)
-        .groupBy(F.col("startYear").alias("year"))
-        .agg(best.alias("best"))
-        .select("year", "best.tconst", "best.title", "best.votes")
-    )
+    m = filter_movies(movies, kind)
+    won = _with_winner(_year_stats(m), m)
+    return won.select("year", "best.tconst", "best.title", F.col("most").alias("votes"))
 
 
 def ordered_top_list(
@@ -76,16 +87,14 @@ def yearly_summary(movies: DataFrame, kind: str = MOVIE, n: int = 10, fan_in: in
     (year, number_of_movies, tconst_most_votes, title_most_votes,
     number_of_votes, top10 array<struct<tconst, originalTitle, rating, votes>>)
 
-    Two branches, each with its own pruned scan: the count and arg-max
-    aggregate map-side; the top list is cut to n before its shuffle. They meet in a null-safe join
+    Three branches, each with its own pruned scan (pass a written table, not a
+    lazy join): the count and highest vote aggregate map-side, the movies that
+    reach it are picked, and the top list is cut to n before its shuffle. They meet in null-safe joins
     of one row per year on each side (years without a rated movie get an empty
     list). ``fan_in`` is passed to the top-n cut (see ``top_n_per_group``).
     """
     m = filter_movies(movies, kind)
-    stats = m.groupBy(F.col("startYear").alias("year")).agg(
-        F.count(F.lit(1)).alias("number_of_movies"),
-        _most_voted(F.col("votes"), F.col("tconst"), F.col("originalTitle")).alias("best"),
-    )
+    stats = _with_winner(_year_stats(m), m)
     top = top10_rated_per_year(movies, kind, n, fan_in).withColumnRenamed("title", "originalTitle")
     lists = ordered_top_list(top, ["year"], ["tconst", "originalTitle", "rating", "votes"], name="top10")
     lists = lists.withColumnRenamed("year", "list_year")
@@ -96,6 +105,6 @@ def yearly_summary(movies: DataFrame, kind: str = MOVIE, n: int = 10, fan_in: in
         "number_of_movies",
         F.col("best.tconst").alias("tconst_most_votes"),
         F.col("best.title").alias("title_most_votes"),
-        F.col("best.votes").alias("number_of_votes"),
+        F.col("most").alias("number_of_votes"),
         F.coalesce("top10", empty).alias("top10"),
     )

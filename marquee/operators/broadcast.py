@@ -62,18 +62,18 @@ def checked_broadcast_join(
     max_bytes: int = DEFAULT_MAX_BROADCAST_BYTES,
     scratch: list[str] | None = None,
 ) -> DataFrame:
-    """``large.join(small, on, how)``, broadcasting ``small`` only within ``max_rows`` and ``max_bytes``.
+    """Write ``small`` now, then plan ``large.join(small, on, how)``, broadcasting ``small`` only within ``max_rows`` and ``max_bytes``.
 
     The materialised small side stays under the checkpoint folder; pass a list
     as ``scratch`` to receive its path and remove it once the result is written.
     """
+    if how.lower().replace("_", "") not in SALTABLE_JOINS:  # whatever the size of ``small``
+        raise ValueError(f"a {how!r} join cannot be salted exactly")
     small, rows, size, path = materialize(small, "broadcast_side")
     if scratch is not None:
         scratch.append(path)
     if rows <= max_rows and size <= max_bytes:
         return large.join(F.broadcast(small), list(on), how)
-    if how.lower().replace("_", "") not in SALTABLE_JOINS:
-        raise ValueError(f"small side over the broadcast bound and a {how!r} join cannot be salted exactly")
     salts = max(1, fan_out)
     salted_small = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted_large = large.withColumn("_salt", F.pmod(F.xxhash64(*salt_by), F.lit(salts)).cast("int"))

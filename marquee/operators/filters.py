@@ -49,7 +49,3 @@ def first_other(candidates: list[Column], tconst: Column) -> Column:
     """
     return F.coalesce(*[F.when(c["tconst"] != tconst, c) for c in candidates])
 
-
-def skip_header() -> dict[str, str]:
-    """The reader option that drops the first line of every input file."""
-    return {"header": "true"}

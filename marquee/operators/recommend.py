@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.broadcast import DEFAULT_MAX_BROADCAST_ROWS, checked_broadcast_join
+from .broadcast import DEFAULT_MAX_BROADCAST_ROWS, checked_broadcast_join
 from ..schemas import MOVIE
 from .aggregates import ordered_top_list
 from .filters import filter_has_genre, filter_movies, first_other, with_genre

@@ -1,6 +1,6 @@
 """The user-visible jobs, file to file, as a user of the original batch jobs runs them.
 
-Jobs 1-3 read the raw TSV files; jobs 4-7, 9 and 10 read the movie table that
+Jobs 1-3 read the raw TSV files (the text dumps print the raw text); jobs 4-7, 9 and 10 read the movie table that
 job 3 writes; job 8 reads job 7's summary. Each function returns the path it
 wrote. ``kind`` is the title type that counts as a movie.
 """
@@ -14,7 +14,7 @@ from ..operators.aggregates import most_voted_per_year, movies_per_year, yearly_
 from ..operators.joins import join_movies_ratings, join_titles_ratings
 from ..operators.recommend import recommend_by_genre
 from ..operators.topn import top2_rated_per_genre, top10_rated_per_year
-from ..plans.broadcast import materialize
+from ..operators.broadcast import materialize
 from ..runtime import remove_path
 from ..schemas import MOVIE
 from ..sinks.parquet import write_movies_parquet, write_summary_parquet
@@ -27,7 +27,7 @@ from ..sinks.text import (
     write_report_text,
 )
 from ..sources.parquet import read_movies_parquet, read_summary_parquet
-from ..sources.tsv import read_ratings_tsv, read_titles_tsv
+from ..sources.tsv import read_ratings_raw, read_titles_raw, type_movies
 
 
 def movies_text_lines(titles: DataFrame, ratings: DataFrame, kind: str = MOVIE) -> DataFrame:
@@ -59,16 +59,16 @@ def titles_text_lines(titles: DataFrame, ratings: DataFrame) -> DataFrame:
     )
 
 
-def _inputs(spark: SparkSession, titles_path: str, ratings_path: str, partitions: int | None):
-    # ``partitions`` spreads unsplittable (.gz) input over that many tasks right after the scan.
-    return read_titles_tsv(spark, titles_path, partitions), read_ratings_tsv(spark, ratings_path, partitions)
+def _inputs(spark: SparkSession, titles_path: str, ratings_path: str, partitions: int | None, kind: str | None = None):
+    # ``partitions`` spreads unsplittable (.gz) input over that many tasks, by id, right after the scan.
+    return read_titles_raw(spark, titles_path, partitions, kind), read_ratings_raw(spark, ratings_path, partitions)
 
 
 def run_movies_text(
     spark: SparkSession, titles_path: str, ratings_path: str, out: str, kind: str = MOVIE, partitions: int | None = None
 ) -> str:
     """Job 1: join, movies only, narrow columns, text output."""
-    return write_lines(movies_text_lines(*_inputs(spark, titles_path, ratings_path, partitions), kind), out)
+    return write_lines(movies_text_lines(*_inputs(spark, titles_path, ratings_path, partitions, kind), kind), out)
 
 
 def run_titles_text(
@@ -83,7 +83,7 @@ def run_build_movies(
 ) -> str:
     """Job 3: join, all titles, Parquet output (feeds every query)."""
     movies = join_titles_ratings(*_inputs(spark, titles_path, ratings_path, partitions))
-    return write_movies_parquet(movies, out)
+    return write_movies_parquet(type_movies(movies), out)
 
 
 def run_movies_per_year(spark: SparkSession, movies_path: str, out: str, kind: str = MOVIE) -> str:

@@ -10,23 +10,103 @@ from __future__ import annotations
 TAB = "chr(9)"
 NL = "chr(10)"
 
-ORDER_CTES = """
-order_titles AS (
-  SELECT o_orderkey AS tconst, o_orderstatus AS type,
+def genres_text(expr: str) -> str:
+    """SQL twin of ``join_genres``: missing elements print as text."""
+    return f"array_to_string(list_transform({expr}, lambda g: coalesce(g, 'null')), ',')"
+
+
+TITLE_ORDER = ", ".join(
+    f"{c} NULLS FIRST"
+    for c in ("type", "primaryTitle", "originalTitle", "isAdult", "startYear", "endYear", "time", genres_text("genres"))
+)
+NARROW_ORDER = ", ".join(f"{c} NULLS FIRST" for c in ("originalTitle", "startYear", genres_text("genres")))
+RATING_ORDER = (
+    "TRY_CAST(votes AS BIGINT) DESC NULLS LAST, TRY_CAST(rating AS DOUBLE) DESC NULLS LAST, "
+    "votes DESC NULLS LAST, rating DESC NULLS LAST"
+)
+
+
+def genre_text(words: str, key: str) -> str:
+    return (
+        f"CASE WHEN {key} % 13 = 0 THEN '\\N' WHEN {key} % 13 = 1 THEN {words} || ',\\N' "
+        f"WHEN {key} % 13 = 2 THEN '\\N,' || {words} ELSE {words} END"
+    )
+
+
+def genre_list(text: str) -> str:
+    return f"list_transform(string_split(nullif({text}, '\\N'), ','), lambda g: nullif(g, '\\N'))"
+
+
+ORDER_LINES = """
+title_base AS (
+  SELECT o_orderkey AS key,
+         CASE WHEN o_orderkey % 11 = 0 THEN lower(o_orderstatus) ELSE o_orderstatus END AS type,
          o_orderpriority AS primaryTitle, o_orderpriority AS originalTitle, '0' AS isAdult,
-         CASE WHEN o_orderpriority <> '4-NOT SPECIFIED' THEN CAST(year(o_orderdate) AS INTEGER) END AS startYear,
-         CAST(year(o_orderdate) AS INTEGER) AS endYear,
-         CAST(NULL AS INTEGER) AS time,
-         string_split(o_orderpriority, '-') AS genres
+         CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN '\\N' WHEN o_orderkey % 17 = 0 THEN '19??'
+              WHEN o_orderkey % 23 = 0 THEN '1899' ELSE CAST(year(o_orderdate) AS VARCHAR) END AS startYear,
+         CASE WHEN o_orderkey % 7 = 0 THEN '\\N' ELSE CAST(year(o_orderdate) AS VARCHAR) END AS endYear,
+         CASE WHEN o_orderkey % 5 = 0 THEN '90 min' WHEN o_orderkey % 5 = 1 THEN '\\N'
+              ELSE CAST(o_orderkey % 200 AS VARCHAR) END AS time,
+         GENRES AS genres
   FROM orders),
+title_lines AS (
+  SELECT * FROM title_base UNION ALL
+  SELECT key, type, primaryTitle || ' (again)', originalTitle, isAdult, startYear, endYear, time, genres
+  FROM title_base WHERE key % 37 = 0),
+rating_base AS (
+  SELECT l_orderkey AS key,
+         CAST(round(max(l_discount) * 100, 1) AS VARCHAR) || CASE WHEN l_orderkey % 19 = 1 THEN '0' ELSE '' END AS rating,
+         CASE WHEN l_orderkey % 19 = 0 THEN '3000000000' WHEN l_orderkey % 19 = 2 THEN '12x'
+              ELSE CAST(CAST(sum(l_quantity) AS BIGINT) AS VARCHAR) END AS votes
+  FROM lineitem WHERE l_orderkey % 23 <> 0 GROUP BY l_orderkey),
+rating_lines AS (
+  SELECT * FROM rating_base UNION ALL
+  SELECT key, '1.0', '1' FROM rating_base WHERE key % 31 = 0 UNION ALL
+  SELECT key + 1000000000, rating, votes FROM rating_base WHERE key % 29 = 0),
+file_titles AS (
+  SELECT CASE WHEN key % 997 = 0 THEN '' ELSE CAST(key AS VARCHAR) END AS tconst, * EXCLUDE (key) FROM title_lines),
+file_ratings AS (
+  SELECT CASE WHEN key % 997 = 0 THEN '' ELSE CAST(key AS VARCHAR) END AS tconst, rating, votes FROM rating_lines),
+raw_titles AS (
+  SELECT tconst, type, primaryTitle, originalTitle, isAdult, nullif(startYear, '\\N') AS startYear,
+         nullif(endYear, '\\N') AS endYear, nullif(time, '\\N') AS time, LISTED AS genres FROM file_titles),
+file_movies AS (
+  SELECT t.*, r.rating, r.votes
+  FROM (SELECT * FROM raw_titles QUALIFY row_number() OVER (PARTITION BY tconst ORDER BY TITLE_ORDER) = 1) t
+  LEFT JOIN (SELECT * FROM file_ratings QUALIFY row_number() OVER (PARTITION BY tconst ORDER BY RATING_ORDER) = 1) r
+  USING (tconst)),
+file_narrow AS (
+  SELECT t.*, r.rating, r.votes
+  FROM (SELECT tconst, originalTitle, startYear, genres FROM raw_titles WHERE type = 'F'
+        QUALIFY row_number() OVER (PARTITION BY tconst ORDER BY NARROW_ORDER) = 1) t
+  LEFT JOIN (SELECT * FROM file_ratings QUALIFY row_number() OVER (PARTITION BY tconst ORDER BY RATING_ORDER) = 1) r
+  USING (tconst)),
+"""
+ORDER_LINES = (
+    ORDER_LINES.replace("GENRES", genre_text("replace(o_orderpriority, '-', ',')", "o_orderkey"))
+    .replace("LISTED", genre_list("genres"))
+    .replace("TITLE_ORDER", TITLE_ORDER)
+    .replace("RATING_ORDER", RATING_ORDER)
+    .replace("NARROW_ORDER", NARROW_ORDER)
+)
+
+ORDER_CTES = (
+    ORDER_LINES
+    + f"""
+order_titles AS (
+  SELECT key AS tconst, type, primaryTitle, originalTitle, isAdult, TRY_CAST(startYear AS INTEGER) AS startYear,
+         TRY_CAST(endYear AS INTEGER) AS endYear, TRY_CAST(time AS INTEGER) AS time, {genre_list("genres")} AS genres
+  FROM title_lines),
 order_ratings AS (
-  SELECT l_orderkey AS tconst, round(max(l_discount) * 100, 1) AS rating,
-         CAST(sum(l_quantity) AS INTEGER) AS votes
-  FROM lineitem GROUP BY l_orderkey),
+  SELECT key AS tconst, TRY_CAST(rating AS DOUBLE) AS rating, TRY_CAST(votes AS BIGINT) AS votes FROM rating_lines),
 order_movies AS (
   SELECT t.tconst, t.type, t.primaryTitle, t.originalTitle, t.isAdult, t.startYear, t.endYear,
          t.time, r.rating, r.votes, t.genres
-  FROM order_titles t LEFT JOIN order_ratings r ON t.tconst = r.tconst),
+  FROM (SELECT * FROM order_titles QUALIFY row_number() OVER (PARTITION BY tconst ORDER BY {TITLE_ORDER}) = 1) t
+  LEFT JOIN (SELECT * FROM order_ratings QUALIFY row_number() OVER (PARTITION BY tconst ORDER BY {RATING_ORDER}) = 1) r
+  ON t.tconst = r.tconst),
+"""
+    + """
 movies AS (SELECT * FROM order_movies WHERE type = 'F'),
 top10 AS (
   SELECT * FROM (
@@ -47,16 +127,21 @@ summary AS (
   FROM (SELECT startYear AS year, count(*) AS number_of_movies FROM movies GROUP BY startYear) c
   JOIN most_voted m ON c.year IS NOT DISTINCT FROM m.year)
 """
+)
 
-PART_CTES = """
+PART_CTES = (
+    f"""
 part_titles AS (
-  SELECT p_partkey AS tconst, p_type AS type, p_name AS primaryTitle, p_name AS originalTitle,
+  SELECT p_partkey AS tconst, CASE WHEN p_partkey % 11 = 0 THEN lower(p_type) ELSE p_type END AS type,
+         p_name AS primaryTitle, p_name AS originalTitle,
          '0' AS isAdult, CAST(NULL AS INTEGER) AS startYear, CAST(NULL AS INTEGER) AS endYear,
-         p_size AS time, string_split(p_name, ' ') AS genres
+         p_size AS time, {genre_list(genre_text("replace(p_name, ' ', ',')", "p_partkey"))} AS genres
   FROM part),
+"""
+    + """
 part_ratings AS (
   SELECT l_partkey AS tconst, round(max(l_discount) * 100, 1) AS rating,
-         CAST(sum(l_quantity) AS INTEGER) AS votes
+         CAST(sum(l_quantity) AS BIGINT) AS votes
   FROM lineitem GROUP BY l_partkey),
 part_movies AS (
   SELECT t.tconst, t.type, t.primaryTitle, t.originalTitle, t.isAdult, t.startYear, t.endYear,
@@ -78,6 +163,7 @@ recs AS (
   FROM targets t JOIN top2 c ON c.genre = t.genre AND c.tconst <> t.tconst
   QUALIFY row_number() OVER (PARTITION BY t.tconst ORDER BY c.rank) = 1)
 """
+)
 
 
 def txt(expr: str) -> str:
@@ -90,11 +176,6 @@ def row(*exprs: str) -> str:
     return f"concat_ws({TAB}, " + ", ".join(txt(e) for e in exprs) + ")"
 
 
-def genres_text(expr: str) -> str:
-    """SQL twin of ``join_genres`` (the lists here hold no NULL elements)."""
-    return f"array_to_string({expr}, ',')"
-
-
 def with_order(select: str) -> str:
     return f"WITH {ORDER_CTES} {select}"
 
@@ -134,8 +215,30 @@ MOVIES_FLAT = (
 )
 
 TITLES_AS_READ = (
-    "SELECT CAST(tconst AS VARCHAR) AS tconst, type, primaryTitle, originalTitle, isAdult, startYear, endYear, "
-    "time, " + genres_text("genres") + " AS genres FROM order_titles"
+    "SELECT tconst, type, primaryTitle, originalTitle, isAdult, TRY_CAST(startYear AS INTEGER) AS startYear, "
+    "TRY_CAST(endYear AS INTEGER) AS endYear, TRY_CAST(time AS INTEGER) AS time, "
+    + genres_text("genres")
+    + " AS genres FROM raw_titles"
+)
+
+RATINGS_AS_READ = (
+    "SELECT tconst, TRY_CAST(rating AS DOUBLE) AS rating, TRY_CAST(votes AS BIGINT) AS votes FROM file_ratings"
+)
+
+AS_LINES = (
+    "SELECT 'titles' AS file, "
+    + row("tconst", "type", "primaryTitle", "originalTitle", "isAdult", "startYear", "endYear", "time", "genres")
+    + " AS value FROM (" + TITLES_AS_READ + ") UNION ALL SELECT 'ratings' AS file, "
+    + row("tconst", "rating", "votes")
+    + " AS value FROM (" + RATINGS_AS_READ + ")"
+)
+
+# The numbers of a movie line and their types, in the order of their names.
+NUMBERS = {"endYear": "INTEGER", "rating": "DOUBLE", "startYear": "INTEGER", "time": "INTEGER", "votes": "BIGINT"}
+UNPARSED = (
+    "nullif(concat_ws(';', "
+    + ", ".join(f"CASE WHEN {c} IS NOT NULL AND TRY_CAST({c} AS {t}) IS NULL THEN '{c}=' || {c} END" for c, t in NUMBERS.items())
+    + "), '')"
 )
 
 MOVIES_TEXT_LINE = row(
@@ -155,25 +258,24 @@ REC_LINE = row(
 SQL: dict[str, str] = {
     # sources
     "read_titles_tsv": with_order(TITLES_AS_READ),
-    "read_ratings_tsv": with_order(
-        "SELECT CAST(tconst AS VARCHAR) AS tconst, rating, votes FROM order_ratings"
-    ),
+    "read_ratings_tsv": with_order(RATINGS_AS_READ),
     "read_compressed_tsv": with_order(
-        "SELECT 'gzip' AS codec, t.* FROM (" + TITLES_AS_READ + ") t UNION ALL "
-        "SELECT 'bzip2' AS codec, t.* FROM (" + TITLES_AS_READ + ") t"
+        "SELECT codec, t.* FROM (" + AS_LINES + ") t, (VALUES ('none'), ('gzip'), ('bzip2')) c(codec)"
     ),
     "read_movies_parquet": with_order(
-        "SELECT tconst, type, originalTitle, startYear, rating, votes FROM order_movies"
+        "SELECT CAST(tconst AS VARCHAR) AS tconst, type, originalTitle, startYear, rating, votes FROM order_movies"
     ),
     "read_summary_parquet": with_order(
-        "SELECT year, rank AS position, tconst, title AS originalTitle, rating, votes FROM top10"
+        "SELECT year, rank AS position, CAST(tconst AS VARCHAR) AS tconst, title AS originalTitle, rating, votes FROM top10"
     ),
     "read_lookup": with_part(
         "SELECT genre, tconst, title AS originalTitle, rating, votes FROM top2"
     ),
     # sinks
-    "write_movies_parquet": with_order(MOVIES_FLAT),
-    "write_summary_parquet": SUMMARY_FLAT,
+    "write_movies_parquet": with_order(MOVIES_FLAT.replace("SELECT tconst", "SELECT CAST(tconst AS VARCHAR) AS tconst")),
+    "write_summary_parquet": SUMMARY_FLAT.replace(
+        "s.tconst_most_votes,", "CAST(s.tconst_most_votes AS VARCHAR) AS tconst_most_votes,"
+    ),
     "write_kv_text": with_order(
         "SELECT " + row("year", "count") + " AS value FROM "
         "(SELECT COALESCE(startYear, endYear) AS year, count(*) AS count FROM movies GROUP BY 1)"
@@ -185,11 +287,8 @@ SQL: dict[str, str] = {
     # projections and scalar functions
     "project_columns": with_order("SELECT type, startYear, endYear FROM order_movies"),
     "null_marker_to_null": with_order(
-        "SELECT CAST(tconst AS VARCHAR) AS tconst, "
-        "COALESCE(CAST(startYear AS VARCHAR), '\\N') AS start_raw, "
-        "CAST(startYear AS VARCHAR) AS startYear, "
-        "COALESCE(CAST(time AS VARCHAR), '\\N') AS time_raw, "
-        "CAST(time AS VARCHAR) AS time FROM order_titles"
+        "SELECT nullif(tconst, '') AS tconst, startYear AS start_raw, nullif(startYear, '\\N') AS startYear, "
+        "time AS time_raw, nullif(time, '\\N') AS time FROM file_titles"
     ),
     "split_genres": with_part(
         "SELECT tconst, CAST(len(genres) AS INTEGER) AS n_genres, genres[1] AS genre_1, genres[2] AS genre_2 "
@@ -201,8 +300,8 @@ SQL: dict[str, str] = {
         "SELECT tconst, startYear, endYear, COALESCE(startYear, endYear) AS year FROM order_titles"
     ),
     "parse_numbers": with_order(
-        "SELECT CAST(tconst AS VARCHAR) AS tconst, CAST(rating AS VARCHAR) AS rating_text, rating, "
-        "CAST(votes AS VARCHAR) AS votes_text, votes FROM order_ratings"
+        "SELECT nullif(tconst, '') AS tconst, rating AS rating_text, TRY_CAST(rating AS DOUBLE) AS rating, "
+        "votes AS votes_text, TRY_CAST(votes AS BIGINT) AS votes FROM file_ratings"
     ),
     "default_minus_one": with_order(
         "SELECT tconst, COALESCE(rating, -1) AS rating, COALESCE(votes, -1) AS votes FROM order_movies"
@@ -222,7 +321,7 @@ SQL: dict[str, str] = {
         "FROM targets t JOIN (SELECT DISTINCT genre FROM top2) g ON g.genre = t.genre "
         "LEFT JOIN top2 c ON c.genre = t.genre AND c.tconst <> t.tconst GROUP BY t.tconst"
     ),
-    "skip_header": with_order("SELECT CAST(tconst AS VARCHAR) AS tconst FROM order_titles"),
+    "skip_header": with_order("SELECT tconst FROM file_titles"),
     # joins
     "join_titles_ratings": with_order(MOVIES_FLAT),
     "join_movies_ratings": with_order(
@@ -252,10 +351,12 @@ SQL: dict[str, str] = {
     ),
     "order_recommendations": with_part("SELECT * FROM recs ORDER BY tconst"),
     # end-to-end jobs
-    "movies_text": with_order("SELECT " + MOVIES_TEXT_LINE + " AS value FROM movies"),
-    "titles_text": with_order("SELECT " + TITLES_TEXT_LINE + " AS value FROM order_movies"),
+    "movies_text": with_order("SELECT " + MOVIES_TEXT_LINE + " AS value FROM file_narrow"),
+    "titles_text": with_order("SELECT " + TITLES_TEXT_LINE + " AS value FROM file_movies"),
     "build_movies": with_order(
-        "SELECT CAST(tconst AS VARCHAR) AS tconst, type, primaryTitle, originalTitle, isAdult, startYear, "
-        "endYear, time, rating, votes, " + genres_text("genres") + " AS genres FROM order_movies"
+        "SELECT tconst, type, primaryTitle, originalTitle, isAdult, TRY_CAST(startYear AS INTEGER) AS startYear, "
+        "TRY_CAST(endYear AS INTEGER) AS endYear, TRY_CAST(time AS INTEGER) AS time, "
+        "TRY_CAST(rating AS DOUBLE) AS rating, TRY_CAST(votes AS BIGINT) AS votes, "
+        + genres_text("genres") + " AS genres, " + UNPARSED + " AS unparsed FROM file_movies"
     ),
 }

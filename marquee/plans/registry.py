@@ -11,6 +11,7 @@ checkpoint directory, then read it back through the source under test.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,14 +24,14 @@ from ..operators.ordering import order_by_group_key, order_group_then_rank, orde
 from ..operators.recommend import genre_candidates, recommend_by_genre
 from ..operators.topn import top2_rated_per_genre, top10_rated_per_year
 from ..plans import jobs
-from ..plans.broadcast import checked_broadcast_join
+from ..operators.broadcast import checked_broadcast_join
 from ..runtime import scratch_path
 from ..schemas import RAW_RATINGS, RAW_TITLES
 from ..sinks.parquet import write_movies_parquet, write_summary_parquet
 from ..sinks.text import write_kv_text, write_ranked_text, write_recommendation_text
 from ..sources import driver as D
 from ..sources.parquet import read_lookup, read_movies_parquet, read_summary_parquet
-from ..sources.tsv import TSV_OPTIONS, read_ratings_tsv, read_titles_tsv, write_ratings_tsv, write_titles_tsv
+from ..sources.tsv import TSV_OPTIONS, read_ratings_tsv, read_titles_tsv, write_raw_tsv
 
 F_TYPE = D.ORDER_MOVIE_TYPE
 P_TYPE = D.PART_MOVIE_TYPE
@@ -42,11 +43,26 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _titles_tsv(spark: SparkSession, sf: str, compression: str | None = None) -> str:
-    return write_titles_tsv(D.order_titles(spark, sf), scratch_path(spark, "titles_tsv"), compression)
+    return write_raw_tsv(D.order_title_file_rows(spark, sf), scratch_path(spark, "titles_tsv"), compression)
 
 
 def _ratings_tsv(spark: SparkSession, sf: str, compression: str | None = None) -> str:
-    return write_ratings_tsv(D.order_ratings(spark, sf), scratch_path(spark, "ratings_tsv"), compression)
+    return write_raw_tsv(D.order_rating_file_rows(spark, sf), scratch_path(spark, "ratings_tsv"), compression)
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """The joined table written once: queries that read it in several branches evaluate the join once."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _order_table(spark: SparkSession, sf: str) -> DataFrame:
+    return _written(D.order_movies(spark, sf), "order_movies")
+
+
+def _part_table(spark: SparkSession, sf: str) -> DataFrame:
+    return _written(D.part_movies(spark, sf), "part_movies")
 
 
 def _raw(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -84,10 +100,13 @@ def q_read_ratings_tsv(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_read_compressed_tsv(spark: SparkSession, sf: str) -> DataFrame:
     parts = []
-    for codec in ("gzip", "bzip2"):
-        titles = read_titles_tsv(spark, _titles_tsv(spark, sf, codec), partitions=None)
-        parts.append(_genres_as_text(titles).select(F.lit(codec).alias("codec"), "*"))
-    return parts[0].unionByName(parts[1])
+    for codec in ("none", "gzip", "bzip2"):
+        titles = read_titles_tsv(spark, _titles_tsv(spark, sf, codec))
+        ratings = read_ratings_tsv(spark, _ratings_tsv(spark, sf, codec))
+        title = C.format_row(*[c for c in titles.columns if c != "genres"], C.join_genres("genres"))
+        parts.append(titles.select(F.lit(codec).alias("codec"), F.lit("titles").alias("file"), title.alias("value")))
+        parts.append(ratings.select(F.lit(codec).alias("codec"), F.lit("ratings").alias("file"), C.format_row(*ratings.columns).alias("value")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def q_read_movies_parquet(spark: SparkSession, sf: str) -> DataFrame:
@@ -119,7 +138,7 @@ def q_read_lookup(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_write_movies_parquet(spark: SparkSession, sf: str) -> DataFrame:
     path = write_movies_parquet(D.order_movies(spark, sf), scratch_path(spark, "movies"))
-    return _genres_as_text(spark.read.parquet(path))
+    return _genres_as_text(spark.read.parquet(path)).drop("unparsed")
 
 
 def q_write_summary_parquet(spark: SparkSession, sf: str) -> DataFrame:
@@ -138,7 +157,7 @@ def q_write_ranked_text(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_write_recommendation_text(spark: SparkSession, sf: str) -> DataFrame:
-    recs = recommend_by_genre(D.part_movies(spark, sf), P_TYPE)
+    recs = recommend_by_genre(_part_table(spark, sf), P_TYPE)
     return spark.read.text(write_recommendation_text(recs, scratch_path(spark, "rec_text")))
 
 
@@ -161,11 +180,10 @@ def q_null_marker_to_null(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_split_genres(spark: SparkSession, sf: str) -> DataFrame:
-    titles = D.part_titles(spark, sf)
-    genres = C.split_genres(F.array_join("genres", ","))
-    return titles.select(
+    genres = C.split_genres("genres")
+    return D.part_genre_text(spark, sf).select(
         "tconst",
-        F.size(genres).alias("n_genres"),
+        F.array_size(genres).alias("n_genres"),
         F.get(genres, 0).alias("genre_1"),
         F.get(genres, 1).alias("genre_2"),
     )
@@ -190,7 +208,7 @@ def q_parse_numbers(spark: SparkSession, sf: str) -> DataFrame:
         F.col("rating").alias("rating_text"),
         C.parse_double("rating").alias("rating"),
         F.col("votes").alias("votes_text"),
-        C.parse_int("votes").alias("votes"),
+        C.parse_long("votes").alias("votes"),
     )
 
 
@@ -216,7 +234,7 @@ def q_format_row(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_year_report(spark: SparkSession, sf: str) -> DataFrame:
-    return C.year_report(yearly_summary(D.order_movies(spark, sf), F_TYPE))
+    return C.year_report(yearly_summary(_order_table(spark, sf), F_TYPE))
 
 
 # ---------------------------------------------------------------- filters
@@ -236,7 +254,7 @@ def q_filter_has_genre(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_exclude_self(spark: SparkSession, sf: str) -> DataFrame:
-    movies = D.part_movies(spark, sf)
+    movies = _part_table(spark, sf)
     targets = filter_has_genre(with_genre(filter_movies(movies, P_TYPE))).select("tconst", "genre")
     joined = checked_broadcast_join(targets, genre_candidates(movies, P_TYPE), ["genre"])
     return joined.select("tconst", F.size(exclude_self(F.col("cands"), F.col("tconst"))).alias("n_candidates"))
@@ -259,7 +277,7 @@ def q_join_movies_ratings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_recommend_by_genre(spark: SparkSession, sf: str) -> DataFrame:
-    return recommend_by_genre(D.part_movies(spark, sf), P_TYPE)
+    return recommend_by_genre(_part_table(spark, sf), P_TYPE)
 
 
 # ---------------------------------------------------------------- aggregates
@@ -274,7 +292,7 @@ def q_most_voted_per_year(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_yearly_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return _flat_summary(yearly_summary(D.order_movies(spark, sf), F_TYPE))
+    return _flat_summary(yearly_summary(_order_table(spark, sf), F_TYPE))
 
 
 def q_ordered_top_list(spark: SparkSession, sf: str) -> DataFrame:
@@ -307,7 +325,7 @@ def q_order_group_then_rank(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_order_recommendations(spark: SparkSession, sf: str) -> DataFrame:
-    return order_recommendations(recommend_by_genre(D.part_movies(spark, sf), P_TYPE))
+    return order_recommendations(recommend_by_genre(_part_table(spark, sf), P_TYPE))
 
 
 # ---------------------------------------------------------------- end-to-end jobs (TSV in)
@@ -325,7 +343,9 @@ def q_titles_text(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_build_movies(spark: SparkSession, sf: str) -> DataFrame:
     out = jobs.run_build_movies(spark, _titles_tsv(spark, sf), _ratings_tsv(spark, sf), scratch_path(spark, "job3"))
-    return _genres_as_text(spark.read.parquet(out))
+    movies = _genres_as_text(read_movies_parquet(spark, out))
+    pairs = F.transform(F.array_sort(F.map_entries("unparsed")), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    return movies.withColumn("unparsed", F.array_join(pairs, ";"))
 
 
 QUERIES: dict[str, Query] = {

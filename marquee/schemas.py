@@ -1,7 +1,8 @@
 """Declared schemas of the catalogue-and-ratings model.
 
-Nothing is inferred: raw TSV files are read with all-string schemas and typed
-once, right after the scan; every later table is a projection of ``MOVIES``.
+Nothing is inferred: raw TSV files are read with all-string schemas, the text
+dumps print that text, and the movie table is cast to ``MOVIES`` when written
+and read with it.
 """
 
 from __future__ import annotations
@@ -56,7 +57,7 @@ RATINGS = T.StructType(
     [
         T.StructField("tconst", T.StringType(), True),
         T.StructField("rating", T.DoubleType(), True),
-        T.StructField("votes", T.IntegerType(), True),
+        T.StructField("votes", T.LongType(), True),
     ]
 )
 
@@ -75,6 +76,18 @@ MOVIES_COLUMNS = [
     "genres",
 ]
 
+# The movie table as stored. ``unparsed`` keeps, by column, the raw text of every
+# number that did not parse (NULL when all did), so nothing of the input is lost.
+MOVIES = T.StructType(
+    [
+        *(f for f in TITLES.fields if f.name != "genres"),
+        T.StructField("rating", T.DoubleType(), True),
+        T.StructField("votes", T.LongType(), True),
+        T.StructField("genres", T.ArrayType(T.StringType(), True), True),
+        T.StructField("unparsed", T.MapType(T.StringType(), T.StringType(), True), True),
+    ]
+)
+
 # Column subsets each query asks the Parquet scan for.
 PROJECTIONS = {
     "movies_per_year": ["type", "startYear", "endYear"],
@@ -89,7 +102,7 @@ TOP_ENTRY = T.StructType(
         T.StructField("tconst", T.StringType(), True),
         T.StructField("originalTitle", T.StringType(), True),
         T.StructField("rating", T.DoubleType(), True),
-        T.StructField("votes", T.IntegerType(), True),
+        T.StructField("votes", T.LongType(), True),
     ]
 )
 
@@ -99,7 +112,7 @@ SUMMARY = T.StructType(
         T.StructField("number_of_movies", T.LongType(), False),
         T.StructField("tconst_most_votes", T.StringType(), True),
         T.StructField("title_most_votes", T.StringType(), True),
-        T.StructField("number_of_votes", T.IntegerType(), True),
+        T.StructField("number_of_votes", T.LongType(), True),
         T.StructField("top10", T.ArrayType(TOP_ENTRY, False), False),
     ]
 )

@@ -3,8 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..schemas import MOVIES_COLUMNS, SUMMARY
+from ..schemas import MOVIES, SUMMARY
+
+
+def conformed(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """``df`` with the declared columns, in order and cast to their types; a column it lacks is NULL."""
+    return df.select(*((F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema))
 
 
 def write_movies_parquet(movies: DataFrame, path: str, cluster_by_type: bool = True) -> str:
@@ -16,7 +23,7 @@ def write_movies_parquet(movies: DataFrame, path: str, cluster_by_type: bool = T
     skips the others from their min/max statistics. (Directory partitioning
     by type would turn an empty type into NULL, so values are kept as is.)
     """
-    table = movies.select(*MOVIES_COLUMNS)
+    table = conformed(movies, MOVIES)
     if cluster_by_type:
         table = table.sortWithinPartitions("type", "tconst")
     table.write.mode("overwrite").parquet(path)
@@ -25,5 +32,5 @@ def write_movies_parquet(movies: DataFrame, path: str, cluster_by_type: bool = T
 
 def write_summary_parquet(summary: DataFrame, path: str) -> str:
     """Write one nested row per year."""
-    summary.select(*SUMMARY.fieldNames()).write.mode("overwrite").parquet(path)
+    conformed(summary, SUMMARY).write.mode("overwrite").parquet(path)
     return path

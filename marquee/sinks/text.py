@@ -1,8 +1,9 @@
 """Text sinks: tab-separated lines, written by the tasks in parallel.
 
-Each sink orders its rows with a distributed sort (range partitioning), so the
-part files read in sequence give the ordered result; nothing is funnelled into
-one task or one file.
+Sinks of small results order their rows with a distributed sort (range
+partitioning), so the part files read in sequence give the ordered result; dumps
+that grow with the input are in key order within each file. Nothing is funnelled
+into one task or one file.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import format_row
-from ..operators.ordering import order_by_group_key, order_group_then_rank, order_recommendations
+from ..operators.ordering import order_by_group_key, order_group_then_rank
 
 # Fixed value: the literal between a movie and its recommendation.
 RECOMMENDED = "RECOMMENDED:"
@@ -50,8 +51,13 @@ def ranked_lines(df: DataFrame, group: str) -> DataFrame:
 
 
 def recommendation_lines(recs: DataFrame) -> DataFrame:
-    """``tconst\\ttitle\\tgenre\\trating\\tvotes\\tRECOMMENDED:\\trec...`` lines, by tconst."""
-    ordered = order_recommendations(recs)
+    """``tconst\\ttitle\\tgenre\\trating\\tvotes\\tRECOMMENDED:\\trec...`` lines, each file in tconst order.
+
+    The output grows with the input. A global sort would evaluate the join below
+    it a second time to sample its ranges; hashing by id, like a reducer's part
+    files, evaluates it once.
+    """
+    ordered = recs.repartition("tconst").sortWithinPartitions("tconst")
     return ordered.select(
         format_row(
             "tconst",

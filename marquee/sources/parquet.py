@@ -6,18 +6,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import parse_double, parse_int
-from ..schemas import PROJECTIONS
+from ..functions.columns import parse_double, parse_long
+from ..schemas import MOVIES, PROJECTIONS, SUMMARY
 
 
 def read_movies_parquet(spark: SparkSession, path: str, columns: list[str] | str | None = None) -> DataFrame:
     """Read the movie table with only the columns a query needs.
 
     ``columns`` is a list, the name of a known projection (``PROJECTIONS``), or
-    None for every column. The projection reaches the scan's ReadSchema, and a
+    None for every column of ``MOVIES``. The projection reaches the scan's ReadSchema, and a
     later filter on ``type`` becomes a pushed Parquet filter.
     """
-    df = spark.read.parquet(path)
+    df = spark.read.schema(MOVIES).parquet(path)
     if isinstance(columns, str):
         columns = PROJECTIONS[columns]
     return df.select(*columns) if columns else df
@@ -25,7 +25,7 @@ def read_movies_parquet(spark: SparkSession, path: str, columns: list[str] | str
 
 def read_summary_parquet(spark: SparkSession, path: str) -> DataFrame:
     """Read the nested one-row-per-year summary back."""
-    return spark.read.parquet(path)
+    return spark.read.schema(SUMMARY).parquet(path)
 
 
 def read_lookup(spark: SparkSession, path: str, key_type: str = "string") -> DataFrame:
@@ -40,5 +40,5 @@ def read_lookup(spark: SparkSession, path: str, key_type: str = "string") -> Dat
         F.get(parts, 1).try_cast(key_type).alias("tconst"),
         F.get(parts, 2).alias("originalTitle"),
         parse_double(F.get(parts, 3)).alias("rating"),
-        parse_int(F.get(parts, 4)).alias("votes"),
+        parse_long(F.get(parts, 4)).alias("votes"),
     )

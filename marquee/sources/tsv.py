@@ -5,8 +5,8 @@ backslash inside a title is an ordinary character (NUL is the one character
 a field cannot hold: with quoting off the CSV parser uses it as the quote). The first line of every
 file is its header and is skipped. Short lines give NULL for the missing
 fields instead of failing the task. The codec follows the file extension;
-gzip files do not split, so callers reading one big .gz file should
-repartition after the scan (``partitions``).
+gzip files do not split, so callers reading one big .gz file should spread
+its rows by id after the scan (``partitions``).
 """
 
 from __future__ import annotations
@@ -14,8 +14,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import null_marker_to_null, parse_double, parse_int, split_genres
-from ..schemas import NULL_MARKER, RAW_RATINGS, RAW_TITLES, RATINGS_HEADER, TITLE_FIELDS, TITLES_HEADER
+from ..functions.columns import null_marker_to_null, parse_double, parse_int, parse_long, split_genres
+from ..schemas import MOVIES_COLUMNS, NULL_MARKER, RAW_RATINGS, RAW_TITLES, RATINGS_HEADER, TITLE_FIELDS, TITLES_HEADER
+
+# The columns that hold numbers in the raw files.
+TITLE_NUMBERS = ("startYear", "endYear", "time")
+RATING_NUMBERS = ("rating", "votes")
 
 TSV_OPTIONS = {
     "sep": "\t",
@@ -27,25 +31,33 @@ TSV_OPTIONS = {
 }
 
 
-def _read(spark: SparkSession, paths: str | list[str], schema, partitions: int | None) -> DataFrame:
-    df = spark.read.schema(schema).options(**TSV_OPTIONS).csv(paths)
-    if partitions:
-        df = df.repartition(partitions)
-    return df
+def _read(spark: SparkSession, paths: str | list[str], schema) -> DataFrame:
+    return spark.read.schema(schema).options(**TSV_OPTIONS).csv(paths)
 
 
-def read_titles_tsv(spark: SparkSession, paths: str | list[str], partitions: int | None = None) -> DataFrame:
-    """Title file to typed titles.
+def _spread(df: DataFrame, partitions: int | None) -> DataFrame:
+    """Spread unsplittable input by id, so that the join needs no second shuffle."""
+    return df.repartition(partitions, "tconst") if partitions else df
 
-    ``\\N`` becomes NULL in startYear, endYear, time and genres only; the
-    identifying and text columns keep their text as is, and an empty text field
-    stays the empty string.
+
+def read_titles_raw(
+    spark: SparkSession, paths: str | list[str], partitions: int | None = None, kind: str | None = None
+) -> DataFrame:
+    """Title file as text: only ``\\N`` becomes NULL, and genres a list of text.
+
+    ``kind`` keeps one title type; the condition is on the raw column, so it is
+    pushed into the scan and other lines are dropped in the parser.
     """
-    return type_titles(_read(spark, paths, RAW_TITLES, partitions))
+    raw = _read(spark, paths, RAW_TITLES)
+    if kind:
+        raw = raw.where(F.col("type") == F.lit(kind))
+    elif kind is not None:  # the empty type is read as a missing field
+        raw = raw.where(F.coalesce("type", F.lit("")) == "")
+    return _spread(raw_titles(raw), partitions)
 
 
-def type_titles(raw: DataFrame) -> DataFrame:
-    """All-string title rows (``RAW_TITLES``) to typed titles; batch or streaming."""
+def raw_titles(raw: DataFrame) -> DataFrame:
+    """All-string title rows with missing values told apart from empty text."""
     text = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
     return raw.select(
         text("tconst"),
@@ -53,21 +65,47 @@ def type_titles(raw: DataFrame) -> DataFrame:
         text("primaryTitle"),
         text("originalTitle"),
         text("isAdult"),
-        parse_int(null_marker_to_null("startYear")).alias("startYear"),
-        parse_int(null_marker_to_null("endYear")).alias("endYear"),
-        parse_int(null_marker_to_null("time")).alias("time"),
+        *(null_marker_to_null(c).alias(c) for c in TITLE_NUMBERS),
         split_genres("genres").alias("genres"),
     )
 
 
+def read_ratings_raw(spark: SparkSession, paths: str | list[str], partitions: int | None = None) -> DataFrame:
+    """Rating file as text: (tconst, rating, votes), ``\\N`` as NULL."""
+    raw = _read(spark, paths, RAW_RATINGS)
+    numbers = [null_marker_to_null(c).alias(c) for c in RATING_NUMBERS]
+    return _spread(raw.select(F.coalesce("tconst", F.lit("")).alias("tconst"), *numbers), partitions)
+
+
+def read_titles_tsv(spark: SparkSession, paths: str | list[str], partitions: int | None = None) -> DataFrame:
+    """Title file to typed titles.
+
+    ``\\N`` becomes NULL in startYear, endYear, time and genres only; the
+    identifying and text columns keep their text as is, and an empty text field
+    stays the empty string.
+    """
+    return read_titles_raw(spark, paths, partitions).withColumns({c: parse_int(c) for c in TITLE_NUMBERS})
+
+
 def read_ratings_tsv(spark: SparkSession, paths: str | list[str], partitions: int | None = None) -> DataFrame:
-    """Rating file to (tconst, rating double, votes int); unparsable numbers are NULL."""
-    raw = _read(spark, paths, RAW_RATINGS, partitions)
-    return raw.select(
-        F.coalesce(F.col("tconst"), F.lit("")).alias("tconst"),
-        parse_double(null_marker_to_null("rating")).alias("rating"),
-        parse_int(null_marker_to_null("votes")).alias("votes"),
-    )
+    """Rating file to (tconst, rating double, votes bigint); unparsable numbers are NULL."""
+    return read_ratings_raw(spark, paths, partitions).withColumns({"rating": parse_double("rating"), "votes": parse_long("votes")})
+
+
+def type_movies(joined: DataFrame) -> DataFrame:
+    """Joined raw rows to the typed movie table; what does not parse stays as text in ``unparsed``."""
+    typed = {c: parse_int(c) for c in TITLE_NUMBERS} | {"rating": parse_double("rating"), "votes": parse_long("votes")}
+    lost = [F.when(F.col(c).isNotNull() & v.isNull(), F.struct(F.lit(c).alias("key"), F.col(c).alias("value"))) for c, v in typed.items()]
+    entries = F.filter(F.array(*lost), lambda x: x.isNotNull())
+    unparsed = F.when(F.coalesce(*lost).isNotNull(), F.map_from_entries(entries))
+    return joined.select(*(typed[c].alias(c) if c in typed else F.col(c) for c in MOVIES_COLUMNS), unparsed.alias("unparsed"))
+
+
+def write_raw_tsv(rows: DataFrame, path: str, compression: str | None = None) -> str:
+    """Write all-string title or rating rows (missing values already ``\\N``) with a header line."""
+    header = TITLES_HEADER if len(rows.columns) == len(TITLE_FIELDS) else RATINGS_HEADER
+    _write_lines(rows.select(F.concat_ws("\t", *rows.columns).alias("value")), path, header, compression)
+    return path
 
 
 def write_titles_tsv(titles: DataFrame, path: str, compression: str | None = None) -> str:

@@ -259,21 +259,22 @@ def test_extreme_votes_and_id_less_ratings(spark, tmp_path):
     ratings.write_text("h\th\th\ntt1\t5.0\t-2147483648\n\t9.0\t10\n\t8.0\t11\n", encoding="utf-8")
     movies = join_titles_ratings(read_titles_tsv(spark, str(titles)), read_ratings_tsv(spark, str(ratings)))
     rows = movies.collect()
-    assert len(rows) == 3  # id-less ratings never pair with id-less titles
-    assert all(r.rating is None for r in rows if r.tconst == "")
-    best = most_voted_per_year(movies).collect()  # negating the lowest int must not overflow
-    assert [(r.year, r.votes) for r in best] == [(2000, -1)]
+    # the empty id is an id like others: one title, and the rating line with most votes
+    assert sorted((r.tconst, r.primaryTitle, r.rating, r.votes) for r in rows) == [("", "B", 8.0, 11), ("tt1", "A", 5.0, -2147483648)]
+    best = most_voted_per_year(movies.where("tconst = 'tt1'").union(movies.where("tconst = ''").withColumn("votes", F.lit(None).cast("bigint"))))
+    assert [(r.year, r.votes) for r in best.collect()] == [(2000, -1)]
 
 
 def test_salted_fallback_refuses_inexact_join_types(spark):
     import pytest
 
-    from marquee.plans.broadcast import checked_broadcast_join
+    from marquee.operators.broadcast import checked_broadcast_join
 
     big = spark.range(10).withColumnRenamed("id", "k").withColumn("tconst", F.col("k").cast("string"))
     small = spark.range(5).withColumnRenamed("id", "k")
-    with pytest.raises(ValueError):
-        checked_broadcast_join(big, small, ["k"], how="right", max_rows=0)
+    for max_rows in (0, 100):  # refused whatever the size of the small side
+        with pytest.raises(ValueError):
+            checked_broadcast_join(big, small, ["k"], how="right", max_rows=max_rows)
 
 
 def test_genres_job_ranks_once_and_matches_separate_jobs(spark, inputs, tmp_path):

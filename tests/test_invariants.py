@@ -77,7 +77,7 @@ def test_salted_fallback_equals_broadcast(pm):
 
 
 def test_byte_bound_alone_forces_the_salted_join(pm):
-    from marquee.plans.broadcast import checked_broadcast_join, materialize
+    from marquee.operators.broadcast import checked_broadcast_join, materialize
     from marquee.operators.recommend import genre_candidates
 
     cands = genre_candidates(pm, PT)
