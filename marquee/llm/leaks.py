@@ -151,14 +151,14 @@ class LeakFinder:
                     for w in np.flatnonzero(right > left):
                         pairs.update((int(w), int(order[k])) for k in range(left[w], right[w]))
             for w, k in sorted(pairs):
-                item, own = self.items[k]
+                own = self.items[k][1]
                 start, words, most = int(at[w]), int(length[w]), len(own) // EDITS_PER
                 edits = edit_distance(line[start : start + words].tolist(), own, most)
                 row = int(row_of[start])
                 found = (edits, start - int(first[row]), words)
-                if edits <= most and found < best.get((row, item), (most + 1,)):
-                    best[row, item] = found
-        return [(row, item, start, words, edits) for (row, item), (edits, start, words) in sorted(best.items())]
+                if edits <= most and found < best.get((row, k), (most + 1,)):
+                    best[row, k] = found
+        return [(row, self.items[k][0], start, words, edits) for (row, k), (edits, start, words) in sorted(best.items())]
 
 
 def _scan(finder: LeakFinder, texts: pa.Array) -> Iterator[tuple[int, list[tuple[int, int, int, int, int]]]]:
