@@ -37,6 +37,8 @@ FIT_DOCS = 3000
 #: Most words and stems of the lexicon.
 LEXICON = 5000
 STEMS = (4, 5, 6, 7)
+#: Occurrences beyond which a form's count needs no finer look.
+EVIDENCE = 64
 
 # Closed word classes of the four languages.
 THREATS = "kill hurt destroy beat burn shoot stab töten umbringen schlagen verletzen tuer frapper brûler blesser matar golpear quemar herir"
@@ -194,12 +196,14 @@ def learn_lexicon(training: DataFrame) -> dict[str, float]:
         F.count_distinct(F.when(F.col("toxic") == 1, place)).alias("n1"), F.count_distinct(F.when(F.col("toxic") == 0, place)).alias("n0")
     )
     counts = written(counts, "forms")
-    total = counts.agg(F.count("*"), F.sum("n1"), F.sum("n0")).first()
-    if not total[1] or not total[2]:
+    total = counts.agg(F.sum("n1"), F.sum("n0")).first()
+    if not total[0] or not total[1]:
         return {}
-    share = total[1] / (total[1] + total[2])
-    # So many occurrences, all on the toxic side, that chance would hardly give a few such forms.
-    least = math.log(10 * total[0]) / -math.log(share)
+    share = total[0] / (total[0] + total[1])
+    # The least count at which, were labels chance, hardly one form so frequent would be all toxic.
+    sizes = counts.groupBy(F.least(F.col("n1") + F.col("n0"), F.lit(EVIDENCE)).alias("t")).count().collect()
+    often = lambda n: sum(r["count"] for r in sizes if r["t"] >= n)
+    least = next((n for n in range(3, EVIDENCE) if often(n) * share**n <= 0.5), EVIDENCE)
     odds = F.log((F.col("n1") + 0.5) / (F.col("n0") + 0.5) * F.lit((1 - share) / share))
     good = counts.filter((F.col("n1") >= least) & (F.col("n0") * 20 * share <= F.col("n1") * (1 - share)))
     rows = good.select("form", odds.alias("w")).orderBy(F.desc("w"), "form").limit(LEXICON).collect()
