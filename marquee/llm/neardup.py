@@ -11,8 +11,8 @@ on the full shingle sets.
 
 Equal sets are one node from the start. Within a key no list of all pairs is
 made: rounds compare each node with one centre of its keys, linked nodes
-become one component, and only pairs of nodes still in different components
-are compared in full at the end.
+become one component, and at the end every pair of nodes still in different components
+is compared, unless too few of their shingles can be common.
 
 Defined cases: null or wordless texts have the empty set and are linked with
 nothing; with fewer words than the shingle, the whole sequence is the one
@@ -38,6 +38,8 @@ from marquee.llm.graph import contract
 
 WIDTH = 2
 SUBKEYS = 12
+#: 64-bit words of the bit map that narrows the last comparison.
+MAP_WORDS = 8
 #: Star rounds end when fewer than one in so many comparisons makes a link.
 WORTH = 10
 
@@ -120,8 +122,8 @@ def _near(n: Column, m: Column, percent: int) -> Column:
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
-def _keys(profile: DataFrame, subkeys: int) -> DataFrame:
-    """``(key, node, n, shared)`` for table keys that at least two different sets have."""
+def _keys(profile: DataFrame, subkeys: int) -> tuple[DataFrame, DataFrame]:
+    """``(key, node, n, shared)`` for table keys that at least two different sets have, and the nodes' sub-keys."""
     reps = profile.filter("n_shingles > 0").groupBy("s1", "s2").agg(F.min("rid").alias("rid"))
     nodes = profile.join(reps.select("rid"), "rid").select(F.col("rid").alias("node"), F.col("n_shingles").alias("n"), "subs")
     sub = nodes.select("node", "n", F.posexplode("subs").alias("place", "h"))
@@ -131,10 +133,11 @@ def _keys(profile: DataFrame, subkeys: int) -> DataFrame:
         F.collect_list(F.when(F.col("place") < subkeys, F.col("h"))).alias("a"),
         F.collect_list(F.when(F.col("place") >= subkeys, F.col("h"))).alias("b"),
     )
+    live = written(live, "sub-keys")
     pairs = live.select("node", "n", "b", F.explode("a").alias("a")).select("node", "n", "a", F.explode("b").alias("b"))
     keys = pairs.select(F.xxhash64("a", "b").alias("key"), "node", "n")
     both = keys.groupBy("key").agg(F.count("*").alias("shared")).filter("shared > 1")
-    return written(keys.join(both, "key"), "keys")
+    return written(keys.join(both, "key"), "keys"), live
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -160,14 +163,40 @@ def _star(keys: DataFrame, labels: DataFrame, weight: Column, percent: int) -> D
     return best.select("node", F.col("c.node").alias("other"))
 
 
-def _apart(keys: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """All pairs that share a key while in different components."""
+def _apart(keys: DataFrame, live: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All pairs that share a key while in different components, and can be similar enough.
+
+    A shingle that no other component has cannot be common to such a pair. The f
+    of n shingles left are also marked in a bit map: each bit that only one side
+    has stands for a shingle that the other lacks. So at most ``f`` less those
+    bits, on either side, are common, and similarity needs
+    ``(100 + percent) * common >= percent * (n + m)``.
+    """
     mixed = keys.join(labels, "node")
     open_keys = mixed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi")
-    mixed = mixed.join(open_keys.select("key"), "key")
-    other = mixed.select("key", F.col("node").alias("other"), F.col("n").alias("m"), F.col("component").alias("c"))
-    on = (F.col("node") < F.col("other")) & (F.col("component") != F.col("c")) & _near(F.col("n"), F.col("m"), percent)
-    return mixed.join(other, "key").filter(on).select("node", "other").distinct()
+    nodes = mixed.join(open_keys.select("key"), "key").select("node", "n", "component").distinct()
+    nodes = written(nodes, "open")
+    grams = nodes.join(sets, "node").select("node", "component", F.explode("grams").alias("gram"))
+    foreign = grams.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi")
+    word, bit = F.pmod("gram", F.lit(MAP_WORDS)), F.pmod(F.shiftright("gram", 8), F.lit(64)).cast("int")
+    marks = [F.coalesce(F.bit_or(F.when(word == k, F.call_function("shiftleft", F.lit(1).cast("long"), bit))), F.lit(0).cast("long")) for k in range(MAP_WORDS)]
+    left = grams.join(foreign.select("gram"), "gram").groupBy("node").agg(
+        F.count("*").alias("f"), *(m.alias(f"x{k}") for k, m in enumerate(marks))
+    )
+    # The smallest partner that sizes allow has percent / 100 of the node's shingles.
+    left = nodes.join(left, "node").filter((100 + percent) * 100 * F.col("f") >= percent * (100 + percent) * F.col("n"))
+    words = [f"x{k}" for k in range(MAP_WORDS)]
+    own = live.select("node", "a", "b").join(left.select("node", "n", "component", "f", *words), "node")
+    own = own.withColumn("sub", F.explode("a"))
+    other = own.select("sub", *(F.col(c).alias(f"{c}_") for c in own.columns if c != "sub"))
+    lacking = lambda i, j: sum((F.bit_count(F.col(f"x{k}{i}").bitwiseAND(F.bitwise_not(F.col(f"x{k}{j}")))) for k in range(MAP_WORDS)), F.lit(0))
+    common = F.least(F.col("f") - lacking("", "_"), F.col("f_") - lacking("_", ""))
+    on = (F.col("node") < F.col("node_")) & (F.col("component") != F.col("component_")) & _near(F.col("n"), F.col("n_"), percent)
+    on &= (100 + percent) * common >= percent * (F.col("n") + F.col("n_"))
+    # A shared key is a shared sub-key of either kind; the first shared one of a speaks for all.
+    on &= F.arrays_overlap("b", "b_") & (F.array_min(F.array_intersect("a", "a_")) == F.col("x.sub"))
+    both = own.alias("x").join(other.alias("y"), (F.col("x.sub") == F.col("y.sub")) & on)
+    return both.select("node", F.col("node_").alias("other"))
 
 
 def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -181,7 +210,7 @@ def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 def _labels(docs: DataFrame, profile: DataFrame, size: int, percent: int, subkeys: int) -> DataFrame:
     """``(node, component)`` of the nodes that share a key with another one."""
-    keys = _keys(profile, subkeys)
+    keys, live = _keys(profile, subkeys)
     degree = written(keys.groupBy("node").agg(F.sum("shared").alias("degree")), "degree")
     rows = profile.join(degree, profile["rid"] == degree["node"]).select("node", "doc_id", "th").alias("r")
     texts = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"), "text")
@@ -205,7 +234,7 @@ def _labels(docs: DataFrame, profile: DataFrame, size: int, percent: int, subkey
             break
         turn += 1
     turned = tested.select(F.least("node", "other").alias("node"), F.greatest("node", "other").alias("other"))
-    pairs = _apart(keys, labels, percent).join(turned, ["node", "other"], "left_anti")
+    pairs = _apart(keys, live, labels, sets, percent).join(turned, ["node", "other"], "left_anti")
     links = written(_confirmed(pairs, sets, percent), "links")
     return labels if links.isEmpty() else _joined(labels, links)
 
@@ -255,11 +284,11 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, width: int = WID
     stay = first.select(F.col("f.doc_id").alias("_d"), F.col("f.th").alias("_t"), F.lit(False).alias("_all"))
     bare = found.filter(F.col("group").isNull()).select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), F.lit(True).alias("_all"))
     stay = stay.union(bare.distinct())
-    cols = [F.col(f"d.`{c}`") for c in docs.columns]
-    near = F.col("d.doc_id").cast("long").eqNullSafe(F.col("s._d")) & (F.xxhash64("d.text") == F.col("s._t"))
-    both = docs.alias("d").join(stay.alias("s"), near).select(F.struct(*cols).alias("row"), "_d", "_t", "_all")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    near = F.col("row.doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64("row.text") == F.col("_t"))
+    both = rows.join(stay, near)
     turn = F.row_number().over(Window.partitionBy("_d", "_t").orderBy("_all"))
-    return both.withColumn("turn", turn).filter("_all or turn = 1").select("row.*")
+    return both.withColumn("_turn", turn).filter("_all or _turn = 1").select("row.*")
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
