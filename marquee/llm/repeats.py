@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from marquee.llm import wordhash
 from marquee.llm.common import ship, table, written
@@ -276,24 +277,26 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     texts = _texts(docs)
     found = texts.filter(F.octet_length("text") >= length).select("t1", "t2", "text").mapInArrow(_find_anchors(length, gram), _ANCHORS)
     found = written(found, "anchors")
+    kinds = found.groupBy("key", "around").agg(F.count("*").alias("n"))
+    kinds = kinds.withColumn("kinds", F.count("*").over(Window.partitionBy("key"))).filter("n > 1 or kinds > 1")
+    flagged = written(found.join(kinds, ["key", "around"]), "flagged")
     place = F.struct("t1", "t2", "first", "last", "anchor")
-    kinds = found.groupBy("key", "around").agg(F.count("*").alias("n"), F.min(place).alias("one"))
-    kinds = written(kinds.withColumn("size", F.col("one.last") - F.col("one.first") + length), "kinds")
-    several = kinds.groupBy("key").count().filter("count > 1").select("key")
-    wanted = kinds.join(several, "key").groupBy(F.col("one.t1").alias("t1"), F.col("one.t2").alias("t2")).agg(
-        F.collect_list(F.struct("key", "around", F.col("one.first").alias("first"), F.col("one.last").alias("last"), F.col("one.anchor").alias("anchor"))).alias("wanted")
-    )
-    one_row = texts.groupBy("t1", "t2").agg(F.min("doc_id").alias("doc_id"))
-    wanted = wanted.join(one_row, ["t1", "t2"]).withColumnRenamed("doc_id", "d")
-    near = texts.join(wanted, ["t1", "t2"]).filter(F.col("doc_id").eqNullSafe(F.col("d"))).select("text", "wanted")
-    near = near.mapInArrow(_cut(length), "key long, around long, anchor long, bytes binary").dropDuplicates(["key", "around"])
+    ones = flagged.filter("kinds > 1").groupBy("key", "around").agg(F.min(place).alias("one"))
+    asked = F.struct("key", "around", *(F.col(f"one.{c}").alias(c) for c in ("first", "last", "anchor")))
+    wanted = ones.groupBy(F.col("one.t1").alias("t1"), F.col("one.t2").alias("t2")).agg(F.collect_list(asked).alias("wanted"))
+    one_row = texts.groupBy("t1", "t2").agg(F.min("doc_id").alias("d"))
+    # Not an equality for the planner: both joins with the texts then share one exchange by text.
+    same = F.coalesce(F.col("doc_id") == F.col("d"), F.col("doc_id").isNull() & F.col("d").isNull())
+    near = texts.join(wanted.join(one_row, ["t1", "t2"]), ["t1", "t2"]).filter(same).select("text", "wanted")
+    near = near.mapInArrow(_cut(length), "key long, around long, anchor long, bytes binary")
     matched = near.repartition("key").mapInArrow(_match(length, gram), "key long, around long, low long, high long")
-    whole = kinds.filter("n > 1").select("key", "around", F.lit(0).cast("long").alias("low"), F.col("size").alias("high"))
-    # A string repeated among equal neighbourhoods covers them whole; else what the family matched.
-    hits = matched.union(whole).groupBy("key", "around").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    spans = found.join(hits, ["key", "around"]).select(
+    hits = matched.groupBy("key", "around").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    # Of a neighbourhood that occurs twice, every string repeats; else those that the family matched.
+    whole = flagged.filter("n > 1").select("t1", "t2", F.col("first").alias("start"), (F.col("last") + length).alias("stop"))
+    parts = flagged.filter("n = 1").join(hits, ["key", "around"]).select(
         "t1", "t2", (F.col("first") + F.col("low")).alias("start"), (F.col("first") + F.col("high")).alias("stop")
     )
+    spans = whole.union(parts)
     return spans.distinct().groupBy("t1", "t2").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
 
