@@ -12,6 +12,7 @@ so the title id is always the last sort key.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -27,10 +28,17 @@ def best_rated_order(rating: str = "rating", votes: str = "votes", tconst: str =
     return [F.col(rating).desc(), default_minus_one(votes).desc(), F.col(tconst).asc()]
 
 
-# Buckets of the first round when Spark plans no partial limit (large n): a
-# hot group is spread over this many tasks, and the final ranking of a group
-# sees at most n rows per bucket.
-DEFAULT_BUCKETS = 64
+# Input partitions from which a fan-in round pays for its additional shuffle.
+FAN_IN_FROM = 4096
+
+
+def fan_in_for(df: DataFrame) -> int | None:
+    """The square root of the input's partition count, or None for inputs of few partitions."""
+    try:
+        partitions = df.rdd.getNumPartitions()
+    except Exception:  # a Spark Connect session has no such count
+        return None
+    return math.isqrt(partitions) if partitions >= FAN_IN_FROM else None
 
 
 def top_n_per_group(
@@ -40,7 +48,7 @@ def top_n_per_group(
     n: int,
     rank_col: str = "rank",
     salt_by: Sequence[str] = ("tconst",),
-    buckets: int = DEFAULT_BUCKETS,
+    buckets: int | None = None,
     fan_in: int | None = None,
 ) -> DataFrame:
     """The first ``n`` rows of each ``keys`` group under ``order``, numbered 1..n in ``rank_col``.
@@ -48,8 +56,8 @@ def top_n_per_group(
     A group with fewer rows keeps them all; NULL keys form a group of their own.
     Spark inserts the partial (pre-shuffle) limit only for ``n`` up to
     ``spark.sql.optimizer.windowGroupLimitThreshold``; above it, the rows are
-    first cut within (group, salt) buckets, salt = hash of ``salt_by`` (the
-    rows of one group spread over every bucket), so the final ranking sees at
+    first cut within (group, salt) buckets, as many as shuffle partitions, salt =
+    hash of ``salt_by`` (the rows of one group spread over every bucket), so the final ranking sees at
     most n rows per bucket of a group. Both ways give the same, exact result.
 
     ``fan_in`` (optional, e.g. the square root of the input partition count)
@@ -66,6 +74,7 @@ def top_n_per_group(
         df = df.drop("_part", "_r0")
     threshold = int(spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
     if n > threshold:
+        buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         salt = F.pmod(F.xxhash64(*salt_by), F.lit(max(1, buckets)))
         w1 = Window.partitionBy(*keys, F.col("_bucket")).orderBy(*order)
         df = df.withColumn("_bucket", salt).withColumn("_r", F.row_number().over(w1)).where(F.col("_r") <= n)

@@ -13,7 +13,7 @@ from ..functions.columns import join_genres, year_report
 from ..operators.aggregates import most_voted_per_year, movies_per_year, yearly_summary
 from ..operators.joins import join_movies_ratings, join_titles_ratings
 from ..operators.recommend import recommend_by_genre
-from ..operators.topn import top2_rated_per_genre, top10_rated_per_year
+from ..operators.topn import fan_in_for, top2_rated_per_genre, top10_rated_per_year
 from ..operators.broadcast import materialize
 from ..runtime import remove_path
 from ..schemas import MOVIE
@@ -100,13 +100,15 @@ def run_most_voted_per_year(spark: SparkSession, movies_path: str, out: str, kin
 
 def run_top10_rated_per_year(spark: SparkSession, movies_path: str, out: str, kind: str = MOVIE) -> str:
     """Job 6: ``year\\ttconst\\ttitle\\trating\\tvotes`` lines, ten per year."""
-    top = top10_rated_per_year(read_movies_parquet(spark, movies_path, "top10_rated_per_year"), kind)
+    movies = read_movies_parquet(spark, movies_path, "top10_rated_per_year")
+    top = top10_rated_per_year(movies, kind, fan_in=fan_in_for(movies))
     return write_ranked_text(top, out, "year")
 
 
 def run_yearly_summary(spark: SparkSession, movies_path: str, out: str, kind: str = MOVIE) -> str:
     """Job 7: one nested Parquet row per year."""
-    summary = yearly_summary(read_movies_parquet(spark, movies_path, "yearly_summary"), kind)
+    movies = read_movies_parquet(spark, movies_path, "yearly_summary")
+    summary = yearly_summary(movies, kind, fan_in=fan_in_for(movies))
     return write_summary_parquet(summary, out)
 
 
@@ -117,7 +119,8 @@ def run_year_report(spark: SparkSession, summary_path: str, out: str) -> str:
 
 def run_top2_rated_per_genre(spark: SparkSession, movies_path: str, out: str, kind: str = MOVIE) -> str:
     """Job 9: ``genre\\ttconst\\ttitle\\trating\\tvotes`` lines, two per genre."""
-    top = top2_rated_per_genre(read_movies_parquet(spark, movies_path, "by_genre"), kind)
+    movies = read_movies_parquet(spark, movies_path, "by_genre")
+    top = top2_rated_per_genre(movies, kind, fan_in=fan_in_for(movies))
     return write_ranked_text(top, out, "genre")
 
 
@@ -138,7 +141,7 @@ def run_genres(spark: SparkSession, movies_path: str, out_dir: str, kind: str =
     movies = read_movies_parquet(spark, movies_path, "by_genre")
     scratch: list[str] = []
     try:
-        top, _, _, path = materialize(top2_rated_per_genre(movies, kind), "top2_per_genre")
+        top, _, _, path = materialize(top2_rated_per_genre(movies, kind, fan_in=fan_in_for(movies)), "top2_per_genre")
         scratch.append(path)
         top2_out = write_ranked_text(top, f"{out_dir.rstrip('/')}/top2_rated_per_genre", "genre")
         recs = recommend_by_genre(movies, kind, scratch=scratch, top=top)
