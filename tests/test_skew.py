@@ -77,7 +77,7 @@ def test_aggregates_combine_map_side(skewed):
 def test_summary_shuffle_is_bounded(skewed):
     groups = GROUPS + 1
     # count and highest vote + winner branch + top list branch + the per-year join sides
-    bound = 2 * MAPS * groups + 10 * MAPS * groups + 10 * groups + 2 * groups
+    bound = 2 * MAPS * groups + 10 * MAPS * groups + 10 * groups + 6 * groups
     assert shuffled_records(yearly_summary(skewed)) <= bound
 
 
