@@ -1,21 +1,22 @@
 """Benchmark decontamination by CGK embeddings and bit sampling.
 
-A benchmark item of n words is looked for in every window of n words of a
-document, at most ``n // EDITS_PER`` word edits away. A random walk over the
-window (at each step it writes the word it stands on and moves on if a random
-bit of that word and step says so) turns edit distance into Hamming distance;
-windows and items that agree on all of ``SAMPLED`` random places of the walk
-become candidates, over ``WALKS`` walks with ``TABLES`` samples each, and the
-exact edit distance decides. Equal windows always meet; of windows at the full
-distance, the tests measure a recall above 0.95. Before walking, windows with
-too many words that no item of their size has go: each is an edit.
+A benchmark item of n words is looked for in every span of words of a
+document, at most ``n // EDITS_PER`` word edits away. A random walk over the n
+words from a place on (at each step it writes the word it stands on and moves on
+if a random bit of that word and step says so) turns edit distance into Hamming
+distance; windows and items that agree on all of ``SAMPLED`` random places of
+the walk become candidates, over ``WALKS`` walks with ``TABLES`` samples each.
+The exact edit distance to the nearest span around a candidate decides, whatever
+the span's length. Equal windows always meet; of spans at the full distance, the
+tests measure a recall above 0.95. Before walking, windows with too many words
+that no item of their size has go: each is an edit of the span that starts there.
 
 The benchmark goes to the tasks in blocks of bounded size, so documents are
 scanned once per block and never shuffled.
 
 Defined cases: null or empty texts and items have no words and match nothing;
-items with fewer than ``LEAST_WORDS`` words are not looked for. A document
-shorter than an item is one window. Repeated rows are judged alike; an empty
+items with fewer than ``LEAST_WORDS`` words are not looked for. Where a document
+ends, windows are shorter. Repeated rows are judged alike; an empty
 table gives an empty result. ``drop_leaky`` returns the input's columns
 whatever they are named.
 """
@@ -63,6 +64,35 @@ def edit_distance(a: list, b: list, most: int) -> int:
     return min(row[-1], most + 1)
 
 
+def span_edits(masks: dict[int, int], n: int, line: list[int]) -> list[int]:
+    """Per place of ``line``, the least word edits between an item and any span that ends there (bit-parallel columns).
+
+    ``masks`` has a bit for each place of a word in the item's n words.
+    """
+    full, top, out = (1 << n) - 1, 1 << (n - 1), []
+    up, down, edits = full, 0, n
+    for x in line:
+        same = masks.get(x, 0)
+        diagonal = (((same & up) + up) ^ up) | same | down
+        more, less = down | (full & ~(diagonal | up)), up & diagonal
+        edits += bool(more & top) - bool(less & top)
+        more, less = (more << 1) & full, (less << 1) & full
+        up, down = less | (full & ~(diagonal | more)), more & diagonal
+        out.append(edits)
+    return out
+
+
+def span_words(own: list, line: list, edits: int) -> int:
+    """Length of the start of ``line`` that is ``edits`` away from ``own``, the nearest to its length."""
+    row = list(range(len(line) + 1))
+    for i, x in enumerate(own, 1):
+        new = [i]
+        for j, y in enumerate(line, 1):
+            new.append(min(row[j - 1] + (x != y), row[j] + 1, new[-1] + 1))
+        row = new
+    return min((j for j, e in enumerate(row) if e == edits), key=lambda j: (abs(j - len(own)), j))
+
+
 class LeakFinder:
     """Finds the items of one benchmark block in word sequences."""
 
@@ -87,6 +117,13 @@ class LeakFinder:
         self.longest = max(sizes, default=0)
         self.item_keys: list[list[tuple[np.ndarray, np.ndarray]]] = []
         self.items = [own for n in sizes for own in self.of_size[n]]
+        #: Per item, the places of each word counted from the item's end, as bits.
+        self.masks: list[dict[int, int]] = []
+        for _, own in self.items:
+            masks: dict[int, int] = {}
+            for k, x in enumerate(reversed(own)):
+                masks[x] = masks.get(x, 0) | 1 << k
+            self.masks.append(masks)
         line = np.array([x for _, own in self.items for x in own], dtype=np.int64)
         size = np.array([len(own) for _, own in self.items], dtype=np.int64)
         for walk in range(walks if self.items else 0):
@@ -122,14 +159,15 @@ class LeakFinder:
         return out
 
     def find(self, hashes: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-        """``(row, item, start, words, edits)``: for each row and item the nearest window, the first of equals."""
+        """``(row, item, start, words, edits)``: for each row and item the nearest span, the first of equals."""
         line = self.symbols(hashes)
         if not len(line):
             return []
         counts = np.diff(first)
         row_of = np.repeat(np.arange(len(counts)), counts)
         room = first[1:][row_of] - np.arange(len(line))
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        best: dict[tuple[int, int], tuple[int, int]] = {}
+        short = np.flatnonzero(room < self.longest)
         windows: list[tuple[np.ndarray, int]] = []
         for n in sorted(self.of_size):  # like sizes together: short windows take few steps
             most = n // EDITS_PER
@@ -138,7 +176,8 @@ class LeakFinder:
                 few = known[n:] - known[:-n] >= n - most
                 few &= room[: len(line) - n + 1] >= n
                 windows.append((np.flatnonzero(few), n))
-            windows.append((first[:-1][(counts < n) & (counts >= max(1, n - most))], n))
+            last = short[(room[short] < n) & (room[short] >= max(1, n - most))]
+            windows.append((last[known[last + room[last]] - known[last] >= n - most], n))
         all_at = np.concatenate([x for x, _ in windows]) if windows else np.empty(0, np.int64)
         all_n = np.repeat([n for _, n in windows], [len(x) for x, _ in windows]).astype(np.int64)
         for low in range(0, len(all_at), WINDOWS):
@@ -150,15 +189,31 @@ class LeakFinder:
                     left, right = np.searchsorted(own, keys, "left"), np.searchsorted(own, keys, "right")
                     for w in np.flatnonzero(right > left):
                         pairs.update((int(w), int(order[k])) for k in range(left[w], right[w]))
-            for w, k in sorted(pairs):
-                own = self.items[k][1]
-                start, words, most = int(at[w]), int(length[w]), len(own) // EDITS_PER
-                edits = edit_distance(line[start : start + words].tolist(), own, most)
-                row = int(row_of[start])
-                found = (edits, start - int(first[row]), words)
-                if edits <= most and found < best.get((row, k), (most + 1,)):
-                    best[row, k] = found
-        return [(row, self.items[k][0], start, words, edits) for (row, k), (edits, start, words) in sorted(best.items())]
+            spans: dict[tuple[int, int], list[list[int]]] = {}
+            for start, k in sorted((int(at[w]), k) for w, k in pairs):
+                size, row = len(self.items[k][1]), int(row_of[start])
+                most = size // EDITS_PER
+                low_at, high_at = max(int(first[row]), start - most), min(int(first[row + 1]), start + size + 2 * most)
+                own = spans.setdefault((row, k), [])
+                if own and low_at <= own[-1][1]:  # one pass over what overlaps
+                    own[-1][1] = max(own[-1][1], high_at)
+                else:
+                    own.append([low_at, high_at])
+            for (row, k), own in spans.items():
+                size = len(self.items[k][1])
+                most = size // EDITS_PER
+                for low_at, high_at in own:
+                    near = span_edits(self.masks[k], size, line[low_at:high_at][::-1].tolist())  # from the end: per start
+                    edits = min(near)
+                    start = high_at - 1 - max(j for j, e in enumerate(near) if e == edits)
+                    if edits <= most and (edits, start) < best.get((row, k), (most + 1,)):
+                        best[row, k] = edits, start
+        out = []
+        for (row, k), (edits, start) in sorted(best.items()):
+            item, own = self.items[k]
+            end = min(int(first[row + 1]), start + len(own) + edits)
+            out.append((row, item, start - int(first[row]), span_words(own, line[start:end].tolist(), edits), edits))
+        return out
 
 
 def _scan(finder: LeakFinder, texts: pa.Array) -> Iterator[tuple[int, list[tuple[int, int, int, int, int]]]]:

@@ -83,3 +83,67 @@ def test_edit_distance_is_exact_up_to_its_bound():
         a = [draw.randrange(4) for _ in range(draw.randrange(1, 12))]
         b = [draw.randrange(4) for _ in range(draw.randrange(1, 12))]
         assert leaks.edit_distance(a, b, 3) == min(4, word_edits(a, b))
+
+
+def nearest_spans(rows, items):
+    """Brute force: per (doc_id, item_id) the least edits over all spans of any length, if few enough."""
+    out = {}
+    for doc_id, text in rows:
+        line = words(text)
+        for item_id, item in items:
+            own = words(item)
+            row = [0] * (len(line) + 1)
+            for i, x in enumerate(own, 1):
+                new = [i]
+                for j, y in enumerate(line, 1):
+                    new.append(min(row[j - 1] + (x != y), row[j] + 1, new[-1] + 1))
+                row = new
+            if len(own) >= leaks.LEAST_WORDS and min(row) <= len(own) // leaks.EDITS_PER:
+                out[doc_id, item_id] = min(row)
+    return out
+
+
+def test_inserted_and_dropped_words_cost_one_edit(spark):
+    items, texts = [], []
+    for k, (n, edits) in enumerate([(18, 1), (30, 2), (45, 3)]):
+        own = [f"w{k}x{j}" for j in range(n)]
+        items.append((k, " ".join(own)))
+        more, less = own[:], own[:]
+        for j in range(edits):
+            more.insert((j + 1) * n // (edits + 1), "zz")
+            del less[(j + 1) * n // (edits + 1)]
+        for lead, tail in ((["a"] * 9, ["b"] * 9), ([], []), (["a"] * 9, []), ([], ["b"] * 9)):
+            texts += [" ".join([*lead, *x, *tail]) for x in (more, less)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    df = make_docs(spark, texts)
+    assert found(leaks.find_leaks(df, bench)) == {(d, d // 8): d // 8 + 1 for d in range(24)}
+    assert leaks.drop_leaky(df, bench).count() == 0
+    spans = {r["doc_id"]: (r["start_word"], r["n_words"]) for r in leaks.find_leaks(df, bench).collect()}
+    assert [spans[d] for d in (0, 1, 8, 9)] == [(9, 19), (9, 17), (9, 32), (9, 28)]
+
+
+def test_recall_over_spans_of_any_length(spark):
+    draw = random.Random(6)
+    items = [(k, " ".join(f"v{draw.randrange(60)}" for _ in range(draw.randrange(10, 60)))) for k in range(40)]
+    texts = []
+    for k in range(200):
+        own = words(items[k % 40][1])
+        for _ in range(len(own) // leaks.EDITS_PER):
+            at = draw.randrange(len(own))
+            own[at : at + 1] = [] if draw.random() < 0.5 else [own[at], "zz"]
+        texts.append(" ".join([*(f"v{draw.randrange(60)}" for _ in range(30)), *own, *(["tail", "end"] if k % 2 else [])]))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = nearest_spans(list(enumerate(texts)), items)
+    got = found(leaks.find_leaks(make_docs(spark, texts), bench))
+    assert set(got) <= set(want) and len(want) >= 200
+    assert sum(got.get(k) == e for k, e in want.items()) >= 0.95 * len(want)
+
+
+def test_edits_per_span_end():
+    draw = random.Random(3)
+    for _ in range(200):
+        own = [draw.randrange(4) for _ in range(draw.randrange(1, 9))]
+        line = [draw.randrange(4) for _ in range(draw.randrange(1, 12))]
+        masks = {x: sum(1 << j for j, y in enumerate(own) if x == y) for x in own}
+        want = [min(word_edits(own, line[a:b]) for a in range(b + 1)) for b in range(1, len(line) + 1)]
+        assert leaks.span_edits(masks, len(own), line) == want
