@@ -1,7 +1,8 @@
 """Secret scan: candidates judged by a random forest trained on labelled findings.
 
-Candidates are runs of key-like characters holding a digit, and values
-assigned to a credential name. The forest sees the candidate's length and
+Candidates are runs of key-like characters holding a digit, keys of a known
+issuer's form with or without one, and values assigned to a credential name or
+following it after ``is``. The forest sees the candidate's length and
 characters, how its character transitions compare with those of words, how
 much of it a dictionary covers, the path (the document's source) and the
 neighbouring words; it removes false positives such as numbers, digests and
@@ -49,6 +50,8 @@ TESTS = re.compile(r"(?i)test|example|fixture|sample|docs?\b|mock|demo")
 
 _RUN = re.compile(r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*[0-9])[A-Za-z0-9+/_\-]{10,}={0,2}")
 _ASSIGNED = re.compile(rf"(?i)(?<![A-Za-z])(?:{NAMES})[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?([^\s\"']{{6,}})")
+_IS = re.compile(rf"(?i)(?<![A-Za-z])(?:{NAMES})[\"']?\s{{1,3}}is\s{{1,3}}[\"'(]?([^\s\"']{{6,}})")
+_KEY = re.compile(rf"(?<![A-Za-z0-9])(?:{ISSUED.pattern})[A-Za-z0-9]*")
 _NAMED = re.compile(rf"(?i)(?:{NAMES})[\"']?\s{{0,3}}(?:[:=]|is)\s{{0,3}}[\"']?$")
 _NAME = re.compile(rf"(?i)(?:{NAMES})")
 _WORD = re.compile(r"[^\W\d_]{2,}")
@@ -59,8 +62,15 @@ def candidates(text: str | None) -> list[tuple[int, int]]:
     if not text:
         return []
     spans = {m.start(): m.end() for m in _RUN.finditer(text)}
-    for m in _ASSIGNED.finditer(text):
-        spans[m.start(1)] = max(m.end(1), spans.get(m.start(1), 0))
+    for form, group in ((_ASSIGNED, 1), (_KEY, 0)):
+        for m in form.finditer(text):
+            spans[m.start(group)] = max(m.end(group), spans.get(m.start(group), 0))
+    for m in _IS.finditer(text):
+        # In prose the sentence's mark is not the value's; an assignment or a key inside stays its own.
+        start, value = m.start(1), m[1].rstrip(".,;:?)]")
+        inner = _ASSIGNED.search(value) or any(k.start() for k in _KEY.finditer(value))
+        if len(value) >= 6 and not inner:
+            spans[start] = max(start + len(value), spans.get(start, 0))
     out: list[tuple[int, int]] = []
     for start in sorted(spans):
         if not out or start >= out[-1][1]:
@@ -140,7 +150,7 @@ def rule_label(value: str, before: str, after: str, path: str) -> bool | None:
         return False
     if ISSUED.fullmatch(value) or (_NAMED.search(before) and len(value) >= 8 and _runs(value) >= 3):
         return True
-    return False if _runs(value) <= 2 else None
+    return False if _runs(value) <= 2 and not _NAMED.search(before) else None
 
 
 def drawn_findings(per_kind: int = DRAWN, seed: int = 5) -> list[tuple[str, str, str, str, bool]]:
@@ -148,12 +158,15 @@ def drawn_findings(per_kind: int = DRAWN, seed: int = 5) -> list[tuple[str, str,
     draw = np.random.default_rng(seed)
     pick = lambda chars, n: "".join(np.array(list(chars))[draw.integers(0, len(chars), n)])
     hexa, upper, alnum = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    letters = alnum[:-10]
+    plain = ["required", "incorrect", "important", "encrypted", "expired", "invalid", "missing", "generated", "provided", "something", "stored", "different"]
     syllables = ["an", "ed", "ent", "ing", "or", "re", "the", "tion", "un", "ver"]
     word = lambda k: "".join(syllables[i] for i in draw.integers(0, len(syllables), k))
     out = []
     for k in range(per_kind):
         lead, tail, path = f"{word(2)} {word(3)} ", f" {word(2)} {word(1)}", f"src/{word(2)}"
         size = int(draw.integers(10, 44))
+        name, common = ["password", "token", "secret", "passphrase"][k % 4], plain[k % len(plain)]
         out += [
             (f"AKIA{pick(upper, 16)}", lead, tail, path, True),
             (f"ghp_{pick(alnum, 36)}", lead, tail, path, True),
@@ -167,6 +180,15 @@ def drawn_findings(per_kind: int = DRAWN, seed: int = 5) -> list[tuple[str, str,
             (f"{word(2)}_{word(2)}_{k % 9}", lead, tail, path, False),
             (["changeme", "your_password", "xxxxxxxx", "example123"][k % 4], f"{lead}password=", tail, f"docs/{word(2)}", False),
             (f"{word(2)}/{word(2)}/{2000 + k}", lead, tail, path, False),
+            (f"AKIA{pick(upper[:26], 16)}", lead, tail, path, True),
+            (f"{['sk-', 'xoxb-', 'ghp_'][k % 3]}{pick(letters, [32, 24, 36][k % 3])}", lead, tail, path, True),
+            (pick(alnum, int(draw.integers(8, 14))), f"{lead}{name} is ", tail, path, True),
+            (f"{pick(letters[26:], 1)}{word(1)}{pick('0123456789', 2)}{word(1)}{pick('0123456789!$#', 1)}", f"{lead}the {name} is ", tail, path, True),
+            (pick(letters, int(draw.integers(8, 20))), f"{lead}{name} is ", tail, path, True),
+            (pick(letters[:26], int(draw.integers(10, 20))), f"{lead}{name} is ", tail, path, True),
+            (common, f"{lead}the {name} is ", f" and not {plain[k // 5 % len(plain)]} {word(1)}", path, False),
+            (word(int(draw.integers(2, 5))), f"{lead}{name} is ", f" {common} {word(1)}", path, False),
+            (common, f"{lead}{name}: ", tail, path, False),
         ]
     return out
 
