@@ -46,7 +46,6 @@ RULES = (
 )
 
 _RELATIONS = {">": Column.__gt__, "<": Column.__lt__}
-_P = "__quality_"  # prefix of the columns in between, so that no input name clashes
 
 
 def _stop_words() -> list[str]:
@@ -58,36 +57,37 @@ def _count(col: Column) -> Column:
 
 
 def measure(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` plus one struct column ``__quality_m`` of the whole numbers the rules use."""
-    body, words, lines, grams = (f"{_P}{x}" for x in ("text", "words", "lines", "grams"))
-    w, n = F.col(words), F.size(words)
-    out = df.withColumn(body, F.coalesce(F.col(text), F.lit("")))
+    """``(row, m)``: each input row as one struct, and a struct of the whole numbers the rules use.
+
+    With the input in one column, no name of its can clash. The row number in
+    ``m`` keeps the optimizer from moving a later filter below the measuring,
+    where every term of a condition would repeat it.
+    """
+    out = df.select(F.struct(*(df[c] for c in df.columns)).alias("row"))
+    out = out.withColumn("body", F.coalesce(F.col("row").getField(text), F.lit("")))
     out = out.withColumns(
         {
-            words: F.filter(F.split(body, f"{WS}+"), lambda x: x != ""),
-            lines: F.filter(F.split(body, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")),
+            "words": F.filter(F.split("body", f"{WS}+"), lambda x: x != ""),
+            "lines": F.filter(F.split("body", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")),
         }
     )
-    # Word windows as (hash of three words, place), sorted: equal windows become neighbours.
-    window = lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i"))
-    out = out.withColumn(
-        grams, F.when(n >= 3, F.sort_array(F.transform(F.sequence(F.lit(0), F.greatest(n - 3, F.lit(0))), window)))
-    )
-    g = F.col(grams)
+    w, n = F.col("words"), F.size("words")
+    window = lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
+    out = out.withColumn("hashes", F.when(n >= 3, F.transform(F.sequence(F.lit(0), F.greatest(n - 3, F.lit(0))), window)))
+    # Where windows repeat: (hash, place) sorted, so that equal windows become neighbours.
+    repeats = F.size(F.array_distinct("hashes")) < F.size("hashes")
+    out = out.withColumn("grams", F.when(repeats, F.array_sort(F.transform("hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    g = F.col("grams")
     same = lambda x, k: F.coalesce(F.get(g, k)["h"] == x["h"], F.lit(False))
-    places = f"{_P}places"
-    out = out.withColumn(
-        places,
-        F.sort_array(F.transform(F.filter(g, lambda x, k: same(x, k - 1) | same(x, k + 1)), lambda x: x["i"])),
-    )
+    out = out.withColumn("places", F.sort_array(F.transform(F.filter(g, lambda x, k: same(x, k - 1) | same(x, k + 1)), lambda x: x["i"])))
     # Words covered by repeated windows: each adds what the one before does not cover.
     covered = F.aggregate(
-        F.col(places),
+        F.col("places"),
         F.struct(F.lit(0).alias("n"), F.lit(-3).alias("at")),
         lambda acc, x: F.struct((acc["n"] + F.least(F.lit(3), x - acc["at"])).alias("n"), x.alias("at")),
         lambda acc: acc["n"].cast("long"),
     )
-    b, ln = F.col(body), F.col(lines)
+    b, ln = F.col("body"), F.col("lines")
     stop = _stop_words()
     numbers = {
         "n_words": _count(w),
@@ -101,9 +101,9 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
         "n_bullet_lines": _count(F.filter(ln, lambda x: x.startswith("- ") | x.startswith("* ") | x.startswith("•"))),
         "n_upper": F.regexp_count(b, F.lit("[A-Z]")).cast("long"),
         "n_digits": F.regexp_count(b, F.lit("[0-9]")).cast("long"),
+        "at": F.monotonically_increasing_id(),
     }
-    out = out.withColumn(f"{_P}m", F.struct(*(c.alias(k) for k, c in numbers.items())))
-    return out.drop(body, words, lines, grams, places)
+    return out.select("row", F.struct(*(c.alias(k) for k, c in numbers.items())).alias("m"))
 
 
 def base_failed(m: Column) -> Column:
@@ -121,10 +121,10 @@ def kept(m: Column, rules=RULES) -> Column:
 
 def score(df: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
     """Per row of ``df``: doc_id, the numbers, the verdict and the names of the broken rules."""
-    m = F.col(f"{_P}m")
+    m = F.col("m")
     names = F.filter(F.array(*(F.when(c, F.lit(name)) for name, c in broken(m, rules))), lambda x: x.isNotNull())
-    return measure(df, text).select(
-        "doc_id",
+    return measure(df.select("doc_id", text), text).select(
+        F.col("row.doc_id").alias("doc_id"),
         *(m[k].alias(k) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")),
         base_failed(m).alias("base_failed"),
         kept(m, rules).alias("kept"),
@@ -134,11 +134,7 @@ def score(df: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
 
 def keep_good(df: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
     """The rows of ``df``, columns unchanged, that pass the base rules and every threshold."""
-    keep = f"{_P}keep"
-    # The id is never negative; a column that depends on it is computed once, where a
-    # plain condition would be pushed below and repeat the measuring for every term.
-    verdict = kept(F.col(f"{_P}m"), rules) & (F.monotonically_increasing_id() >= 0)
-    return measure(df, text).withColumn(keep, verdict).filter(keep).select(*(df[c] for c in df.columns))
+    return measure(df, text).filter(kept(F.col("m"), rules)).select("row.*")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

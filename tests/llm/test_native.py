@@ -30,6 +30,26 @@ def test_labelled_good_documents_stay_and_bad_ones_go(spark, docs):
     assert all(r["kept"] == (r["quality"] == 1) for r in rows)
 
 
+def test_filters_and_joins_on_verdicts_measure_once(spark, docs):
+    labels = spark.read.parquet(f"{SF_ORACLE}/labels.parquet").select("doc_id", "quality")
+    scored = QUERIES["op10_quality_rules"](spark, SF_ORACLE)
+    plain = {r["doc_id"]: r for r in scored.collect()}
+    for condition, keep in [("not base_failed", lambda r: not r["base_failed"]), ("kept and n_words > 60", lambda r: r["kept"] and r["n_words"] > 60)]:
+        df = scored.filter(condition)
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("xxhash64") == 1
+        assert {r["doc_id"] for r in df.collect()} == {d for d, r in plain.items() if keep(r)}
+    joined = scored.filter("kept").join(labels, "doc_id").filter("not base_failed")
+    assert joined._jdf.queryExecution().optimizedPlan().toString().count("xxhash64") == 1
+    assert joined.count() == sum(1 for r in labels.collect() if plain[r["doc_id"]]["kept"])
+
+
+def test_repeated_windows_in_a_very_long_text(spark):
+    words = [f"w{k}" for k in range(200_000)]
+    texts = [" ".join(words), " ".join([*words, *words[:5]]), " ".join(words[:3] * 40_000)]
+    rows = sorted(quality.score(make_docs(spark, texts)).collect(), key=lambda r: r["doc_id"])
+    assert [(r["n_words"], r["n_repeat_words"]) for r in rows] == [(200_000, 0), (200_005, 10), (120_000, 120_000)]
+
+
 def test_quality_defined_cases(spark, clashing):
     good = " ".join(f"the word{k} of" for k in range(30))
     texts = [None, "", " \n\t", good, good + "\n" + good, "# " * 60 + good, "a b " * 40, "the one"]
