@@ -300,7 +300,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     return spans.distinct().groupBy("t1", "t2").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
 
-_CLEANED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
+_CLEANED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -313,7 +313,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _clean(length: int, digest: bool):
+def _clean(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, spans, copies = (batch.column(c).to_pylist() for c in ("doc_id", "spans", "copies"))
@@ -326,24 +326,35 @@ def _clean(length: int, digest: bool):
                     gone = merged([(s["start"], s["stop"]) for s in spans[k] or ()])
                 edges = [0, *(x for span in gone for x in span), len(body)]
                 kept = b"".join(body[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-                rows.append((ids[k], len(body), len(body) - len(kept), len(gone), hashlib.sha256(kept).hexdigest() if digest else kept))
-            kinds = [pa.int64()] * 4 + [pa.string() if digest else pa.binary()]
-            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256" if digest else "kept"]
+                rows.append((ids[k], len(body), len(body) - len(kept), len(gone), kept, hashlib.sha256(kept).hexdigest()))
+            kinds = [pa.int64()] * 4 + [pa.binary(), pa.string()]
+            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], type=t) for k, t in enumerate(kinds)], names=names)
 
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, digest: bool = False) -> DataFrame:
-    """Per row of ``docs (doc_id, text)``: byte counts, removed runs, and the bytes kept or their SHA-256."""
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """Per row of ``docs (doc_id, text)``: byte counts, removed runs, the bytes kept and their SHA-256."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     spans = repeated_spans(docs, length, gram)
     texts = _texts(docs)
     copies = texts.groupBy("t1", "t2").count().filter("count > 1").select("t1", "t2", F.lit(True).alias("copies"))
     known = spans.join(copies, ["t1", "t2"], "full")
     both = texts.join(known, ["t1", "t2"], "left").select("doc_id", "text", "spans", "copies")
-    return both.mapInArrow(_clean(length, digest), _CLEANED.replace("kept binary", "kept_sha256 string") if digest else _CLEANED)
+    return both.mapInArrow(_clean(length), _CLEANED)
+
+
+def cut_texts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """``remove_repeats`` with the kept bytes as ``kept_text``, too, and ``changed``: whether any byte went.
+
+    A cut may fall inside a character; the half that stays reads as U+FFFD in
+    ``kept_text``, while the digest is of the bytes.
+    """
+    text = F.make_valid_utf8(F.col("kept").cast("string"))
+    cut = remove_repeats(docs, length, gram)
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", text.alias("kept_text"), (F.col("n_removed") > 0).alias("changed"))
 
 
 def op5_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents"), digest=True)
+    return cut_texts(table(spark, sf_dir, "documents"))
