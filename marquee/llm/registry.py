@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from marquee.llm import chat, leaks, licenses, neardup, pieces, quality, repeats, secretscan, sharding, toxicity
+from marquee.llm import chat, leaks, licenses, neardup, pieces, prefixtrie, quality, repeats, secretscan, sharding, spelling, topk, toxicity
 
 QUERIES = {
+    "op11_top_neighbours": topk.op11_top_neighbours,
+    "op12_prefix_trie": prefixtrie.op12_prefix_trie,
+    "op13_spelling_variants": spelling.op13_spelling_variants,
     "op7_licenses": licenses.op7_licenses,
     "op6_shards": sharding.op6_shards,
     "op5_repeated_bytes": repeats.op5_repeated_bytes,
@@ -18,5 +21,6 @@ QUERIES = {
 }
 
 SQL = {
+    "op11_top_neighbours": topk.oracle(),
     "op10_quality_rules": quality.oracle(),
 }

@@ -2,6 +2,7 @@
 
 import hashlib
 import heapq
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -99,3 +100,83 @@ def conversation_digests(rows):
         whole = "".join(f"{r}\n{t}\n" for r, t in own)
         out[conv_id] = (len(own), hashlib.sha256(whole.encode()).hexdigest(), len(learned), hashlib.sha256(learned.encode()).hexdigest())
     return out
+
+
+def trie_nodes(rows, head=6, block=100):
+    """Nodes of the rebuilt conversations' trie, from sequences and recursion-free sums over all prefixes."""
+    turns = defaultdict(list)
+    key = lambda r: ((r[1] is not None, r[1] or 0), r[2] or "", r[3] or "")
+    for conv_id, _, role, text in sorted((r for r in rows if r[0] is not None), key=key):
+        turns[conv_id].append((role or "", text or ""))
+    built = {}
+    for c, own in turns.items():
+        h = crc(str(c)) % head
+        base = c - (abs(c) % block) * (1 if c >= 0 else -1)
+        built[c] = tuple(turns.get(base, [])[:h] + own[h:])
+    members = defaultdict(list)
+    for c, seq in built.items():
+        for d in range(len(seq) + 1):
+            members[seq[:d]].append(c)
+    inner = {p[:-1] for p in members if p}
+    leaves, saved, children = Counter(), Counter(), Counter()
+    for p, own in members.items():
+        if p:
+            children[p[:-1]] += 1
+        gain = (len(own) - 1) * len(p[-1][1]) if p else 0
+        for d in range(len(p) + 1):
+            leaves[p[:d]] += p not in inner
+            saved[p[:d]] += gain
+    out = []
+    for p, own in members.items():
+        ends = ",".join(str(c) for c in sorted(c for c in own if len(built[c]) == len(p)))
+        parent = min(members[p[:-1]]) if p else None
+        out.append((min(own), len(p), parent, len(own), children[p], leaves[p], saved[p], hashlib.sha256(ends.encode()).hexdigest()))
+    return out
+
+
+def nearest(rows, k=10, scale=1024, asked=lambda i: i % 100 == 0):
+    """(query_id, rank, vec_id, score) of (vec_id, vector) rows, every pair scored."""
+    whole = [(i, [math.floor(scale * x) for x in v]) for i, v in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    out = []
+    for q, a in {(i, tuple(v)) for i, v in whole if i is not None and asked(i)}:
+        scored = [(-sum(x * y for x, y in zip(a, b)), i is None, i) for i, b in whole if i != q]  # noqa: B905
+        out += [(q, r, i, -s) for r, (s, _, i) in enumerate(sorted(scored, key=lambda x: (x[0], x[1], x[2] or 0))[:k], 1)]
+    return out
+
+
+def spelling_variants(rows, least_letters=6, least_count=5, slip=199, ratio=5):
+    """(word, form, root, n, n_near, form_n) of (doc_id, text) rows, from all words one edit away."""
+    counts = Counter()
+    for doc_id, text in rows:
+        for run in re.findall("[A-Za-z\u00c0-\u00ff]+", text or ""):
+            run = run.translate(LOWER)
+            h = crc(f"{'' if doc_id is None else doc_id}:{run}")
+            at = h % len(run)
+            counts[run[:at] + run[at + 1 :] if h % slip == 0 else run] += 1
+    words = {w: n for w, n in counts.items() if len(w) >= least_letters and n >= least_count}
+    holes = defaultdict(set)  # a word with one place open, or one letter less
+    for w in words:
+        for k in range(len(w)):
+            holes[w[:k] + "\0" + w[k + 1 :]].add(w)
+            holes[w[:k] + w[k + 1 :]].add(w)
+        holes[w].add(w)
+    near = {w: {x for k in range(len(w)) for g in (w[:k] + "\0" + w[k + 1 :], w[:k] + w[k + 1 :], w) for x in holes[g] if len(g) + 1 >= max(len(w), len(x)) or "\0" in g} for w in words}
+    near = {w: {x for x in own if x != w and one_edit(w, x)} for w, own in near.items()}
+    form = {}
+    for w, own in near.items():
+        best = min(own, key=lambda x: (-words[x], x), default=None)
+        form[w] = best if best is not None and words[best] >= ratio * words[w] else None
+    out = []
+    for w, n in words.items():
+        root = w
+        while form[root] is not None:
+            root = form[root]
+        out.append((w, form[w], root, n, len(near[w]), words[form[w]] if form[w] else None))
+    return out
+
+
+def one_edit(a, b):
+    if len(a) > len(b):
+        a, b = b, a
+    k = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), len(a))  # noqa: B905
+    return a != b and len(b) - len(a) <= 1 and (a[k + 1 :] == b[k + 1 :] if len(a) == len(b) else a[k:] == b[k + 1 :])
