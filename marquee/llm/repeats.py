@@ -36,9 +36,11 @@ from marquee.llm.common import ship, table, written
 
 LENGTH = 400
 GRAM = 64
-#: Windows of one long text handled at a time, and anchors in a new batch: bounds on a task's memory.
-SEGMENT = 1 << 21
+#: Windows of one long text and bytes of short ones handled at a time, anchors in a
+#: new batch, and kept bytes of one result batch: bounds on a task's memory.
+SEGMENT = 1 << 18
 BATCH = 8192
+RESULT = 4 << 20
 
 _U = np.uint64
 _PLACE_BITS = _U(24)  # a group of rows has fewer bytes than 2 ** 24
@@ -55,7 +57,7 @@ def _segments(offsets: np.ndarray, length: int) -> Iterator[tuple[int, int, int]
 def _groups(offsets: np.ndarray, length: int) -> Iterator[list[tuple[int, int, int]]]:
     held, size = [], 0
     for row, low, high in _segments(offsets, length):
-        if held and size + high - low > 1 << 20:
+        if held and size + high - low > SEGMENT:
             yield held
             held, size = [], 0
         held.append((row, low, high))
@@ -313,11 +315,17 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def _cleaned(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64()] * 4 + [pa.binary(), pa.string()]
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], type=t) for k, t in enumerate(kinds)], names=names)
+
+
 def _clean(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, spans, copies = (batch.column(c).to_pylist() for c in ("doc_id", "spans", "copies"))
-            rows = []
+            rows, held = [], 0
             for k, text in enumerate(batch.column("text")):
                 body = text.as_py().encode("utf-8")
                 if copies[k] and len(body) >= length:
@@ -327,9 +335,11 @@ def _clean(length: int):
                 edges = [0, *(x for span in gone for x in span), len(body)]
                 kept = b"".join(body[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
                 rows.append((ids[k], len(body), len(body) - len(kept), len(gone), kept, hashlib.sha256(kept).hexdigest()))
-            kinds = [pa.int64()] * 4 + [pa.binary(), pa.string()]
-            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], type=t) for k, t in enumerate(kinds)], names=names)
+                held += len(kept)
+                if held > RESULT:
+                    yield _cleaned(rows)
+                    rows, held = [], 0
+            yield _cleaned(rows)
 
     return run
 
