@@ -10,15 +10,18 @@ The exact edit distance to the nearest span around a candidate decides, whatever
 the span's length. Equal windows always meet; of spans at the full distance, the
 tests measure a recall above 0.95. Before walking, windows with too many words
 that no item of their size has go: each is an edit of the span that starts there.
-
-The benchmark goes to the tasks in blocks of bounded size, so documents are
-scanned once per block and never shuffled.
-
-Defined cases: null or empty texts and items have no words and match nothing;
-items with fewer than ``LEAST_WORDS`` words are not looked for. Where a document
-ends, windows are shorter. Repeated rows are judged alike; an empty
-table gives an empty result. ``drop_leaky`` returns the input's columns
-whatever they are named.
+Items of fewer than ``EDITS_PER`` words may not be edited at all: they are found
+by a hash of the whole window.
+
+The benchmark's distinct texts go to the tasks in blocks of bounded size, so
+documents are scanned once per block and never shuffled; items of equal text get
+their findings by a join on the text's number. Of a walk, only the sampled places
+are kept, so long items do not cost memory per window.
+
+Defined cases: null or empty texts and items have no words and match nothing; an
+item of one word is found wherever the word is. Where a document ends, windows
+are shorter. Repeated rows are judged alike; an empty table gives an empty result.
+``drop_leaky`` returns the input's columns whatever they are named.
 """
 
 from __future__ import annotations
@@ -34,7 +37,6 @@ from marquee.llm import wordhash
 from marquee.llm.common import WS, ship, table
 
 EDITS_PER = 10
-LEAST_WORDS = 8
 WALKS = 8
 TABLES = 4
 SAMPLED = 3
@@ -93,6 +95,14 @@ def span_words(own: list, line: list, edits: int) -> int:
     return min((j for j, e in enumerate(row) if e == edits), key=lambda j: (abs(j - len(own)), j))
 
 
+def _joined(line: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each ``n`` neighbouring symbols."""
+    out = np.zeros(len(line) - n + 1, dtype=_U)
+    for m, k in zip(wordhash.seeds(n, 29), range(n), strict=True):
+        out += wordhash.mix((line[k : k + len(out)].astype(_U) + _U(1)) * m)
+    return out
+
+
 class LeakFinder:
     """Finds the items of one benchmark block in word sequences."""
 
@@ -105,10 +115,14 @@ class LeakFinder:
         self.outside, self.pad = len(self.vocabulary), len(self.vocabulary) + 1
         self.walks, self.tables, self.sampled = walks, tables, sampled
         self.of_size: dict[int, list[tuple[int, list[int]]]] = {}
+        #: Items that allow no edit: per size, the items by the hash of their words.
+        self.exact: dict[int, dict[int, list[tuple[int, list[int]]]]] = {}
         for k, (item, _) in enumerate(items):
             own = self.symbols(hashes[first[k] : first[k + 1]])
-            if len(own) >= LEAST_WORDS:
+            if len(own) >= EDITS_PER:
                 self.of_size.setdefault(len(own), []).append((item, own.tolist()))
+            elif len(own):
+                self.exact.setdefault(len(own), {}).setdefault(int(_joined(own, len(own))[0]), []).append((item, own.tolist()))
         #: Per size, whether a symbol is a word of any item of this size.
         self.own_words = {n: np.zeros(self.pad + 1, dtype=bool) for n in self.of_size}
         for n, same in self.of_size.items():
@@ -141,23 +155,45 @@ class LeakFinder:
         The places a table samples are fractions of the walk of 2 * n steps.
         """
         names = np.arange(self.pad + 1, dtype=_U) + _U(1)
-        trace = np.empty((2 * int(n.max(initial=0)), len(at)), dtype=np.int32)
+        drawn = np.random.default_rng((walk, 17)).random((self.tables, self.sampled)).ravel()
+        kept = np.empty((len(drawn), len(at)), dtype=np.int32)
+        # Windows for items of one size lie together and are sampled at the same steps.
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(n)) + 1, [len(n)]])
+        wanted: dict[int, list[tuple[int, int, int]]] = {}
+        for low, high in zip(edges[:-1], edges[1:], strict=True):
+            for k, part in enumerate(drawn):
+                wanted.setdefault(int(part * 2 * n[low]) if high > low else 0, []).append((k, low, high))
         place, end, last = at.copy(), at + length, len(line) - 1
-        for step in range(len(trace)):
+        for step in range(max(wanted) + 1):
             if step % 64 == 0:  # one random word per symbol has the bits of 64 steps
                 bits = wordhash.mix(names * wordhash.seeds(1, 1000 * walk + step)[0])
-            symbol = trace[step]
-            symbol[:] = line[np.minimum(place, last)]
+            symbol = line[np.minimum(place, last)]
             symbol[place >= end] = self.pad
+            for k, low, high in wanted.get(step, ()):
+                kept[k, low:high] = symbol[low:high]
             place += ((bits[symbol] >> _U(step % 64)) & _U(1)).view(np.int64)
-        draw, own, out = np.random.default_rng((walk, 17)), np.arange(len(at)), []
-        for _ in range(self.tables):
+        out = []
+        for table_at in range(0, len(drawn), self.sampled):
             key = wordhash.mix(n.astype(_U))
-            for part in draw.random(self.sampled):
-                key = wordhash.mix(key * _U(31) + names[trace[(part * 2 * n).astype(np.int64), own]])
+            for own in kept[table_at : table_at + self.sampled]:
+                key = wordhash.mix(key * _U(31) + names[own])
             out.append(key)
         return out
 
+    def _find_exact(self, line: np.ndarray, row_of: np.ndarray, room: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+        for n, by_key in self.exact.items():
+            if len(line) < n:
+                continue
+            keys = _joined(line, n)
+            known = np.fromiter(by_key, dtype=_U, count=len(by_key))
+            seen = set()
+            for at in np.flatnonzero(np.isin(keys, known) & (room[: len(keys)] >= n)):
+                row = int(row_of[at])
+                for item, own in by_key[int(keys[at])]:
+                    if (row, item) not in seen and line[at : at + n].tolist() == own:
+                        seen.add((row, item))
+                        yield row, item, int(at), n, 0
+
     def find(self, hashes: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """``(row, item, start, words, edits)``: for each row and item the nearest span, the first of equals."""
         line = self.symbols(hashes)
@@ -166,6 +202,7 @@ class LeakFinder:
         counts = np.diff(first)
         row_of = np.repeat(np.arange(len(counts)), counts)
         room = first[1:][row_of] - np.arange(len(line))
+        whole = [(row, item, at - int(first[row]), n, 0) for row, item, at, n, _ in self._find_exact(line, row_of, room)]
         best: dict[tuple[int, int], tuple[int, int]] = {}
         short = np.flatnonzero(room < self.longest)
         windows: list[tuple[np.ndarray, int]] = []
@@ -208,7 +245,7 @@ class LeakFinder:
                     start = high_at - 1 - max(j for j, e in enumerate(near) if e == edits)
                     if edits <= most and (edits, start) < best.get((row, k), (most + 1,)):
                         best[row, k] = edits, start
-        out = []
+        out = whole
         for (row, k), (edits, start) in sorted(best.items()):
             item, own = self.items[k]
             end = min(int(first[row + 1]), start + len(own) + edits)
@@ -225,13 +262,17 @@ def _scan(finder: LeakFinder, texts: pa.Array) -> Iterator[tuple[int, list[tuple
         yield low, finder.find(wordhash.word_hashes(part, starts, ends), first)
 
 
-def _blocks(bench: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The benchmark's items in blocks of about ``BLOCK_WORDS`` words."""
-    items = bench.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null")
-    total = items.agg(F.sum(F.size(F.split("text", f"{WS}+")))).first()[0] or 0
+def _texts(bench: DataFrame) -> DataFrame:
+    """``(number, text)`` of the benchmark's distinct texts; the number is a hash of the text."""
+    return bench.filter("text is not null").select(F.xxhash64("text").alias("number"), "text").distinct()
+
+
+def _blocks(texts: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    """The distinct texts in blocks of about ``BLOCK_WORDS`` words."""
+    total = texts.agg(F.sum(F.size(F.split("text", f"{WS}+")))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_WORDS))
     for k in range(blocks):
-        own = items.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k)
+        own = texts.filter(F.pmod("number", F.lit(blocks)) == k)
         yield [(r[0], r[1]) for r in own.collect()]
 
 
@@ -241,12 +282,12 @@ def find_leaks(docs: DataFrame, bench: DataFrame) -> DataFrame:
     Columns doc_id, item_id, start_word, n_words, edits.
     """
     ship(docs.sparkSession)
-    schema = "doc_id long, item_id long, start_word long, n_words long, edits long"
+    schema = "doc_id long, number long, start_word long, n_words long, edits long"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = docs.sparkSession.createDataFrame([], schema)
-    for items in _blocks(bench):
+    for block in _blocks(_texts(bench)):
 
-        shared = docs.sparkSession.sparkContext.broadcast(LeakFinder(items))
+        shared = docs.sparkSession.sparkContext.broadcast(LeakFinder(block))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             finder = shared.value
@@ -255,11 +296,12 @@ def find_leaks(docs: DataFrame, bench: DataFrame) -> DataFrame:
                 found = [(ids[low + row], *x) for low, some in _scan(finder, batch.column("text")) for row, *x in some]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([x[k] for x in found], type=pa.int64()) for k in range(5)],
-                    names=["doc_id", "item_id", "start_word", "n_words", "edits"],
+                    names=["doc_id", "number", "start_word", "n_words", "edits"],
                 )
 
         out = out.union(rows.mapInArrow(run, schema))
-    return out
+    items = bench.filter("text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.xxhash64("text").alias("number"))
+    return out.join(items, "number").select("doc_id", "item_id", "start_word", "n_words", "edits")
 
 
 def drop_leaky(docs: DataFrame, bench: DataFrame, text: str = "text") -> DataFrame:
@@ -267,9 +309,9 @@ def drop_leaky(docs: DataFrame, bench: DataFrame, text: str = "text") -> DataFra
     ship(docs.sparkSession)
     place = docs.columns.index(text)
     out = docs
-    for items in _blocks(bench):
+    for block in _blocks(_texts(bench)):
 
-        shared = docs.sparkSession.sparkContext.broadcast(LeakFinder(items))
+        shared = docs.sparkSession.sparkContext.broadcast(LeakFinder(block))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             finder = shared.value

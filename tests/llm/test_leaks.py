@@ -1,4 +1,8 @@
 import random
+import tracemalloc
+
+import numpy as np
+import pyarrow as pa
 
 from marquee.llm import leaks
 from marquee.llm.registry import QUERIES
@@ -12,20 +16,28 @@ def words(text):
     return WORD.findall((text or "").translate(LOWER))
 
 
-def best_windows(rows, items):
-    """Brute force: per (doc_id, item_id) the least edits over item-sized windows, if few enough."""
+def nearest_spans(rows, items):
+    """Brute force: per (doc_id, item_id) the least edits over all spans of any length, if few enough."""
     out = {}
+    owns = [(item_id, words(item)) for item_id, item in items]
+    sets = [set(own) for _, own in owns]
     for doc_id, text in rows:
         line = words(text)
-        for item_id, item in items:
-            own = words(item)
-            if len(own) < leaks.LEAST_WORDS or not line:
+        for (item_id, own), held in zip(owns, sets, strict=True):
+            n, most = len(own), len(own) // leaks.EDITS_PER
+            # A span that close has at most n + most words, and all but ``most`` of the item's among them.
+            known = np.concatenate([[0], np.cumsum([w in held for w in line])])
+            wide = min(len(line), n + most)
+            if not n or not line or (known[wide:] - known[: len(known) - wide]).max() < n - most:
                 continue
-            n, most, known = len(own), len(own) // leaks.EDITS_PER, set(own)
-            for k in range(max(1, len(line) - n + 1)):
-                window = line[k : k + n]
-                if sum(w in known for w in window) >= n - most and (e := word_edits(window, own)) <= most:
-                    out[doc_id, item_id] = min(e, out.get((doc_id, item_id), e))
+            row = [0] * (len(line) + 1)
+            for i, x in enumerate(own, 1):
+                new = [i]
+                for j, y in enumerate(line, 1):
+                    new.append(min(row[j - 1] + (x != y), row[j] + 1, new[-1] + 1))
+                row = new
+            if min(row) <= most:
+                out[doc_id, item_id] = min(row)
     return out
 
 
@@ -33,9 +45,9 @@ def found(df):
     return {(r["doc_id"], r["item_id"]): r["edits"] for r in df.collect()}
 
 
-def test_query_matches_all_windows(spark, doc_rows):
+def test_query_matches_all_spans(spark, doc_rows):
     items = [tuple(r) for r in spark.read.parquet(f"{SF_ORACLE}/benchmark.parquet").select("item_id", "text").collect()]
-    assert found(QUERIES["op1_benchmark_leaks"](spark, SF_ORACLE)) == best_windows(doc_rows, items)
+    assert found(QUERIES["op1_benchmark_leaks"](spark, SF_ORACLE)) == nearest_spans(doc_rows, items)
 
 
 def test_recall_at_the_full_distance(spark):
@@ -49,7 +61,7 @@ def test_recall_at_the_full_distance(spark):
             own[at : at + 1] = [f"v{draw.randrange(60)}"] if kind < 0.6 else [] if kind < 0.8 else [own[at], "zz"]
         texts.append(" ".join([*(f"v{draw.randrange(60)}" for _ in range(30)), *own, "tail", "end"]))
     bench = spark.createDataFrame(items, "item_id long, text string")
-    want = best_windows(list(enumerate(texts)), items)
+    want = nearest_spans(list(enumerate(texts)), items)
     got = found(leaks.find_leaks(make_docs(spark, texts), bench))
     assert set(got) <= set(want) and len(want) > 100
     assert sum(got.get(k) == e for k, e in want.items()) >= 0.95 * len(want)
@@ -85,22 +97,31 @@ def test_edit_distance_is_exact_up_to_its_bound():
         assert leaks.edit_distance(a, b, 3) == min(4, word_edits(a, b))
 
 
-def nearest_spans(rows, items):
-    """Brute force: per (doc_id, item_id) the least edits over all spans of any length, if few enough."""
-    out = {}
-    for doc_id, text in rows:
-        line = words(text)
-        for item_id, item in items:
-            own = words(item)
-            row = [0] * (len(line) + 1)
-            for i, x in enumerate(own, 1):
-                new = [i]
-                for j, y in enumerate(line, 1):
-                    new.append(min(row[j - 1] + (x != y), row[j] + 1, new[-1] + 1))
-                row = new
-            if len(own) >= leaks.LEAST_WORDS and min(row) <= len(own) // leaks.EDITS_PER:
-                out[doc_id, item_id] = min(row)
-    return out
+def test_items_of_few_words_are_found_whole(spark):
+    draw = random.Random(4)
+    items = [(k, " ".join(f"v{draw.randrange(12)}" for _ in range(1 + k % 9))) for k in range(40)] + [(90, "v1 v2"), (91, "v1 v2"), (92, "Absent")]
+    texts = [" ".join(f"V{draw.randrange(14)}" for _ in range(draw.randrange(40))) for _ in range(60)] + ["v1", "v1  v2"]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = list(enumerate(texts))
+    assert found(leaks.find_leaks(make_docs(spark, texts), bench)) == nearest_spans(rows, items)
+    keep = {d for d, _ in rows} - {d for d, _ in nearest_spans(rows, items)}
+    assert {r["doc_id"] for r in leaks.drop_leaky(make_docs(spark, texts), bench).collect()} == keep
+
+
+def test_a_very_long_item_takes_little_memory():
+    draw = random.Random(7)
+    line = [f"w{draw.randrange(4000)}" for _ in range(12_000)]
+    items = [(k, " ".join(f"x{draw.randrange(500)}" for _ in range(20))) for k in range(1000)] + [(5000, " ".join(line[300:5300]))]
+    tracemalloc.start()
+    finder = leaks.LeakFinder(items)
+    built = tracemalloc.get_traced_memory()[1]
+    text = pa.array([" ".join(line)], type=pa.large_string())
+    tracemalloc.reset_peak()
+    rows = [x for _, some in leaks._scan(finder, text) for x in some]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == [(0, 5000, 300, 5000, 0)]
+    assert built < 60e6 and peak < 300e6
 
 
 def test_inserted_and_dropped_words_cost_one_edit(spark):

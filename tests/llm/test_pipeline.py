@@ -8,12 +8,12 @@ from marquee.llm.registry import QUERIES, SQL
 from tests.conftest import SF_ORACLE
 
 from .brute import components
-from .test_leaks import best_windows
+from .test_leaks import nearest_spans
 
 
 def test_all_are_registered():
     assert [k for k in queries() if k.startswith("op")] and set(QUERIES) | {"pipeline"} <= set(queries())
-    assert {int(k[2:].split("_")[0]) for k in QUERIES} == set(range(1, 11))
+    assert {int(k[2:].split("_")[0]) for k in QUERIES} == set(range(1, 14))
     assert set(SQL) <= set(oracle_sql())
 
 
@@ -31,7 +31,7 @@ def test_stages_against_brute_force(spark, docs):
     assert set(rows["quality_rules"]) == good
     kept = {d for d, _, _, keep in components(sorted(rows["quality_rules"].items()), 5) if keep}
     assert set(rows["near_duplicates"]) == kept
-    leaky = {d for d, _ in best_windows(sorted(rows["near_duplicates"].items()), items)}
+    leaky = {d for d, _ in nearest_spans(sorted(rows["near_duplicates"].items()), items)}
     assert set(rows["decontamination"]) == kept - leaky and leaky
     assert set(rows["secrets"]) == set(rows["decontamination"])
     changed = {d for d, t in rows["secrets"].items() if t != rows["decontamination"][d]}
