@@ -20,6 +20,7 @@ named like its output, which then replaces them.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import math
 import re
 from collections.abc import Iterator
@@ -137,21 +138,29 @@ class PieceEncoder:
 
         With ``borders`` also the parts that stood first and last on the way.
         """
-        parts = list(text)
+        parts: list[str | None] = list(text)
+        before, after = list(range(-1, len(text) - 1)), [*range(1, len(text)), -1]
+        # Pairs by score, then place; one whose parts have changed since is passed over.
+        heap = [(-s, k, x, y) for k, (x, y) in enumerate(zip(text, text[1:], strict=False)) if (s := self.score.get(x + y)) is not None]
+        heapq.heapify(heap)
         left, right = [], []
-        while len(parts) > 1:
-            best = max(
-                ((s, -k) for k in range(len(parts) - 1) if (s := self.score.get(parts[k] + parts[k + 1])) is not None),
-                default=None,
-            )
-            if best is None:
-                break
-            k = -best[1]
-            if k == 0:
-                left.append((parts[0], -best[0]))
-            if k == len(parts) - 2:
-                right.append((parts[-1], -best[0]))
-            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+        while heap:
+            rank, k, x, y = heapq.heappop(heap)
+            j = after[k]
+            if parts[k] != x or j < 0 or parts[j] != y:
+                continue
+            if before[k] < 0:
+                left.append((x, rank))
+            if after[j] < 0:
+                right.append((y, rank))
+            parts[k], parts[j] = x + y, None
+            after[k] = after[j]
+            if after[j] >= 0:
+                before[after[j]] = k
+            for p, q in ((before[k], k), (k, after[k])):
+                if p >= 0 and q >= 0 and (s := self.score.get(parts[p] + parts[q])) is not None:
+                    heapq.heappush(heap, (-s, p, parts[p], parts[q]))
+        parts = [p for p in parts if p is not None]
         if not borders:
             return parts
         return parts, [*left, (parts[0], math.inf)], [*right, (parts[-1], math.inf)]

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import pytest
 import sentencepiece
@@ -49,6 +50,34 @@ def test_prefix_table_agrees_with_merging(both):
         assert [own.piece[i] for i in own.unit_ids(unit)] == own.merged(unit)
 
 
+def plainly_merged(own, text):
+    """The best-scored pair, leftmost of equals, sought anew after every merge."""
+    parts = list(text)
+    while True:
+        pairs = [(own.score[parts[k] + parts[k + 1]], -k) for k in range(len(parts) - 1) if parts[k] + parts[k + 1] in own.score]
+        if not pairs:
+            return parts
+        k = -max(pairs)[1]
+        parts[k : k + 2] = [parts[k] + parts[k + 1]]
+
+
+def test_merging_by_heap_is_merging_by_definition(both):
+    own, _ = both
+    draw = random.Random(5)
+    for _ in range(1500):
+        text = "".join(draw.choice("aein▁▁▁▁▁▁.st") for _ in range(draw.randrange(1, 60)))
+        assert own.merged(text) == plainly_merged(own, text)
+
+
+def test_long_runs_of_spaces(both):
+    own, library = both
+    text = "a" + " " * 100_000 + "b  c" + " " * 1001
+    start = time.perf_counter()
+    got = own.encode(text)
+    assert time.perf_counter() - start < 5  # a second or less on an idle machine
+    assert got[1] == ",".join(map(str, library.encode(text))) and got[2] == text
+
+
 def test_forgetting_units_changes_nothing(both):
     small = pieces.PieceEncoder(pieces.default_model(), remembered=3)
     for text in ["one two three four five one two", "a b c d e f a b c"]:
