@@ -1,9 +1,10 @@
 """Prefix trie of conversations, rolled up by centroid decomposition.
 
 Conversations that start with the same turns share the trie's nodes. A node is
-named by its smallest member and its depth; the prefix of a conversation is
-known by position-salted hashes of its turns, summed along it (four lanes of 32
-bits), so nodes come from one grouping of all prefixes.
+named by its smallest member and its depth. A prefix is known by two polynomials
+over its turns' hashes, modulo 2**64, so nodes come from one grouping of all
+prefixes, and the prefix of a rebuilt conversation follows from those of the two
+conversations it is made of.
 
 The forest of parent edges is rolled up by its centroids. In a component, the
 nodes whose part of it is more than half of it form a path from the top; the
@@ -14,9 +15,10 @@ largest component every node holds its subtree's total, however deep the trie.
 Components beyond ``LOCAL`` nodes are split by joins over the cluster; smaller
 ones, several to a group, by the same steps on arrays.
 
-A conversation's own rows are numbered and summed over range partitions, so one
-conversation with a third of all rows is spread. The digest of a node's ends is
-sequential; where it has several, their ids stream past in order.
+Rows are numbered and summed within range partitions, so one conversation with a
+third of all rows is spread; only the first and last conversation of a partition
+can go on in another, and these few sums are carried over. The digest of a node's
+ends is sequential; where it has several, their ids stream past in order.
 
 Defined cases: a null role or text is empty; a null turn comes first; rows of
 the same turn are ordered by role, then text; repeated rows are turns each.
@@ -31,9 +33,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from marquee.llm.common import ship, shuffle_partitions, table, written
 from marquee.runtime import scratch_path
@@ -45,86 +46,164 @@ SPLIT = 100_000
 #: A rebuilt conversation starts with fewer turns of its block's first one than this.
 HEAD = 6
 BLOCK = 100
-LANES = 4
+#: Odd, so that each has an inverse modulo 2**64: the polynomials' bases.
+BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+_U = np.uint64
+_MOD = 1 << 64
 
 
-def running(rows: DataFrame, key: str, order: list[Column], sums: dict[str, Column], name: str) -> DataFrame:
-    """``rows`` with their place ``pos`` (from 1) within ``key``, and the columns ``sums`` added up to there.
+def _powers(base: int, n: int) -> np.ndarray:
+    """``base ** 0`` to ``base ** n`` modulo 2**64."""
+    steps = np.full(n + 1, base % _MOD, dtype=_U)
+    steps[0] = 1
+    return np.multiply.accumulate(steps)
 
-    Sorted over range partitions; what earlier partitions hold of a key is one
-    row each, so no task holds a key's rows.
+
+def _along(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Places and prefix polynomials within one sorted partition; ``edge`` marks the sums that another one may need.
+
+    A row is held back until the next batch, to know whether it is the last.
     """
-    keep = [c for c in rows.columns if c not in sums]
-    parts = rows.repartitionByRange(shuffle_partitions(rows.sparkSession), key, *order).sortWithinPartitions(key, *order)
-    placed = parts.select(*keep, *(c.alias(n) for n, c in sums.items()), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"))
-    return _summed(written(placed, name), key, list(sums))
-
-
-def _summed(placed: DataFrame, key: str, sums: list[str]) -> DataFrame:
-    total = placed.groupBy(key, "part").agg(F.count("*").alias("_n"), *(F.sum(s).alias(f"_{s}") for s in sums))
-    ahead = Window.partitionBy(key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    before = total.select(key, "part", *(F.coalesce(F.sum(f"_{s}").over(ahead), F.lit(0)).alias(f"_{s}") for s in ["n", *sums]))
-    own = Window.partitionBy(key, "part").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = placed.select("*", F.count("*").over(own).alias("pos"), *(F.sum(s).over(own).alias(f"{s}_to") for s in sums))
-    both = local.join(before, [key, "part"])
-    return both.withColumns({"pos": F.col("pos") + F.col("_n")} | {f"{s}_to": F.col(f"{s}_to") + F.col(f"_{s}") for s in sums}).drop(
-        "part", "at", "_n", *(f"_{s}" for s in sums)
-    )
+    names = ["conv", "part", "pos", "p0", "p1", "chars", "edge"]
+    first = conv_now = None
+    pos_now, sum_now, power_now = 0, [0, 0], [1, 1]
+    held: pa.RecordBatch | None = None
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        conv = batch.column("conv").to_numpy()
+        first = conv[0] if first is None else first
+        new = np.concatenate([[conv[0] != conv_now], conv[1:] != conv[:-1]])
+        run = np.cumsum(new)  # 0: the run that goes on from the batch before
+        start = np.concatenate([[0], np.flatnonzero(new)]) if not new[0] else np.flatnonzero(new)
+        at = start[run - new[0]]
+        goes_on = run == 0
+        pos = np.arange(n) - at + 1 + np.where(goes_on, pos_now, 0)
+        columns = []
+        for k, base in enumerate(BASES):
+            power = _powers(base, n)
+            hashes = batch.column(f"h{k}").to_numpy().view(_U)
+            lead = np.where(goes_on, _U(power_now[k]), _U(1))
+            terms = hashes * power[np.arange(n) - at + 1] * lead
+            total = np.cumsum(terms, dtype=_U)
+            columns.append(total - (total[at] - terms[at]) + np.where(goes_on, _U(sum_now[k]), _U(0)))
+            power_now[k] = int(power[n - at[-1]]) * int(lead[-1]) % _MOD
+        conv_now, pos_now, sum_now = conv[-1], int(pos[-1]), [int(c[-1]) for c in columns]
+        edge = (conv == first) & np.concatenate([conv[1:] != conv[:-1], [False]])
+        out = [batch.column("conv"), batch.column("part"), pa.array(pos), *(pa.array(c.view(np.int64)) for c in columns), batch.column("chars"), pa.array(edge)]
+        out = pa.RecordBatch.from_arrays(out, names=names)
+        if held is not None:
+            yield _with_last(held, bool(held.column("conv")[-1].as_py() == first and first != conv[0]))
+        held = out
+    if held is not None:
+        yield _with_last(held, True)
+
+
+def _with_last(batch: pa.RecordBatch, edge: bool) -> pa.RecordBatch:
+    flags = batch.column("edge").to_numpy(zero_copy_only=False).copy()
+    flags[-1] |= edge
+    return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(flags)], names=batch.schema.names)
+
+
+def _carried(edges: list[tuple[int, int, int, int, int]]) -> list[tuple[int, ...]]:
+    """``(conv, part, pos0, s0, s1, f0, f1)`` for each edge that earlier partitions hold rows of; (conv, part, pos, p0, p1) come in."""
+    out, before = [], {}
+    signed = lambda x: x - _MOD if x >= _MOD >> 1 else x
+    for conv, part, pos, *sums in sorted(edges, key=lambda e: (e[0], e[1])):
+        pos0, held = before.get(conv, (0, (0, 0)))
+        factor = [pow(b, pos0, _MOD) for b in BASES]
+        if pos0:
+            out.append((conv, part, pos0, *map(signed, held), *map(signed, factor)))
+        before[conv] = pos0 + pos, tuple((h + f * s) % _MOD for h, f, s in zip(held, factor, sums, strict=True))
+    return out
+
+
+def _apply_carried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        get = lambda c: batch.column(c).to_numpy()  # noqa: B023, E731
+        sums = [(get(f"s{k}").view(_U) + get(f"f{k}").view(_U) * get(f"p{k}").view(_U)).view(np.int64) for k in range(2)]
+        columns = [batch.column("conv"), pa.array(get("pos") + get("pos0")), *map(pa.array, sums), batch.column("chars")]
+        yield pa.RecordBatch.from_arrays(columns, names=["conv", "pos", "p0", "p1", "chars"])
 
 
-def turns_of(conversations: DataFrame, name: str = "turns") -> DataFrame:
-    """``(conv, pos, h1, h2, chars)``: each row's place in its conversation, hashes and code points of what it says."""
+def turns_of(conversations: DataFrame) -> DataFrame:
+    """``(conv, pos, p0, p1, chars)``: each row's place in its conversation, the prefix up to it, its text's code points."""
+    spark = conversations.sparkSession
+    ship(spark)
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     rows = conversations.filter(F.col("conv_id").isNotNull()).select(
         F.col("conv_id").cast("long").alias("conv"), F.col("turn").alias("turn"), text("role").alias("role"), text("text").alias("text")
     )
-    spread = rows.repartitionByRange(shuffle_partitions(rows.sparkSession), "conv", F.col("turn").asc_nulls_first(), "role", "text")
-    placed = spread.sortWithinPartitions("conv", F.col("turn").asc_nulls_first(), "role", "text").select(
+    order = ["conv", F.col("turn").asc_nulls_first(), "role", "text"]
+    placed = rows.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order).select(
         "conv",
-        F.xxhash64(F.lit("one"), "role", "text").alias("h1"),
-        F.xxhash64(F.lit("two"), "text", "role").alias("h2"),
+        F.spark_partition_id().cast("long").alias("part"),
+        F.xxhash64(F.lit("one"), "role", "text").alias("h0"),
+        F.xxhash64(F.lit("two"), "text", "role").alias("h1"),
         F.length("text").cast("long").alias("chars"),
-        F.spark_partition_id().alias("part"),
-        F.monotonically_increasing_id().alias("at"),
     )
-    return _summed(written(placed, name), "conv", [])
+    placed = written(placed.mapInArrow(_along, "conv long, part long, pos long, p0 long, p1 long, chars long, edge boolean"), "turns")
+    # Two rows for each partition at most.
+    edges = [tuple(r) for r in placed.filter("edge").select("conv", "part", "pos", "p0", "p1").collect()]
+    carried = spark.createDataFrame(_carried(edges), "conv long, part long, pos0 long, s0 long, s1 long, f0 long, f1 long")
+    both = placed.drop("edge").join(F.broadcast(carried), ["conv", "part"], "left").fillna({"pos0": 0, "s0": 0, "s1": 0, "f0": 1, "f1": 1})
+    return both.mapInArrow(_apply_carried, "conv long, pos long, p0 long, p1 long, chars long")
+
+
+def _rebase(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Prefixes of a conversation's own turns, moved behind the turns that its block's first one lends."""
+    for batch in batches:
+        get = lambda c: batch.column(c).to_numpy()  # noqa: B023, E731
+        h, m = get("h"), get("m")
+        back = [_powers(pow(b, -1, _MOD), int((h - m).max(initial=0))) for b in BASES]
+        sums = []
+        for k in range(2):
+            own = get(f"p{k}").view(_U) - get(f"own{k}").view(_U)
+            sums.append((get(f"lent{k}").view(_U) + back[k][h - m] * own).view(np.int64))
+        d = get("pos") - h + m
+        columns = [batch.column("conv"), pa.array(d), *map(pa.array, sums), batch.column("chars"), pa.array(d == get("turns"))]
+        yield pa.RecordBatch.from_arrays(columns, names=["conv", "d", "p0", "p1", "chars", "end"])
 
 
 def rebuilt(turns: DataFrame, head: int = HEAD, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """``(conv, d, h1, h2, chars)`` of the rebuilt conversations, and ``(conv, turns)`` of all of them."""
+    """``(conv, d, p0, p1, chars, end)``: prefixes of the rebuilt conversations; and ``(conv, turns)`` of all of them."""
     h = F.crc32(F.col("conv").cast("string").cast("binary")) % head
-    convs = turns.groupBy("conv").agg(F.count("*").alias("n")).select("conv", "n", h.alias("h"), (F.col("conv") - F.col("conv") % block).alias("base"))
-    lengths = convs.select(F.col("conv").alias("base"), F.col("n").alias("base_n"))
-    convs = convs.join(lengths, "base", "left").withColumn("m", F.least("h", F.coalesce("base_n", F.lit(0).cast("long"))))
-    convs = convs.select("conv", "base", "h", "m", (F.col("m") + F.greatest(F.col("n") - F.col("h"), F.lit(0))).alias("turns"))
+    firsts = {c: F.array(*(F.max(F.when(F.col("pos") == k, F.col(c))) for k in range(1, head))) for c in ("p0", "p1", "chars")}
+    convs = turns.groupBy("conv").agg(F.count("*").alias("n"), *(x.alias(f"first_{c}") for c, x in firsts.items()))
+    convs = written(convs.withColumns({"h": h, "base": F.col("conv") - F.col("conv") % block}), "firsts")
+    lent = convs.select(F.col("conv").alias("base"), F.col("n").alias("base_n"), *(F.col(f"first_{c}").alias(f"base_{c}") for c in firsts))
+    zero = F.lit(0).cast("long")
+    at = lambda c, k: F.coalesce(F.get(c, (F.col(k) - 1).cast("int")), zero)
+    convs = convs.join(lent, "base", "left").withColumn("m", F.least("h", F.coalesce("base_n", zero)))
+    convs = convs.select(
+        "conv", "h", "m", (F.col("m") + F.greatest(F.col("n") - F.col("h"), zero)).alias("turns"),
+        *(at(f"base_p{k}", "m").alias(f"lent{k}") for k in range(2)), *(at(f"first_p{k}", "h").alias(f"own{k}") for k in range(2)),
+        *(f"base_{c}" for c in firsts),
+    )
     convs = written(convs, "convs")
-    first = turns.filter(F.col("pos") < head).select(F.col("conv").alias("base"), F.col("pos").alias("d"), "h1", "h2", "chars")
-    heads = convs.filter("m > 0").join(first, "base").filter("d <= m").select("conv", "d", "h1", "h2", "chars")
-    own = turns.join(convs.select("conv", "h", "m"), "conv").filter("pos > h")
-    tails = own.select("conv", (F.col("m") + F.col("pos") - F.col("h")).alias("d"), "h1", "h2", "chars")
+    heads = convs.filter("m > 0").withColumn("d", F.explode(F.sequence(F.lit(1).cast("long"), "m")))
+    heads = heads.select("conv", "d", *(at(f"base_{c}", "d").alias(c) for c in ("p0", "p1", "chars")), (F.col("d") == F.col("turns")).alias("end"))
+    known = convs.select("conv", "h", "m", "turns", "lent0", "lent1", "own0", "own1")
+    tails = turns.join(known, "conv").filter("pos > h").mapInArrow(_rebase, "conv long, d long, p0 long, p1 long, chars long, end boolean")
     return written(heads.union(tails), "rebuilt"), convs.select("conv", "turns")
 
 
-def _lanes() -> dict[str, Column]:
-    """Hashes of 32 bits that know the turn's place; their sums name the prefix."""
-    wide = [F.xxhash64("d", "h1"), F.xxhash64("d", "h2")]
-    low = F.lit((1 << 32) - 1)
-    return {f"x{k}": (w if k % 2 else F.shiftrightunsigned(w, 32)).bitwiseAND(low) for k, w in enumerate(x for x in wide for _ in range(2))}
-
-
 def trie(rows: DataFrame, convs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes ``(conv, depth, n_convs, chars)`` named by smallest member and depth, and
-    ``(conv, depth, node)``: for each conversation, the node's smallest member at each depth."""
-    prefix = [f"x{k}_to" for k in range(LANES)]
-    along = written(running(rows, "conv", [F.col("d")], _lanes(), "lanes").select("conv", "d", "chars", *prefix), "prefixes")
-    named = along.groupBy("d", *prefix).agg(F.min("conv").alias("node"), F.count("*").alias("n_convs"), F.max("chars").alias("chars"))
+    """Nodes ``(conv, depth, n_convs, chars, n_ends, only)`` named by smallest member and depth, and
+    ``(conv, depth, node, end, n_ends)``: for each conversation, the node's smallest member at each depth."""
+    prefix = ["d", "p0", "p1"]
+    ends = [F.sum(F.col("end").cast("long")).alias("n_ends"), F.min(F.when(F.col("end"), F.col("conv"))).alias("only")]
+    named = rows.groupBy(*prefix).agg(F.min("conv").alias("node"), F.count("*").alias("n_convs"), F.max("chars").alias("chars"), *ends)
     named = written(named, "named")
-    members = along.select("conv", "d", *prefix).join(named.select("d", *prefix, "node"), ["d", *prefix])
-    root, everyone = convs.agg(F.min("conv"), F.count("*")).first()
-    top = convs.select("conv", F.lit(0).cast("long").alias("depth"), F.lit(root).cast("long").alias("node"))
-    paths = written(members.select("conv", F.col("d").alias("depth"), "node").union(top), "paths")
-    nodes = named.select(F.col("node").alias("conv"), F.col("d").alias("depth"), "n_convs", "chars")
-    only = top.filter("conv = node").limit(1).select("conv", "depth", F.lit(everyone).alias("n_convs"), F.lit(0).cast("long").alias("chars"))
+    members = rows.select("conv", *prefix, "end").join(named.select(*prefix, "node", "n_ends"), prefix)
+    turnless = F.col("turns") == 0
+    root = convs.agg(F.min("conv"), F.count("*"), F.sum(turnless.cast("long")), F.min(F.when(turnless, F.col("conv")))).first()
+    long = lambda x: F.lit(x).cast("long")
+    top = convs.select("conv", long(0).alias("depth"), long(root[0]).alias("node"), turnless.alias("end"), long(root[2]).alias("n_ends"))
+    paths = written(members.select("conv", F.col("d").alias("depth"), "node", "end", "n_ends").union(top), "paths")
+    nodes = named.select(F.col("node").alias("conv"), F.col("d").alias("depth"), "n_convs", "chars", "n_ends", "only")
+    only = top.filter("conv = node").select("conv", "depth", long(root[1]).alias("n_convs"), long(0).alias("chars"), "n_ends", long(root[3]).alias("only"))
     return nodes.union(only), paths
 
 
@@ -282,6 +361,8 @@ def rollup(forest: DataFrame, paths: DataFrame, local: int = LOCAL) -> DataFrame
     state = forest.select(*(start.get(c, F.col(c)).cast("long").alias(c) for c in _STATE))
     small = state.filter(F.col("size") <= local)
     large = top["s"] > local
+    if large:  # as columns of a table, the component's name is a join key like any other
+        state = written(state, "components")
     while large:
         path = scratch_path(spark, "components")
         _split(state.filter(F.col("size") > local), paths, local).write.parquet(path)
@@ -299,7 +380,7 @@ def _stream_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
     def row(rows):
         columns = [pa.array([k[0] for k, _ in rows], pa.int64()), pa.array([k[1] for k, _ in rows], pa.int64()), pa.array([d for _, d in rows], pa.string())]
-        return pa.RecordBatch.from_arrays(columns, names=["conv", "depth", "ends_sha256"])
+        return pa.RecordBatch.from_arrays(columns, names=["conv", "depth", "several"])
 
     for batch in batches:
         done = []
@@ -315,14 +396,11 @@ def _stream_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield row([(last, digest.hexdigest())])
 
 
-def ends(paths: DataFrame, convs: DataFrame) -> DataFrame:
-    """``(conv, depth, ends_sha256)`` of the nodes where a conversation ends."""
-    at = paths.join(convs.select("conv", F.col("turns").alias("depth")), ["conv", "depth"])
-    per = written(at.groupBy("node", "depth").agg(F.count("*").alias("k"), F.min("conv").alias("only")), "ends")
-    single = per.filter("k = 1").select(F.col("node").alias("conv"), "depth", F.sha2(F.col("only").cast("string").cast("binary"), 256).alias("ends_sha256"))
-    several = at.join(per.filter("k > 1").select("node", "depth"), ["node", "depth"], "left_semi").select("node", "depth", "conv")
-    ordered = several.repartition("node", "depth").sortWithinPartitions("node", "depth", "conv")
-    return single.union(ordered.mapInArrow(_stream_digests, "conv long, depth long, ends_sha256 string"))
+def digests(paths: DataFrame) -> DataFrame:
+    """``(conv, depth, several)``: the digest of the ends of each node that has more than one."""
+    many = paths.filter("end and n_ends > 1").select("node", "depth", "conv")
+    ordered = many.repartition("node", "depth").sortWithinPartitions("node", "depth", "conv")
+    return ordered.mapInArrow(_stream_digests, "conv long, depth long, several string")
 
 
 def conversation_trie(conversations: DataFrame, head: int = HEAD, block: int = BLOCK, local: int = LOCAL) -> DataFrame:
@@ -337,7 +415,8 @@ def conversation_trie(conversations: DataFrame, head: int = HEAD, block: int = B
     leaf = (F.col("n_children") == 0).cast("long")
     known = written(known.withColumns({"w1": leaf, "w2": (F.col("n_convs") - 1) * F.col("chars")}), "forest")
     totals = rollup(known.select(*key, "parent", "s", "w1", "w2"), paths, local)
-    out = known.join(totals, key).join(ends(paths, convs), key, "left")
+    out = known.join(totals, key).join(digests(paths), key, "left")
+    single = F.when(F.col("n_ends") == 1, F.sha2(F.col("only").cast("string").cast("binary"), 256)).otherwise(hashlib.sha256().hexdigest())
     return out.select(
         F.col("conv").alias("conv_id"),
         "depth",
@@ -346,7 +425,7 @@ def conversation_trie(conversations: DataFrame, head: int = HEAD, block: int = B
         "n_children",
         F.col("t1").alias("n_leaves"),
         F.col("t2").alias("saved_tokens"),
-        F.coalesce("ends_sha256", F.lit(hashlib.sha256().hexdigest())).alias("ends_sha256"),
+        F.coalesce("several", single).alias("ends_sha256"),
     )
 
 
