@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.columns import join_genres, year_report
 from ..operators.aggregates import most_voted_per_year, movies_per_year, yearly_summary
+from ..operators.filters import filter_movies
 from ..operators.joins import join_movies_ratings, join_titles_ratings
 from ..operators.recommend import recommend_by_genre
 from ..operators.topn import fan_in_for, top2_rated_per_genre, top10_rated_per_year
@@ -94,7 +95,8 @@ def run_movies_per_year(spark: SparkSession, movies_path: str, out: str, kind: s
 
 def run_most_voted_per_year(spark: SparkSession, movies_path: str, out: str, kind: str = MOVIE) -> str:
     """Job 5: ``year\\ttconst\\ttitle\\tvotes`` lines."""
-    best = most_voted_per_year(read_movies_parquet(spark, movies_path, "most_voted_per_year"), kind)
+    movies = read_movies_parquet(spark, movies_path, "most_voted_per_year")
+    best = most_voted_per_year(movies, kind, fan_in=fan_in_for(movies))
     return write_kv_text(best, out, "year", ["tconst", "title", "votes"])
 
 
@@ -125,11 +127,12 @@ def run_top2_rated_per_genre(spark: SparkSession, movies_path: str, out: str, ki
 
 
 def run_recommend_by_genre(spark: SparkSession, movies_path: str, out: str, kind: str = MOVIE) -> str:
-    """Job 10: one recommendation line per movie with a genre, by tconst."""
+    """Job 10: one recommendation line per movie with a genre, in tconst order over all part files."""
     scratch: list[str] = []
+    movies = read_movies_parquet(spark, movies_path, "by_genre")
     try:
-        recs = recommend_by_genre(read_movies_parquet(spark, movies_path, "by_genre"), kind, scratch=scratch)
-        return write_recommendation_text(recs, out)
+        recs = recommend_by_genre(movies, kind, scratch=scratch)
+        return write_recommendation_text(recs, out, filter_movies(movies, kind))
     finally:
         for path in scratch:
             remove_path(spark, path)
@@ -145,7 +148,7 @@ def run_genres(spark: SparkSession, movies_path: str, out_dir: str, kind: str =
         scratch.append(path)
         top2_out = write_ranked_text(top, f"{out_dir.rstrip('/')}/top2_rated_per_genre", "genre")
         recs = recommend_by_genre(movies, kind, scratch=scratch, top=top)
-        recs_out = write_recommendation_text(recs, f"{out_dir.rstrip('/')}/recommend_by_genre")
+        recs_out = write_recommendation_text(recs, f"{out_dir.rstrip('/')}/recommend_by_genre", filter_movies(movies, kind))
         return top2_out, recs_out
     finally:
         for p in scratch:

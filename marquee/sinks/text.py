@@ -1,9 +1,9 @@
 """Text sinks: tab-separated lines, written by the tasks in parallel.
 
-Sinks of small results order their rows with a distributed sort (range
-partitioning), so the part files read in sequence give the ordered result; dumps
-that grow with the input are in key order within each file. Nothing is funnelled
-into one task or one file.
+Sinks of small results and the recommendations order their rows over all files
+(range partitioning), so the part files read in sequence give the ordered result;
+the join dumps are in key order within each file. Nothing is funnelled into one
+task or one file.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import format_row
-from ..operators.ordering import order_by_group_key, order_group_then_rank
+from ..operators.ordering import order_by_group_key, order_group_then_rank, order_recommendations
 
 # Fixed value: the literal between a movie and its recommendation.
 RECOMMENDED = "RECOMMENDED:"
@@ -50,14 +50,14 @@ def ranked_lines(df: DataFrame, group: str) -> DataFrame:
     return ordered.select(format_row(group, "tconst", "title", "rating", "votes").alias("value"))
 
 
-def recommendation_lines(recs: DataFrame) -> DataFrame:
-    """``tconst\\ttitle\\tgenre\\trating\\tvotes\\tRECOMMENDED:\\trec...`` lines, each file in tconst order.
+def recommendation_lines(recs: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+    """``tconst\\ttitle\\tgenre\\trating\\tvotes\\tRECOMMENDED:\\trec...`` lines in tconst order over all files.
 
-    The output grows with the input. A global sort would evaluate the join below
-    it a second time to sample its ranges; hashing by id, like a reducer's part
-    files, evaluates it once.
+    The output grows with the input. With ``keys``, a cheap table of the ids, the
+    ranges of the files are known beforehand and the recommendations are
+    evaluated once; without, the sort evaluates them a first time to sample.
     """
-    ordered = recs.repartition("tconst").sortWithinPartitions("tconst")
+    ordered = order_recommendations(recs, keys)
     return ordered.select(
         format_row(
             "tconst",
@@ -82,8 +82,8 @@ def write_ranked_text(df: DataFrame, path: str, group: str) -> str:
     return write_lines(ranked_lines(df, group), path)
 
 
-def write_recommendation_text(recs: DataFrame, path: str) -> str:
-    return write_lines(recommendation_lines(recs), path)
+def write_recommendation_text(recs: DataFrame, path: str, keys: DataFrame | None = None) -> str:
+    return write_lines(recommendation_lines(recs, keys), path)
 
 
 def write_report_text(report: DataFrame, path: str) -> str:

@@ -4,9 +4,10 @@ The reader splits on tabs only: quoting is switched off, so a ``"`` or a
 backslash inside a title is an ordinary character (NUL is the one character
 a field cannot hold: with quoting off the CSV parser uses it as the quote). The first line of every
 file is its header and is skipped. Short lines give NULL for the missing
-fields instead of failing the task. The codec follows the file extension;
-gzip files do not split, so callers reading one big .gz file should spread
-its rows by id after the scan (``partitions``).
+fields instead of failing the task, fields beyond the last are left out; both
+are counted by ``count_rejects`` and given by ``rejected_lines``. The codec
+follows the file extension. gzip files do not split: their one task a file only
+inflates and cuts lines, which are spread by id and parsed after that.
 """
 
 from __future__ import annotations
@@ -21,6 +22,9 @@ from ..schemas import MOVIES_COLUMNS, NULL_MARKER, RAW_RATINGS, RAW_TITLES, RATI
 TITLE_NUMBERS = ("startYear", "endYear", "time")
 RATING_NUMBERS = ("rating", "votes")
 
+# Separator of the reader that keeps lines whole: control characters that no text line holds in this order.
+LINE_SEPARATOR = "\u001f\u001e\u001f"
+
 TSV_OPTIONS = {
     "sep": "\t",
     "header": "true",
@@ -35,9 +39,58 @@ def _read(spark: SparkSession, paths: str | list[str], schema) -> DataFrame:
     return spark.read.schema(schema).options(**TSV_OPTIONS).csv(paths)
 
 
-def _spread(df: DataFrame, partitions: int | None) -> DataFrame:
-    """Spread unsplittable input by id, so that the join needs no second shuffle."""
-    return df.repartition(partitions, "tconst") if partitions else df
+def _lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(value): the files' lines without their headers, unparsed: one field, cut at a character no text line holds."""
+    options = TSV_OPTIONS | {"sep": LINE_SEPARATOR}
+    return spark.read.schema("value string").options(**options).csv(paths)
+
+
+def _spread_lines(spark: SparkSession, paths: str | list[str], schema, partitions: int | None, kind: str | None = None) -> DataFrame:
+    """The rows of ``_read``, parsed after lines have been spread by id.
+
+    For files that one task must inflate: that task finds the line ends and the
+    id, no more. The exchange by id is the one the join needs.
+    """
+    fields = F.split("value", "\t")
+    lines = _lines(spark, paths)
+    if kind is not None and "type" in schema.names:
+        lines = lines.where(F.coalesce(F.get(fields, schema.names.index("type")), F.lit("")) == kind)
+    # An empty field is a missing one, as in the CSV reader.
+    lines = lines.select(F.coalesce(F.substring_index("value", "\t", 1), F.lit("")).alias("tconst"), "value")
+    lines = lines.repartition(partitions, "tconst") if partitions else lines.repartition("tconst")
+    field = lambda k: F.nullif(F.get(fields, k), F.lit(""))
+    return lines.select("tconst", *(field(k).alias(c) for k, c in enumerate(schema.names) if k))
+
+
+def _inflated_by_one_task(df: DataFrame) -> bool:
+    return any(f.lower().endswith(".gz") for f in df.inputFiles())
+
+
+def _rows(spark: SparkSession, paths: str | list[str], schema, partitions: int | None, kind: str | None = None) -> DataFrame:
+    raw = _read(spark, paths, schema)
+    if partitions or _inflated_by_one_task(raw):
+        return _spread_lines(spark, paths, schema, partitions, kind)
+    if kind:
+        return raw.where(F.col("type") == F.lit(kind))
+    return raw if kind is None else raw.where(F.coalesce("type", F.lit("")) == "")  # the empty type is read as a missing field
+
+
+def line_fields(spark: SparkSession, paths: str | list[str], schema=RAW_TITLES) -> DataFrame:
+    """(value, fields, verdict): every line with its number of fields, ``ok``, ``short`` or ``long`` against ``schema``."""
+    n, want = F.size(F.split("value", "\t")), len(schema.names)
+    verdict = F.when(n < want, "short").when(n > want, "long").otherwise("ok")
+    return _lines(spark, paths).select("value", n.alias("fields"), verdict.alias("verdict"))
+
+
+def rejected_lines(spark: SparkSession, paths: str | list[str], schema=RAW_TITLES) -> DataFrame:
+    """The lines that do not have the declared fields, whole, so that none of their text is lost."""
+    return line_fields(spark, paths, schema).where("verdict != 'ok'")
+
+
+def count_rejects(spark: SparkSession, paths: str | list[str], schema=RAW_TITLES) -> dict[str, int]:
+    """How many lines are ``ok``, ``short`` and ``long``, in one aggregated pass."""
+    counted = line_fields(spark, paths, schema).groupBy("verdict").count().collect()
+    return {"ok": 0, "short": 0, "long": 0} | {r["verdict"]: r["count"] for r in counted}
 
 
 def read_titles_raw(
@@ -46,14 +99,11 @@ def read_titles_raw(
     """Title file as text: only ``\\N`` becomes NULL, and genres a list of text.
 
     ``kind`` keeps one title type; the condition is on the raw column, so it is
-    pushed into the scan and other lines are dropped in the parser.
+    pushed into the scan and other lines are dropped in the parser. ``partitions``
+    spreads the lines by id over that many tasks before they are parsed, as is
+    done for .gz files anyway.
     """
-    raw = _read(spark, paths, RAW_TITLES)
-    if kind:
-        raw = raw.where(F.col("type") == F.lit(kind))
-    elif kind is not None:  # the empty type is read as a missing field
-        raw = raw.where(F.coalesce("type", F.lit("")) == "")
-    return _spread(raw_titles(raw), partitions)
+    return raw_titles(_rows(spark, paths, RAW_TITLES, partitions, kind))
 
 
 def raw_titles(raw: DataFrame) -> DataFrame:
@@ -72,9 +122,9 @@ def raw_titles(raw: DataFrame) -> DataFrame:
 
 def read_ratings_raw(spark: SparkSession, paths: str | list[str], partitions: int | None = None) -> DataFrame:
     """Rating file as text: (tconst, rating, votes), ``\\N`` as NULL."""
-    raw = _read(spark, paths, RAW_RATINGS)
+    raw = _rows(spark, paths, RAW_RATINGS, partitions)
     numbers = [null_marker_to_null(c).alias(c) for c in RATING_NUMBERS]
-    return _spread(raw.select(F.coalesce("tconst", F.lit("")).alias("tconst"), *numbers), partitions)
+    return raw.select(F.coalesce("tconst", F.lit("")).alias("tconst"), *numbers)
 
 
 def read_titles_tsv(spark: SparkSession, paths: str | list[str], partitions: int | None = None) -> DataFrame:

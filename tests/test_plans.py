@@ -3,9 +3,13 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
-from marquee.operators import movies_per_year, recommend_by_genre, top10_rated_per_year, yearly_summary
+from marquee.operators import most_voted_per_year, movies_per_year, recommend_by_genre, top10_rated_per_year, yearly_summary
+from marquee.operators.filters import filter_movies
+from marquee.operators.ordering import range_bounds, range_id
 from marquee.sinks.parquet import write_movies_parquet
+from marquee.sinks.text import recommendation_lines, write_recommendation_text
 from marquee.sources import driver as D
 from marquee.sources.parquet import read_movies_parquet
 
@@ -41,14 +45,47 @@ def test_topn_cuts_before_the_shuffle(spark, movies_path):
     assert final < p.index("Exchange hashpartitioning", final) < partial
 
 
-def test_summary_aggregates_map_side(spark, movies_path):
+def scans(df) -> int:
+    return len(re.findall(r"FileScan parquet", plan(df)))
+
+
+def test_summary_reads_the_movies_twice(spark, movies_path):
     df = yearly_summary(read_movies_parquet(spark, movies_path, "yearly_summary"), "F")
-    p = df._jdf.queryExecution().executedPlan().toString()
-    # numbers only below the shuffle, so a hash aggregate over the movies; the id is
-    # compared among the rows that reach their year's highest vote
-    assert re.search(r"HashAggregate\(keys=\[startYear[^\n]*partial_count\(1\), partial_max\(", p)
-    assert "partial_min_by" not in p
-    assert "row_number(), 10, Partial" in p
+    p = plan(df)
+    # the count is a hash aggregate over the years alone; both rankings share one pass
+    assert re.search(r"HashAggregate\(keys=\[startYear[^\n]*partial_count\(1\)", p)
+    assert scans(df) == 2 and "ReadSchema: struct<type:string,startYear:int>" in p
+    assert p.count("row_number(), 10, Partial") == 1
+
+
+def test_most_voted_is_one_scan_cut_before_the_shuffle(spark, movies_path):
+    df = most_voted_per_year(read_movies_parquet(spark, movies_path, "most_voted_per_year"), "F")
+    assert scans(df) == 1 and "row_number(), 1, Partial" in plan(df) and "Join" not in plan(df)
+
+
+def test_recommendations_are_in_order_over_all_files(spark, movies_path, tmp_path):
+    movies = read_movies_parquet(spark, movies_path, "by_genre")
+    out = write_recommendation_text(recommend_by_genre(movies, "F"), str(tmp_path / "recs"), filter_movies(movies, "F"))
+    files = sorted(tmp_path.glob("recs/part-*.txt"))
+    ids = [line.split("\t")[0] for f in files for line in f.read_text(encoding="utf-8").splitlines()]
+    assert len(files) > 1 and ids and ids == sorted(ids)
+    sizes = [len(f.read_text(encoding="utf-8").splitlines()) for f in files]
+    assert max(sizes) < 3 * sum(sizes) / len(sizes)
+    # the ranges come from the ids: the recommendations are evaluated once
+    lines = recommendation_lines(recommend_by_genre(movies, "F"), filter_movies(movies, "F"))
+    assert "rangepartitioning" not in plan(lines)
+
+
+def test_range_ids_follow_the_order(spark):
+    df = spark.createDataFrame([(None,), ("",), ("a",), ("b",), ("bb",), ("c",), ("z",)], "k string")
+    for bounds in ([], ["b"], ["a", "b", "c"], ["", "a", "b", "bb", "c", "y", "z"]):
+        got = [(r.k, r.i) for r in df.select("k", range_id(F.col("k"), bounds).alias("i")).collect()]
+        assert got == [(k, 0 if k is None else sum(b <= k for b in bounds)) for k, _ in got]
+    assert range_bounds(df.limit(0), "k", 8) == [] and len(range_bounds(df, "k", 3)) <= 2
+    numbers = spark.range(20_000).withColumnRenamed("id", "k")
+    cuts = range_bounds(numbers, "k", 8)
+    sizes = [r["count"] for r in numbers.groupBy(range_id(F.col("k"), cuts)).count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 2 * 20_000 / 8
 
 
 def test_recommendation_broadcasts_checked_side(spark, movies_path):
