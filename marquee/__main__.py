@@ -1,6 +1,7 @@
 """Command line: one sub-command per job of the original batch project.
 
     python -m marquee build-movies --titles T.tsv.gz --ratings R.tsv.gz --out movies/
+    python -m marquee rejects --titles T.tsv.gz --ratings R.tsv.gz --out odd/   # short and overlong lines
     python -m marquee movies-per-year --movies movies/ --out q1/
     python -m marquee yearly-summary --movies movies/ --out summary/
     python -m marquee year-report --summary summary/ --out report/
@@ -45,6 +46,7 @@ def main(argv: list[str] | None = None, stop: bool = False) -> None:
     add("movies-text", tsv=True)
     add("titles-text", tsv=True, kind=False)
     add("build-movies", tsv=True, kind=False)
+    add("rejects", tsv=True, kind=False)
     for name in ("movies-per-year", "most-voted-per-year", "top10-rated-per-year", "yearly-summary",
                  "top2-rated-per-genre", "recommend-by-genre", "queries", "genres"):
         add(name, movies=True)
@@ -60,6 +62,8 @@ def main(argv: list[str] | None = None, stop: bool = False) -> None:
         jobs.run_titles_text(spark, a.titles, a.ratings, out, a.partitions)
     elif a.cmd == "build-movies":
         jobs.run_build_movies(spark, a.titles, a.ratings, out, a.partitions)
+    elif a.cmd == "rejects":
+        jobs.run_rejects(spark, a.titles, a.ratings, out)
     elif a.cmd == "movies-per-year":
         jobs.run_movies_per_year(spark, a.movies, out, a.kind)
     elif a.cmd == "most-voted-per-year":

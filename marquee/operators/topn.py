@@ -28,17 +28,14 @@ def best_rated_order(rating: str = "rating", votes: str = "votes", tconst: str =
     return [F.col(rating).desc(), default_minus_one(votes).desc(), F.col(tconst).asc()]
 
 
-# Input partitions from which a fan-in round pays for its additional shuffle.
+# Input files from which a fan-in round pays for its additional shuffle.
 FAN_IN_FROM = 4096
 
 
 def fan_in_for(df: DataFrame) -> int | None:
-    """The square root of the input's partition count, or None for inputs of few partitions."""
-    try:
-        partitions = df.rdd.getNumPartitions()
-    except Exception:  # a Spark Connect session has no such count
-        return None
-    return math.isqrt(partitions) if partitions >= FAN_IN_FROM else None
+    """The square root of the number of input files, or None for inputs of few files."""
+    files = len(df.inputFiles())
+    return math.isqrt(files) if files >= FAN_IN_FROM else None
 
 
 def top_n_per_group(

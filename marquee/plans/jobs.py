@@ -8,6 +8,7 @@ wrote. ``kind`` is the title type that counts as a movie.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.columns import join_genres, year_report
 from ..operators.aggregates import most_voted_per_year, movies_per_year, yearly_summary
@@ -17,7 +18,7 @@ from ..operators.recommend import recommend_by_genre
 from ..operators.topn import fan_in_for, top2_rated_per_genre, top10_rated_per_year
 from ..operators.broadcast import materialize
 from ..runtime import remove_path
-from ..schemas import MOVIE
+from ..schemas import MOVIE, RAW_RATINGS, RAW_TITLES
 from ..sinks.parquet import write_movies_parquet, write_summary_parquet
 from ..sinks.text import (
     keyed_lines,
@@ -28,7 +29,7 @@ from ..sinks.text import (
     write_report_text,
 )
 from ..sources.parquet import read_movies_parquet, read_summary_parquet
-from ..sources.tsv import read_ratings_raw, read_titles_raw, type_movies
+from ..sources.tsv import read_ratings_raw, read_titles_raw, rejected_lines, type_movies
 
 
 def movies_text_lines(titles: DataFrame, ratings: DataFrame, kind: str = MOVIE) -> DataFrame:
@@ -87,6 +88,14 @@ def run_build_movies(
     return write_movies_parquet(type_movies(movies), out)
 
 
+def run_rejects(spark: SparkSession, titles_path: str, ratings_path: str, out: str) -> str:
+    """The lines of both files that do not have the declared fields: ``file\\tverdict\\tfields\\tline``."""
+    files = {"titles": (titles_path, RAW_TITLES), "ratings": (ratings_path, RAW_RATINGS)}
+    odd = [rejected_lines(spark, path, schema).withColumn("file", F.lit(name)) for name, (path, schema) in files.items()]
+    lines = odd[0].union(odd[1]).select(F.concat_ws("\t", "file", "verdict", F.col("fields").cast("string"), "value").alias("value"))
+    return write_lines(lines, out)
+
+
 def run_movies_per_year(spark: SparkSession, movies_path: str, out: str, kind: str = MOVIE) -> str:
     """Job 4: ``year\\tcount`` lines."""
     counts = movies_per_year(read_movies_parquet(spark, movies_path, "movies_per_year"), kind)

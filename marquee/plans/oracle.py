@@ -225,6 +225,14 @@ RATINGS_AS_READ = (
     "SELECT tconst, TRY_CAST(rating AS DOUBLE) AS rating, TRY_CAST(votes AS BIGINT) AS votes FROM file_ratings"
 )
 
+TITLE_LINE = "concat_ws(chr(9), tconst, type, primaryTitle, originalTitle, isAdult, startYear, endYear, time, genres)"
+REJECTED_LINES = (
+    "SELECT value, CAST(len(string_split(value, chr(9))) AS INTEGER) AS fields, verdict FROM ("
+    "SELECT concat_ws(chr(9), tconst, type) AS value, 'short' AS verdict FROM file_titles WHERE TRY_CAST(tconst AS BIGINT) % 41 = 0 UNION ALL "
+    f"SELECT {TITLE_LINE} || chr(9) || 'one' || chr(9) || 'two', 'long' FROM file_titles "
+    "WHERE TRY_CAST(tconst AS BIGINT) % 43 = 0 AND TRY_CAST(tconst AS BIGINT) % 41 <> 0)"
+)
+
 AS_LINES = (
     "SELECT 'titles' AS file, "
     + row("tconst", "type", "primaryTitle", "originalTitle", "isAdult", "startYear", "endYear", "time", "genres")
@@ -259,6 +267,7 @@ SQL: dict[str, str] = {
     # sources
     "read_titles_tsv": with_order(TITLES_AS_READ),
     "read_ratings_tsv": with_order(RATINGS_AS_READ),
+    "rejected_lines": with_order(REJECTED_LINES),
     "read_compressed_tsv": with_order(
         "SELECT codec, t.* FROM (" + AS_LINES + ") t, (VALUES ('none'), ('gzip'), ('bzip2')) c(codec)"
     ),

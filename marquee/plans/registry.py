@@ -26,12 +26,12 @@ from ..operators.topn import top2_rated_per_genre, top10_rated_per_year
 from ..plans import jobs
 from ..operators.broadcast import checked_broadcast_join
 from ..runtime import scratch_path
-from ..schemas import RAW_RATINGS, RAW_TITLES
+from ..schemas import RAW_RATINGS, RAW_TITLES, TITLES_HEADER
 from ..sinks.parquet import write_movies_parquet, write_summary_parquet
 from ..sinks.text import write_kv_text, write_ranked_text, write_recommendation_text
 from ..sources import driver as D
 from ..sources.parquet import read_lookup, read_movies_parquet, read_summary_parquet
-from ..sources.tsv import TSV_OPTIONS, read_ratings_tsv, read_titles_tsv, write_raw_tsv
+from ..sources.tsv import TSV_OPTIONS, read_ratings_tsv, read_titles_tsv, rejected_lines, write_raw_tsv, write_tsv_lines
 
 F_TYPE = D.ORDER_MOVIE_TYPE
 P_TYPE = D.PART_MOVIE_TYPE
@@ -133,6 +133,17 @@ def q_read_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return read_lookup(spark, path, key_type="bigint")
 
 
+def q_rejected_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Some title lines cut after their second field, some with two fields more, read back as rejects."""
+    rows = D.order_title_file_rows(spark, sf)
+    key = F.col("tconst").try_cast("bigint")
+    whole = F.concat_ws("\t", *rows.columns)
+    line = F.when(key % 41 == 0, F.concat_ws("\t", *rows.columns[:2])).when(key % 43 == 0, F.concat_ws("\t", whole, F.lit("one"), F.lit("two")))
+    path = scratch_path(spark, "odd_titles_tsv")
+    write_tsv_lines(rows.select(line.otherwise(whole).alias("value")), path, TITLES_HEADER)
+    return rejected_lines(spark, path)
+
+
 # ---------------------------------------------------------------- sinks
 
 
@@ -352,6 +363,7 @@ QUERIES: dict[str, Query] = {
     "read_titles_tsv": q_read_titles_tsv,
     "read_ratings_tsv": q_read_ratings_tsv,
     "read_compressed_tsv": q_read_compressed_tsv,
+    "rejected_lines": q_rejected_lines,
     "read_movies_parquet": q_read_movies_parquet,
     "read_summary_parquet": q_read_summary_parquet,
     "read_lookup": q_read_lookup,

@@ -154,7 +154,7 @@ def type_movies(joined: DataFrame) -> DataFrame:
 def write_raw_tsv(rows: DataFrame, path: str, compression: str | None = None) -> str:
     """Write all-string title or rating rows (missing values already ``\\N``) with a header line."""
     header = TITLES_HEADER if len(rows.columns) == len(TITLE_FIELDS) else RATINGS_HEADER
-    _write_lines(rows.select(F.concat_ws("\t", *rows.columns).alias("value")), path, header, compression)
+    write_tsv_lines(rows.select(F.concat_ws("\t", *rows.columns).alias("value")), path, header, compression)
     return path
 
 
@@ -170,7 +170,7 @@ def write_titles_tsv(titles: DataFrame, path: str, compression: str | None = Non
     listed = F.when(F.size("genres") > 0, F.array_join("genres", ",", NULL_MARKER))
     genres = F.coalesce(listed, marker)
     line = F.concat_ws("\t", *cells, genres)
-    _write_lines(titles.select(line.alias("value")), path, TITLES_HEADER, compression)
+    write_tsv_lines(titles.select(line.alias("value")), path, TITLES_HEADER, compression)
     return path
 
 
@@ -180,11 +180,11 @@ def write_ratings_tsv(ratings: DataFrame, path: str, compression: str | None = N
     line = F.concat_ws(
         "\t", *[F.coalesce(F.col(c).cast("string"), marker) for c in ("tconst", "rating", "votes")]
     )
-    _write_lines(ratings.select(line.alias("value")), path, RATINGS_HEADER, compression)
+    write_tsv_lines(ratings.select(line.alias("value")), path, RATINGS_HEADER, compression)
     return path
 
 
-def _write_lines(lines: DataFrame, path: str, header: str, compression: str | None) -> None:
+def write_tsv_lines(lines: DataFrame, path: str, header: str, compression: str | None = None) -> None:
     """Write one text column as lines, with ``header`` at the top of every part file.
 
     The CSV writer is used for its per-file header; with one column, a separator

@@ -28,4 +28,7 @@ def test_cli_runs_the_jobs(spark, tmp_path):
     cli(["titles-text", "--titles", titles, "--ratings", ratings, "--out", str(tmp_path / "j2")])
     assert spark.read.text(str(tmp_path / "j1")).count() == 11
     assert spark.read.text(str(tmp_path / "j2")).count() == 12
+    cli(["rejects", "--titles", titles, "--ratings", ratings, "--out", str(tmp_path / "odd")])
+    odd = [r.value.split("\t")[:3] for r in spark.read.text(str(tmp_path / "odd")).collect()]
+    assert odd and all(f in ("titles", "ratings") and v in ("short", "long") and int(n) != {"titles": 9, "ratings": 3}[f] for f, v, n in odd)
     assert spark.range(1).count() == 1  # the session is still usable
