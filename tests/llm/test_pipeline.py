@@ -5,9 +5,10 @@ from __spark_entry__ import oracle_sql, queries
 from marquee.llm import pieces, secretscan
 from marquee.llm.common import written
 from marquee.llm.registry import QUERIES, SQL
-from tests.conftest import SF_ORACLE
+from tests.conftest import SF_ORACLE, SF_SMALL
 
 from .brute import components
+from .conftest import make_docs
 from .test_leaks import nearest_spans
 
 
@@ -45,3 +46,17 @@ def test_stages_against_brute_force(spark, docs):
 def test_run_applies_all_stages(spark):
     out = corpus_pipeline.run(spark, SF_ORACLE)
     assert out.columns == ["doc_id", "lang", "source", "n_chars", "n_tokens", "ids", "lossless"] and out.count() > 0
+
+
+def test_stages_take_nulls_empty_tables_and_any_column_names(spark, clashing):
+    good = " ".join(f"the word{k} of a story" for k in range(40))
+    df = clashing(make_docs(spark, [None, "", good, good, good + " end", "short"], [1, 2, 3, 3, None, 6]))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, df, SF_SMALL)
+        rows = out.collect()
+        assert stage(spark, df.limit(0), SF_SMALL).collect() == []
+        if name == "encoding":
+            assert len(rows) == 6 and all(r["lossless"] for r in rows)
+        else:
+            assert out.columns == df.columns
+            assert all(r["key"] == "own key" and r["__quality_m"] == "own __quality_m" for r in rows)
