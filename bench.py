@@ -12,7 +12,7 @@ movie table job 3 wrote (9-10 on the part catalogue's).
 
 Prints one JSON line. Env: BENCH_SF_DIR (default /root/testdata/sf0.1),
 BENCH_CPUS (default 8), BENCH_FULL (jobs 1-3 also run once at the baseline's row
-counts, a codec at a time while fewer seconds than this have passed: default 300, 0 for none).
+counts, a codec at a time while fewer seconds than this have passed: default 150, 0 for none).
 """
 
 from __future__ import annotations
@@ -204,7 +204,7 @@ def main() -> None:
             "title_rows_per_sec": {k: round(big["titles"] / v) for k, v in big_timings.items() if v > 0},
         },
     }
-    limit = float(os.environ.get("BENCH_FULL", "300"))
+    limit = float(os.environ.get("BENCH_FULL", "150"))
     late = lambda: time.perf_counter() - started > limit
     if not late():  # the published baseline's row counts, not in "value"
         try:
