@@ -1,7 +1,9 @@
+import math
 import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from marquee.llm import licenses, quality
 from marquee.llm.registry import QUERIES, SQL
@@ -106,6 +108,58 @@ def test_every_name_is_told_and_look_alikes_are_unknown(spark, license_model):
     assert {k: rows.get(k, "unknown") for k in range(len(lines))} == {k: f for k, (f, _) in enumerate(lines)}
 
 
+SHORT = [
+    ("gpl", "Licensed under GPLv3."), ("gpl", "Released under the GPLv2+ terms"), ("mit", "Licensed under MIT."), ("lgpl", "LGPLv2.1"),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy"),
+    ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions"),
+    ("unknown", "to any person obtaining a seat"), ("unknown", "nothing of the kind"),
+]
+
+
+def test_short_forms_and_bodies_are_found(spark, license_model):
+    rows = {r["doc_id"]: r["family"] for r in licenses.scan(make_docs(spark, [x for _, x in SHORT]), license_model).collect()}
+    assert {k: rows.get(k, "unknown") for k in range(len(SHORT))} == {k: f for k, (f, _) in enumerate(SHORT)}
+
+
+def judge(model, line):
+    """Plain Python: the best family, its probability, and whether a template confirms it, of one line."""
+    words = licenses._words(line)
+    grams = {*words, *licenses._pairs(line)}
+    weights = [w for w in model.weights if w["gram"] in grams]
+    z = {f: sum(w[f] for w in weights) + b for f, b in model.intercepts.items()}
+    family = max(z, key=lambda f: (z[f], f))
+    probability = 1 / sum(math.exp(v - z[family]) for v in z.values())
+    if family == "unknown" or probability <= model.cut:
+        return None
+    two = set(licenses._pairs(line))
+    near = [len({*licenses._words(n)} & {*words}) / len({*licenses._words(n)}) for n in licenses.FAMILIES[family]]
+    if len(two) >= licenses.LEAST_PAIRS and family in licenses.BODIES:
+        near.append(len(two & {p for body in licenses.BODIES[family] for p in licenses._pairs(body)}) / len(two))
+    sure = max(near) >= licenses.CONFIRM
+    return (family if sure else "unknown", round(probability, 4), sure)
+
+
+def test_licenses_equal_brute_force_over_every_line(spark, docs, doc_rows, license_model):
+    extra = [f"{x}\n{y} by the {k}" for k, (_, x) in enumerate(SHORT) for _, y in SHORT]
+    extra += [lead.format(n) + " and more of the story" for names in licenses.FAMILIES.values() for n in names for lead in licenses.LEADS[:4]]
+    rows = doc_rows + [(-1 - k, x) for k, x in enumerate(extra)]
+    df = docs.select("doc_id", "text").union(make_docs(spark, extra, [-1 - k for k in range(len(extra))]).select("doc_id", "text"))
+    got = sorted((r["doc_id"], r["paragraph"], r["family"], round(r["probability"], 4), r["confirmed"]) for r in licenses.scan(df, license_model).collect())
+    kinds = {line: judge(license_model, line) for line in {line for _, t in rows for line in (t or "").split("\n")}}
+    want = sorted((d, k, *kinds[line]) for d, t in rows for k, line in enumerate((t or "").split("\n")) if kinds[line])
+    assert [g[:3] + g[4:] for g in got] == [w[:3] + w[4:] for w in want]
+    assert all(abs(g[3] - w[3]) < 2e-4 for g, w in zip(got, want, strict=True))
+
+
+def test_license_scan_of_long_hot_and_clashing_rows(spark, license_model, clashing):
+    notice = "Licensed under the Apache License, Version 2.0."
+    texts = ["word " * 400_000 + notice, *[notice] * 300, "plain"]
+    df = clashing(make_docs(spark, texts)).withColumns({"said": F.lit("x"), "family": F.lit("x"), "paragraph": F.lit(7)})
+    rows = licenses.scan(df, license_model).collect()
+    assert {r["doc_id"] for r in rows if r["confirmed"] and r["family"] == "apache"} >= set(range(1, 301))
+    assert {r["paragraph"] for r in rows} == {0} and max(r["doc_id"] for r in rows) < 301
+
+
 def test_license_defined_cases(spark, license_model):
     text = "Licensed under the Apache License, Version 2.0.\n\nLicensed under the Apache License, Version 2.0."
     df = make_docs(spark, [None, "", "plain text", text, text], [1, 2, 3, None, 4])
