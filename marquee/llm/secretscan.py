@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.llm.common import ship, table, written
+from marquee.llm.common import ship, table
 from marquee.llm.forest import Forest
 
 #: Most findings of the corpus used for training, and look-alikes drawn per kind.
@@ -225,8 +225,12 @@ def labelled(found: DataFrame, most: int = LABELLED) -> list[tuple[str, str, str
 
 
 def scan(docs: DataFrame, model: SecretModel | None = None) -> DataFrame:
-    """Every candidate: doc_id, start, stop, score and is_secret."""
-    found = written(findings(docs), "findings")
+    """Every candidate: doc_id, start, stop, score and is_secret.
+
+    Candidates are found once for the labelled sample and once for the scores:
+    a table of them in between would leave the secrets in clear on shared storage.
+    """
+    found = findings(docs)
     model = model or SecretModel(labelled(found))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
