@@ -3,16 +3,18 @@
 Paragraphs (lines) become sparse word 1- and 2-grams. A multinomial logistic
 regression over licence families and an unknown class is fitted on notices
 written by rule from family names, on sentences of licence bodies, on sentences
-about licences that grant none, and on lines of the corpus (at most
-``FIT_PARAGRAPHS``, drawn by hash from all lines). Its features are the n-grams
-that are ``LIFT`` times as frequent in licence paragraphs as in the drawn lines
-(a pair of words only where one of the words is); its weights are a table of them.
+about licences that grant none, and on every line of the corpus that has words and
+no telling word of a licence name. Its features are the n-grams that are ``LIFT``
+times as frequent in licence paragraphs as in these lines (a pair of words only
+where one of the words is), counted over all of them; its weights are a table of
+them. Lines with the same features are one example that weighs as many; together
+the lines of a corpus weigh ``CORPUS_WEIGHT`` notices, however many they are.
 
 Every text is taken apart into words. A line without a weighted word has the
 intercepts for its scores, which stay below the cut (``fit`` sees to it): it is
 unknown by the model, so only the other lines are summed up. The
-cut is calibrated on a validation part of the drawn lines: no more than
-``FALSE_SHARE`` of them may reach it.
+cut is calibrated on the same lines, each judged by a model fitted without its
+half of them: no more than ``FALSE_SHARE`` of them may reach it.
 
 A prediction is confirmed by comparison with the family's templates: most words
 of one of its names, or a line that is mostly one of its bodies.
@@ -29,6 +31,7 @@ from __future__ import annotations
 import json
 import math
 import re
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel
@@ -38,12 +41,12 @@ from pyspark.sql import functions as F
 from marquee.llm.common import table, written
 from marquee.operators.broadcast import checked_broadcast_join
 
-#: Most lines of the corpus drawn as examples of the unknown class.
-FIT_PARAGRAPHS = 2000
-#: Most n-grams that get a weight, and how much more frequent they are in licence paragraphs.
-VOCABULARY, LIFT = 4096, 4
+#: Most that all lines of the corpus weigh together as examples of the unknown class; a notice weighs 1.
+CORPUS_WEIGHT = 2000
+#: How much more frequent n-grams with a weight are in licence paragraphs.
+LIFT = 4
 UNKNOWN = "unknown"
-#: Share of unknown validation lines that may reach the cut.
+#: Share of the corpus's unknown lines that may reach the cut.
 FALSE_SHARE = 0.002
 #: Share of a name's words that must be in a paragraph to confirm its family, or of the
 #: paragraph's word pairs that must be in a body, where it has at least so many.
@@ -133,7 +136,7 @@ def _pairs(text: str) -> list[str]:
 
 
 def telling_words() -> list[str]:
-    """Words of names that ordinary text lacks: a drawn line with one is no sure example of the unknown class."""
+    """Words of names that ordinary text lacks: a line with one is no sure example of the unknown class."""
     return sorted({w for names in FAMILIES.values() for n in names for w in _words(n)} - set(PLAIN) - {"0", "under"})
 
 
@@ -151,16 +154,23 @@ def _notices() -> list[dict]:
     return out
 
 
-def examples(docs: DataFrame) -> DataFrame:
-    """Labelled paragraphs ``(line, family, drawn, validation)``; ``drawn``: from the corpus."""
+def examples(spark: SparkSession) -> DataFrame:
+    """Labelled paragraphs written by rule: ``(family, grams)``."""
     rows = _notices() + [{"line": x, "family": UNKNOWN} for x in NO_GRANT]
-    written_by_rule = _table(docs.sparkSession, rows, "line string, family string")
-    lines = paragraphs(docs).filter(F.length("line").between(10, 2000))
-    lines = lines.orderBy(F.xxhash64("doc_id", "paragraph"), "line").limit(FIT_PARAGRAPHS)
-    lines = lines.filter(~F.arrays_overlap(tokens(F.col("line")), F.array(*map(F.lit, telling_words()))))
-    return written_by_rule.select("line", "family", F.lit(False).alias("drawn"), F.lit(False).alias("v")).union(
-        lines.select("line", F.lit(UNKNOWN), F.lit(True), F.xxhash64("line", F.lit("v")) % 4 == 0)
-    )
+    said = _table(spark, rows, "line string, family string").withColumn("words", tokens(F.col("line")))
+    return written(said.select("family", ngrams(F.col("words")).alias("grams")).coalesce(1), "licence-examples")
+
+
+def corpus_grams(docs: DataFrame, listed: list[str]) -> DataFrame:
+    """``(half, grams)`` of all lines: which of the listed n-grams (pairs of listed words) each has; null if it is no sure example or has no words."""
+    lines = paragraphs(docs).withColumn("words", tokens(F.col("line")))
+    own = F.transform("words", lambda w: F.when(w.isin(listed), w))
+    sure = (F.size("words") > 0) & ~F.arrays_overlap("words", F.array(*map(F.lit, telling_words())))
+    lines = lines.select((F.pmod(F.xxhash64("line"), F.lit(2)) == 0).alias("half"), F.when(sure, own).alias("own"))
+    n = F.greatest(F.size("own") - 1, F.lit(0))
+    two = F.zip_with(F.slice("own", F.lit(1), n), F.slice("own", F.lit(2), n), lambda a, b: F.concat(a, F.lit(" "), b))
+    # Null where a word is not listed.
+    return lines.select("half", F.array_sort(F.array_distinct(F.filter(F.concat("own", two), lambda g: g.isin(listed)))).alias("grams"))
 
 
 class LicenseModel:
@@ -175,45 +185,68 @@ class LicenseModel:
 
     def probabilities(self, lines: DataFrame) -> DataFrame:
         """The distinct ``said`` (words joined by spaces) of ``lines`` with the best family and its probability."""
+        return self.best(lines.select("said", F.explode_outer(ngrams(F.split("said", " "))).alias("gram")), "said")
+
+    def best(self, grams: DataFrame, *keys: str) -> DataFrame:
+        """Per group of ``(*keys, gram)`` rows the best family and its probability."""
         families = sorted(self.intercepts)
-        weights = _table(lines.sparkSession, self.weights, "gram string, " + ", ".join(f"`{f}` double" for f in families))
-        grams = lines.select("said", F.explode_outer(ngrams(F.split("said", " "))).alias("gram"))
-        sums = grams.join(F.broadcast(weights), "gram", "left").groupBy("said").agg(*(F.coalesce(F.sum(f"`{f}`"), F.lit(0.0)).alias(f) for f in families))
+        weights = _table(grams.sparkSession, self.weights, "gram string, " + ", ".join(f"`{f}` double" for f in families))
+        sums = grams.join(F.broadcast(weights), "gram", "left").groupBy(*keys).agg(*(F.coalesce(F.sum(f"`{f}`"), F.lit(0.0)).alias(f) for f in families))
         scores = [F.struct((F.col(f) + self.intercepts[f]).alias("z"), F.lit(f).alias("family")) for f in families]
-        ranked = sums.select("said", F.array(*scores).alias("s")).withColumn("top", F.array_max("s"))
+        ranked = sums.select(*keys, F.array(*scores).alias("s")).withColumn("top", F.array_max("s"))
         total = F.aggregate("s", F.lit(0.0), lambda acc, x: acc + F.exp(x["z"] - F.col("top.z")))
-        return ranked.select("said", F.col("top.family").alias("family"), (1 / total).alias("probability"))
+        return ranked.select(*keys, F.col("top.family").alias("family"), (1 / total).alias("probability"))
 
 
-def features(rows: DataFrame) -> list[str]:
-    """The n-grams to weigh: twice at least in licence paragraphs, and ``LIFT`` times their share of the drawn lines; pairs, where one of their words is."""
-    grams = rows.select("family", "drawn", F.explode("grams").alias("gram"))
-    known = F.col("family") != UNKNOWN
-    size = rows.agg(F.count_if(known).alias("known"), F.count_if("drawn").alias("drawn")).first()
-    counts = grams.groupBy("gram").agg(F.count_if(known).alias("in_known"), F.count_if("drawn").alias("in_corpus"))
-    kept = counts.filter((F.col("in_known") >= 2) & (F.col("in_known") * size["drawn"] >= LIFT * size["known"] * F.col("in_corpus")))
-    grams = [r["gram"] for r in kept.orderBy(F.desc("in_known"), "gram").limit(VOCABULARY).collect()]
-    return [g for g in grams if " " not in g or not {*grams}.isdisjoint(g.split(" "))]
+def in_notices(notices: DataFrame) -> dict[str, int]:
+    """The n-grams that licence paragraphs written by rule have twice at least, and in how many."""
+    grams = notices.filter(F.col("family") != UNKNOWN).select(F.explode("grams").alias("gram"))
+    return {r["gram"]: r["count"] for r in grams.groupBy("gram").count().filter("count >= 2").orderBy(F.desc("count"), "gram").collect()}
 
 
-def fit(docs: DataFrame) -> LicenseModel:
-    said = examples(docs).withColumn("words", tokens(F.col("line")))
-    rows = written(said.select("family", "drawn", "v", F.concat_ws(" ", "words").alias("said"), ngrams(F.col("words")).alias("grams")).coalesce(1), "licence-examples")
-    train = rows.filter("not v")
-    vocabulary = features(train)
+def features(notices: DataFrame, listed: dict[str, int], corpus: DataFrame) -> list[str]:
+    """The listed n-grams to weigh: with ``LIFT`` times their share of all lines of the corpus; pairs, where one of their words is."""
+    counts = {r["gram"]: r["count"] for r in corpus.select(F.explode("grams").alias("gram")).groupBy("gram").count().collect()}
+    known, lines = notices.filter(F.col("family") != UNKNOWN).count(), corpus.count()
+    kept = [g for g, n in listed.items() if n * lines >= LIFT * known * counts.get(g, 0)]
+    return [g for g in kept if " " not in g or not {*kept}.isdisjoint(g.split(" "))]
+
+
+def trained(notices: DataFrame, lines: DataFrame, vocabulary: list[str]) -> LicenseModel:
+    """The model of the notices and of ``lines (grams, n)``, each standing for ``n`` unknown lines."""
     names = sorted([*FAMILIES, UNKNOWN])
+    each = min(1.0, CORPUS_WEIGHT / max(1, lines.agg(F.sum("n")).first()[0] or 0))
+    rows = notices.select("family", "grams", F.lit(1.0).alias("weight")).union(lines.select(F.lit(UNKNOWN), "grams", F.col("n") * each))
     label = F.array_position(F.array(*map(F.lit, names)), F.col("family")).cast("double") - 1
-    counted = CountVectorizerModel.from_vocabulary(vocabulary, "grams", "features").setBinary(True).transform(train)
-    model = LogisticRegression(family="multinomial", regParam=0.001, maxIter=60).fit(counted.withColumn("label", label))
+    counted = CountVectorizerModel.from_vocabulary(vocabulary, "grams", "features").setBinary(True).transform(rows)
+    model = LogisticRegression(family="multinomial", regParam=0.001, maxIter=60, weightCol="weight").fit(counted.withColumn("label", label))
     matrix = model.coefficientMatrix.toArray()
     weights = [{"gram": g, **{f: round(float(matrix[k, j]), 6) for k, f in enumerate(names)}} for j, g in enumerate(vocabulary)]
-    intercepts = {f: round(float(model.interceptVector[k]), 6) for k, f in enumerate(names)}
-    found = LicenseModel(weights, intercepts, 0.5)
-    share = F.when(F.col("family") == UNKNOWN, 0.0).otherwise(F.col("probability"))
-    reached = found.probabilities(rows.filter("v").select("said").distinct()).agg(F.percentile(share, 1 - FALSE_SHARE)).first()[0]
+    return LicenseModel(weights, {f: round(float(model.interceptVector[k]), 6) for k, f in enumerate(names)}, 0.5)
+
+
+def reached(model: LicenseModel, lines: DataFrame) -> DataFrame:
+    """``(share, n)``: the probability of a licence, 0 where unknown is likelier, of ``lines (grams, n)``; rounded up to six digits."""
+    judged = model.best(lines.select("grams", "n", F.explode_outer("grams").alias("gram")), "grams", "n")
+    share = F.when(F.col("family") == UNKNOWN, 0.0).otherwise(F.ceil(F.col("probability") * 1e6) / 1e6)
+    return judged.select(share.alias("share"), "n")
+
+
+def fit(docs: DataFrame) -> LicenseModel:
+    notices = examples(docs.sparkSession)
+    listed = in_notices(notices)
+    corpus = written(corpus_grams(docs, [*listed]), "licence-corpus").filter("grams is not null")
+    vocabulary = features(notices, listed, corpus)
+    alike = corpus.select("half", F.filter("grams", lambda g: g.isin(vocabulary)).alias("grams")).groupBy("half", "grams").agg(F.count("*").alias("n"))
+    alike = written(alike, "licence-unknown")
+    halves = alike.filter("half"), alike.filter("not half")
+    with ThreadPool(3) as pool:  # each iteration is a short job
+        found, *without = pool.map(lambda lines: trained(notices, lines, vocabulary), [alike, *halves[::-1]])
+    judged = map(reached, without, halves)
+    share = next(judged).union(next(judged)).agg(F.percentile("share", 1 - FALSE_SHARE, F.col("n"))).first()[0]
     # With the intercepts alone, no family's probability passes this bound.
-    bare = max(v for f, v in intercepts.items() if f != UNKNOWN) - intercepts[UNKNOWN]
-    found.cut = max(0.5, reached or 0.0, 1 / (1 + math.exp(-bare)))
+    bare = max(v for f, v in found.intercepts.items() if f != UNKNOWN) - found.intercepts[UNKNOWN]
+    found.cut = max(0.5, share or 0.0, 1 / (1 + math.exp(-bare)))
     return found
 
 

@@ -1,5 +1,6 @@
 import math
 import re
+from collections import Counter
 
 import duckdb
 import pytest
@@ -151,6 +152,30 @@ def test_licenses_equal_brute_force_over_every_line(spark, docs, doc_rows, licen
     assert all(abs(g[3] - w[3]) < 2e-4 for g, w in zip(got, want, strict=True))
 
 
+def test_every_line_of_the_corpus_is_counted(spark, docs, doc_rows):
+    listed = licenses.in_notices(licenses.examples(spark))
+    lines = [{*licenses._words(x), *licenses._pairs(x)} for _, t in doc_rows for x in (t or "").split("\n")]
+    want = Counter(tuple(sorted(x & listed.keys())) for x in lines if x and x.isdisjoint(licenses.telling_words()))
+    assert want.total() > licenses.CORPUS_WEIGHT
+    rows = licenses.corpus_grams(docs, [*listed]).collect()
+    assert len(rows) == len(lines) and Counter(tuple(r["grams"]) for r in rows if r["grams"] is not None) == want
+
+
+def test_short_and_very_long_lines_count_in_the_fit(spark):
+    texts = ["granted"] * 300 + ["plain words " * 300 + "warranties"] * 300
+    grams = {w["gram"] for w in licenses.fit(make_docs(spark, texts)).weights}
+    assert {"hereby", "apache"} <= grams and grams.isdisjoint({"granted", "warranties"})
+
+
+def test_alike_lines_count_each_for_the_cut(spark):
+    zero = dict.fromkeys([*licenses.FAMILIES, "unknown"], 0.0)
+    model = licenses.LicenseModel([{"gram": "granted", **zero, "mit": 5.0}, {"gram": "shall", **zero, "unknown": 3.0}], zero | {"unknown": 1.0}, 0.5)
+    lines = spark.createDataFrame([(["granted"], 3), (["granted", "shall"], 2), (["shall"], 5), ([], 90)], "grams array<string>, n long")
+    got = sorted((r["share"], r["n"]) for r in licenses.reached(model, lines).collect())
+    first, second = math.exp(5) / (math.exp(5) + 10 + math.exp(1)), math.exp(5) / (math.exp(5) + 10 + math.exp(4))
+    assert got == [(0.0, 5), (0.0, 90), (math.ceil(second * 1e6) / 1e6, 2), (math.ceil(first * 1e6) / 1e6, 3)]
+
+
 def test_license_scan_of_long_hot_and_clashing_rows(spark, license_model, clashing):
     notice = "Licensed under the Apache License, Version 2.0."
     texts = ["word " * 400_000 + notice, *[notice] * 300, "plain"]
