@@ -31,7 +31,6 @@ from __future__ import annotations
 import json
 import math
 import re
-from multiprocessing.pool import ThreadPool
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel
@@ -240,8 +239,7 @@ def fit(docs: DataFrame) -> LicenseModel:
     alike = corpus.select("half", F.filter("grams", lambda g: g.isin(vocabulary)).alias("grams")).groupBy("half", "grams").agg(F.count("*").alias("n"))
     alike = written(alike, "licence-unknown")
     halves = alike.filter("half"), alike.filter("not half")
-    with ThreadPool(3) as pool:  # each iteration is a short job
-        found, *without = pool.map(lambda lines: trained(notices, lines, vocabulary), [alike, *halves[::-1]])
+    found, *without = (trained(notices, lines, vocabulary) for lines in (alike, *halves[::-1]))
     judged = map(reached, without, halves)
     share = next(judged).union(next(judged)).agg(F.percentile("share", 1 - FALSE_SHARE, F.col("n"))).first()[0]
     # With the intercepts alone, no family's probability passes this bound.
